@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, ngram_join, sharding
+from . import ann, bpe, chat, decontam, linededup, lm, ngram_join, sharding, toxicity, warc
 from .common import table
 
 BPE_VOCABULARY = "byte_bpe_50k.json"
@@ -33,5 +33,58 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_similar(table(spark, sf_dir, "documents"))[2]
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_nearest_neighbours, op3_bpe, op5_decontamination, op10_ngram_join)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, n_lines, n_kept, n_equal, n_near."""
+    return linededup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rows for each page: its metadata and conversion records, the blocks as digests and lengths."""
+    made = warc.derive(warc.responses_of_pages(table(spark, sf_dir, "pages")))
+    return made.select(F.col("source_id").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "content_type", "payload_digest", "block_digest", F.octet_length("block").alias("content_length"), F.sha2("record", 256).alias("record_sha256"))
+
+
+def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each call or orphan result in the conversations, the canonical JSON as a digest."""
+    calls, results = chat.calls_of_turns(table(spark, sf_dir, "conversations"))
+    return chat.link(calls, results, chat.REPLY_SCHEMA).select("conv_id", "call_id", "status", "level", "valid", F.sha2("linked_json", 256).alias("json_sha256"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_nearest_neighbours, op3_bpe, op4_line_dedup, op5_decontamination, op6_warc_derivatives, op7_tool_calls, op8_lm_scoring, op9_toxicity, op10_ngram_join)}
+
+_LINES = f"""
+WITH line AS (SELECT doc_id, pos, trim(parts[pos]) AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL))),
+known AS (SELECT line, min(doc_id) AS first, length(line) AS n FROM line WHERE length(line) >= {linededup.MIN_CHARS} GROUP BY line),
+pair AS (SELECT a.line AS p, b.line AS q, a.first AS fp, b.first AS fq FROM known a JOIN known b ON b.n BETWEEN a.n AND a.n + {linededup.EDITS} AND a.n >= {linededup.MIN_FUZZY} AND a.line <> b.line
+  AND (left(a.line, a.n // 3) = left(b.line, a.n // 3) OR right(a.line, a.n - 2 * (a.n // 3)) = right(b.line, a.n - 2 * (a.n // 3)) OR contains(substr(b.line, a.n // 3 - 2, a.n // 3 + 8), substr(a.line, a.n // 3 + 1, a.n // 3)))
+  WHERE levenshtein(a.line, b.line) <= {linededup.EDITS}),
+late AS (SELECT DISTINCT CASE WHEN (fp, p) < (fq, q) THEN q ELSE p END AS line FROM pair),
+own AS (SELECT l.doc_id, l.line, l.pos, k.first, t.line IS NOT NULL AS late, min(l.pos) OVER (PARTITION BY l.doc_id, l.line) AS own_pos FROM line l JOIN known k USING (line) LEFT JOIN late t ON t.line = l.line),
+lost AS (SELECT doc_id, count(*) FILTER (NOT (doc_id = first AND pos = own_pos)) AS n_equal, count(*) FILTER (doc_id = first AND pos = own_pos AND late) AS n_near FROM own WHERE late OR doc_id <> first OR pos <> own_pos GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n_lines FROM line GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, (coalesce(n_lines, 0) - coalesce(n_equal, 0) - coalesce(n_near, 0))::BIGINT AS n_kept, coalesce(n_equal, 0)::BIGINT AS n_equal, coalesce(n_near, 0)::BIGINT AS n_near
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN counted USING (doc_id) LEFT JOIN lost USING (doc_id)
+"""
+
+_CALLS = """
+WITH call AS (SELECT conv_id, conv_id || '-' || turn AS call_id, turn, text FROM conversations WHERE role = 'user'),
+result AS (SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant')
+SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id,
+  CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  CASE WHEN c.call_id IS NOT NULL THEN 0 END::INTEGER AS level,
+  c.call_id IS NOT NULL AND length(c.text) BETWEEN 1 AND 400 AS valid,
+  sha256('{' || CASE WHEN c.call_id IS NULL THEN '' ELSE '"arguments":{"text":' || to_json(c.text)::VARCHAR || ',"turn":' || c.turn || '},' END || '"id":"' || coalesce(c.call_id, r.call_id) || '"'
+    || CASE WHEN c.call_id IS NULL THEN '' ELSE ',"name":"reply"' END || CASE WHEN r.call_id IS NULL THEN '' ELSE ',"result":' || to_json(r.text)::VARCHAR END || '}') AS json_sha256
+FROM call c FULL OUTER JOIN result r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+"""
+
+#: Without SQL (tested by brute force or a round trip): op1 (CRC-32), op2 (approximate), op3, op6 (base 32, HTML), op8 and op9 (trained models).
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": _LINES, "op7_tool_calls": _CALLS}
