@@ -1 +1,164 @@
-"""To come."""
+"""Raster geometry: neighbourhoods, terrain, resampling, mosaics, patches."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import raster as R
+from .catalog import query
+from .fixtures import fixture, with_fixtures
+
+_PX = with_fixtures("fx_px")
+_MOSAIC = "m AS (SELECT ((patch_id // 25)*8 + r)::INTEGER AS gr, ((patch_id % 25)*8 + c)::INTEGER AS gc, v FROM fx_px)"
+_LINE = "l AS (SELECT gr, gc, v AS e, lag(v) OVER w AS d, lead(v) OVER w AS f FROM m WINDOW w AS (PARTITION BY gr ORDER BY gc)), n AS (SELECT gr, gc, lag(d) OVER w AS a, lag(e) OVER w AS b, lag(f) OVER w AS c, d, e, f, lead(d) OVER w AS g, lead(e) OVER w AS h, lead(f) OVER w AS i FROM l WINDOW w AS (PARTITION BY gc ORDER BY gr))"
+_GRAD = ", q AS (SELECT gr, gc, ((c+2*f+i)-(a+2*d+g))/8 AS dx, ((g+2*h+i)-(a+2*b+c))/8 AS dy FROM n)"
+_N = with_fixtures("fx_px", also=f"{_MOSAIC}, {_LINE}{_GRAD}")
+
+
+def _mosaic(spark, d):
+    px = fixture(spark, d, "fx_px")
+    return px.select(F.expr("CAST((patch_id DIV 25)*8 + r AS INT)").alias("gr"), F.expr("CAST((patch_id % 25)*8 + c AS INT)").alias("gc"), "v")
+
+
+def _near(spark, d):
+    return R.focal_3x3(_mosaic(spark, d), "gr", "gc", "v")
+
+
+@query(_N + "SELECT gr, gc, round(a+b+c+d+e+f+g+h+i, 6) AS total FROM n WHERE a IS NOT NULL AND c IS NOT NULL AND g IS NOT NULL AND i IS NOT NULL")
+def focal_3x3(spark, d):
+    total = sum((F.col(f"n_{k}") for k in "bcdefghi"), F.col("n_a"))
+    return _near(spark, d).select("gr", "gc", F.round(total, 6).alias("total")).where("total IS NOT NULL")
+
+
+@query(_N + "SELECT gr, gc, d AS west, f AS east, b AS north, h AS south FROM n")
+def join_neighbours(spark, d):
+    return _near(spark, d).select("gr", "gc", F.col("n_d").alias("west"), F.col("n_f").alias("east"), F.col("n_b").alias("north"), F.col("n_h").alias("south"))
+
+
+@query(_N + "SELECT gr, gc, round(degrees(atan(sqrt(dx*dx+dy*dy))), 6) AS slope FROM q")
+def terrain_slope(spark, d):
+    return _near(spark, d).select("gr", "gc", F.round(F.degrees(R.slope()), 6).alias("slope"))
+
+
+@query(_N + "SELECT gr, gc, round(CASE WHEN dx = 0 AND dy = 0 THEN 0 WHEN degrees(atan2(-dx, dy)) < 0 THEN degrees(atan2(-dx, dy)) + 360 ELSE degrees(atan2(-dx, dy)) END, 6) AS aspect FROM q")
+def terrain_aspect(spark, d):
+    return _near(spark, d).select("gr", "gc", F.round(R.aspect(), 6).alias("aspect"))
+
+
+@query(_N + "SELECT gr, gc, round(e-(a+b+c+d+f+g+h+i)/8, 6) AS tpi FROM n")
+def terrain_tpi(spark, d):
+    return _near(spark, d).select("gr", "gc", F.round(R.position_index(), 6).alias("tpi"))
+
+
+@query(_N + "SELECT gr, gc, CASE WHEN dx IS NOT NULL AND dy IS NOT NULL THEN round(greatest(0::DOUBLE, least(30::DOUBLE, ln(1/greatest(tan(atan(sqrt(dx*dx+dy*dy))), 0.001::DOUBLE)))), 6) END AS twi FROM q")
+def terrain_twi(spark, d):
+    return _near(spark, d).select("gr", "gc", F.round(R.wetness(R.slope()), 6).alias("twi"))
+
+
+@query(_PX + "SELECT patch_id, i::INTEGER AS r, j::INTEGER AS c, v FROM fx_px JOIN range(12) a(i) ON r = floor((i+0.5)*8/12)::INTEGER JOIN range(12) b(j) ON c = floor((j+0.5)*8/12)::INTEGER")
+def resample_nearest(spark, d):
+    return R.resample(fixture(spark, d, "fx_px"), ["patch_id"], "r", "c", "v", (8, 8), (12, 12), "nearest")
+
+
+def _bilinear(n, m, clamp):
+    """Target cells with their four neighbours and weights, as SQL."""
+    s = f"(t+0.5::DOUBLE)*{n}/{m}-0.5::DOUBLE"
+    s = f"greatest({s}, 0)" if clamp else s
+    pick = f"least(greatest(i, 0), {n - 1})" if clamp else "i"
+    return f"ax AS (SELECT t::INTEGER AS t, {pick}::INTEGER AS i, w FROM (SELECT t, floor(s) AS i, 1-(s-floor(s)) AS w FROM (SELECT t, {s} AS s FROM range({m}) k(t)) UNION ALL SELECT t, floor(s)+1, s-floor(s) FROM (SELECT t, {s} AS s FROM range({m}) k(t))) WHERE w > 0)"
+
+
+_BI = "SELECT patch_id, y.t AS r, x.t AS c, round(sum(v*x.w*y.w)/sum(x.w*y.w), 6) AS v FROM fx_px JOIN ax y ON r = y.i JOIN ax x ON c = x.i GROUP BY ALL"
+
+
+def _rounded(df, *keys):
+    return df.select(*keys, F.round("v", 6).alias("v"))
+
+
+@query(with_fixtures("fx_px", also=_bilinear(8, 5, False)) + _BI)
+def resample_bilinear(spark, d):
+    return _rounded(R.resample(fixture(spark, d, "fx_px"), ["patch_id"], "r", "c", "v", (8, 8), (5, 5), "bilinear"), "patch_id", "r", "c")
+
+
+@query(with_fixtures("fx_px", also=_bilinear(8, 16, True)) + _BI)
+def resample_bilinear_t(spark, d):
+    return _rounded(R.resample(fixture(spark, d, "fx_px"), ["patch_id"], "r", "c", "v", (8, 8), (16, 16), "replicate"), "patch_id", "r", "c")
+
+
+@query(_PX + "SELECT patch_id, r, c, v FROM fx_px")
+def align_grid(spark, d):
+    """Grids that agree are left as they are."""
+    grid = {"epsg": 2154, "xmin": 0.0, "ymax": 8.0, "res": 1.0, "nrow": 8, "ncol": 8}
+    px = fixture(spark, d, "fx_px").select("patch_id", "r", "c", "v")
+    return px if R.same_grid(grid, dict(grid)) else R.resample(px, ["patch_id"], "r", "c", "v", (8, 8), (8, 8))
+
+
+@query(with_fixtures("fx_px", also=_bilinear(8, 20, False)) + _BI)
+def align_sentinel(spark, d):
+    """A coarse raster on the finer template of a reference extent."""
+    return _rounded(R.resample(fixture(spark, d, "fx_px"), ["patch_id"], "r", "c", "v", (8, 8), (20, 20), "bilinear"), "patch_id", "r", "c")
+
+
+@query(_PX + "SELECT patch_id, (r // 2)::INTEGER AS r, (c // 2)::INTEGER AS c, round(avg(v), 6) AS v FROM fx_px GROUP BY ALL")
+def downsample_mean(spark, d):
+    return _rounded(R.block_mean(fixture(spark, d, "fx_px"), ["patch_id"], "r", "c", "v", R.reduction_factor(64, 16)), "patch_id", "r", "c")
+
+
+@query(_PX + "SELECT r, c, min_by(v, patch_id) AS v FROM fx_px WHERE NOT (patch_id % 3 = 0 AND r < 4) AND patch_id < 12 GROUP BY r, c")
+def mosaic_merge(spark, d):
+    tiles = fixture(spark, d, "fx_px").where("patch_id < 12").select("patch_id", "r", "c", F.when(~((F.col("patch_id") % 3 == 0) & (F.col("r") < 4)), F.col("v")).alias("v"))
+    return R.merge_tiles(tiles, ["r", "c"], "patch_id", "v")
+
+
+@query(_PX + "SELECT patch_id, i::INTEGER AS r, j::INTEGER AS c, coalesce(v, 0) AS v FROM (SELECT DISTINCT patch_id FROM fx_px) p, range(11) a(i), range(11) b(j) LEFT JOIN fx_px x ON x.patch_id = p.patch_id AND x.r = i - 2 AND x.c = j - 2".replace("SELECT patch_id, i", "SELECT p.patch_id, i"))
+def center_crop_pad(spark, d):
+    return R.crop_or_pad(fixture(spark, d, "fx_px").select("patch_id", "r", "c", "v"), ["patch_id"], "r", "c", "v", (8, 8), 11)
+
+
+@query(_PX + "SELECT patch_id, CASE WHEN patch_id % 2 = 0 THEN 7-r ELSE r END AS r, CASE WHEN patch_id % 3 = 0 THEN 7-c ELSE c END AS c, v FROM fx_px")
+def flip_augment(spark, d):
+    return R.flip(fixture(spark, d, "fx_px").select("patch_id", "r", "c", "v"), "r", "c", 8, 8, F.col("patch_id") % 2 == 0, F.col("patch_id") % 3 == 0)
+
+
+@query(_PX + "SELECT a.patch_id, a.r, a.c, round(a.v - b.v, 6) AS diff FROM fx_px a JOIN fx_px b ON b.patch_id = a.patch_id + 1 AND b.r = a.r AND b.c = a.c")
+def join_cell(spark, d):
+    px = fixture(spark, d, "fx_px").select("patch_id", "r", "c", "v")
+    other = px.select((F.col("patch_id") - 1).alias("patch_id"), "r", "c", F.col("v").alias("w"))
+    return px.join(other, ["patch_id", "r", "c"]).select("patch_id", "r", "c", F.round(F.col("v") - F.col("w"), 6).alias("diff"))
+
+
+@query(with_fixtures("fx_px", also=_MOSAIC) + "SELECT gr, gc, v FROM m WHERE gr BETWEEN 4 AND 9 AND gc BETWEEN 3 AND 12")
+def join_crop_extent(spark, d):
+    return R.crop_extent(_mosaic(spark, d), "gr", "gc", (3.0, 150.0, 13.0, 156.2), (0.0, 160.0), 1.0)
+
+
+_P = "p AS (SELECT (iy*5+ix)::INTEGER AS patch_id, iy, ix FROM range(5) a(iy), range(5) b(ix))"
+
+
+def _patches(spark):
+    return spark.range(25).select(F.col("id").cast("int").alias("patch_id"), F.expr("CAST(id DIV 5 AS INT)").alias("py"), (F.col("id") % 5).cast("int").alias("px"))
+
+
+def _window_sql(step, window, size, name):
+    margin = (window - step) // 2
+    return f"SELECT p.patch_id, '{name}' AS modality, y.t AS i, x.t AS j, round(sum(v*x.w*y.w)/sum(x.w*y.w), 6) AS v FROM p JOIN ax{size} y ON true JOIN ax{size} x ON true LEFT JOIN m ON gr = iy*{step}-{margin}+y.i AND gc = ix*{step}-{margin}+x.i GROUP BY ALL"
+
+
+_AX8, _AX6 = _bilinear(16, 8, False).replace("ax AS", "ax8 AS"), _bilinear(24, 6, False).replace("ax AS", "ax6 AS")
+
+
+@query(with_fixtures("fx_px", also=f"{_MOSAIC}, {_P}, {_AX8}, {_AX6}") + f"SELECT patch_id, modality, i, j, CASE WHEN v IS NOT NULL THEN v END AS v FROM ({_window_sql(16, 16, 8, 'aerial').replace('sum(v*x.w*y.w)/sum(x.w*y.w)', 'sum(v*x.w*y.w)/sum(CASE WHEN v IS NOT NULL THEN x.w*y.w END)')} UNION ALL {_window_sql(16, 24, 6, 's2').replace('sum(v*x.w*y.w)/sum(x.w*y.w)', 'sum(v*x.w*y.w)/sum(CASE WHEN v IS NOT NULL THEN x.w*y.w END)')})")
+def extract_patches(spark, d):
+    """Two modalities with windows of their own around the same patches, one wider than the patch."""
+    out = []
+    for name, window, size in (("aerial", 16, 8), ("s2", 24, 6)):
+        w = R.extract_windows(_mosaic(spark, d), "gr", "gc", "v", _patches(spark), 16, window, size)
+        out.append(w.select("patch_id", F.lit(name).alias("modality"), "i", "j", F.round("v", 6).alias("v")))
+    return out[0].unionByName(out[1])
+
+
+@query(with_fixtures("fx_px", also=f"{_MOSAIC}, {_P}") + "SELECT p.patch_id, i::INTEGER AS i, j::INTEGER AS j, v FROM p, range(16) a(i), range(16) b(j) LEFT JOIN m ON gr = (iy+8)*16+i AND gc = ix*16+j")
+def extract_patches_single(spark, d):
+    """Patches that partly lie beyond the raster: those cells are null."""
+    low = _patches(spark).withColumn("py", F.col("py") + 8)
+    return R.extract_windows(_mosaic(spark, d), "gr", "gc", "v", low, 16, 16, 16)

@@ -1 +1,243 @@
-"""To come."""
+"""Grids, patches, splits, set operations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.dims import dim, dim_sql
+from ..operators import grids as G
+from .catalog import query
+from .fixtures import fixture, with_fixtures
+
+_CELLS = with_fixtures("fx_cells")
+_PX = with_fixtures("fx_px")
+_SAMPLE = with_fixtures("fx_sample")
+_DOMAIN = with_fixtures("fx_domain")
+BOX = (652000.0, 6812000.0, 652204.8, 6812200.0)
+
+
+def _grid_sql(box, step, size, cut):
+    x0, y0, x1, y1 = box
+    nx, ny = G.axis_steps(x0, x1, step), G.axis_steps(y0, y1, step)
+    cells = f"SELECT iy::INTEGER AS iy, ix::INTEGER AS ix, {x0}::DOUBLE + ix*{step}::DOUBLE AS xmin, {y0}::DOUBLE + iy*{step}::DOUBLE AS ymin, {x0}::DOUBLE + ix*{step}::DOUBLE + {size}::DOUBLE AS xmax, {y0}::DOUBLE + iy*{step}::DOUBLE + {size}::DOUBLE AS ymax FROM range({nx}) a(ix), range({ny}) b(iy)"
+    where = f" WHERE xmin <= {x1}::DOUBLE AND xmax >= {x0}::DOUBLE AND ymin <= {y1}::DOUBLE AND ymax >= {y0}::DOUBLE" if cut else ""
+    return f"SELECT row_number() OVER (ORDER BY iy, ix)::INTEGER AS patch_id, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax FROM ({cells}){where}"
+
+
+def _rounded(df, *names):
+    return df.select("patch_id", *[F.round(n, 6).alias(n) for n in ("xmin", "ymin", "xmax", "ymax")], *names)
+
+
+@query(_grid_sql(BOX, 51.2, 51.2, True))
+def grid_patches(spark, d):
+    return _rounded(G.renumber(G.touching(G.grid(spark, BOX, 51.2), BOX), ["iy", "ix"]))
+
+
+@query(_grid_sql(BOX, 41.2, 51.2, False))
+def grid_overlap(spark, d):
+    return _rounded(G.renumber(G.grid(spark, BOX, 41.2, 51.2), ["iy", "ix"]))
+
+
+@query("WITH t AS (SELECT ix, iy, 0 + ix*819.2::DOUBLE AS xmin, 0 + iy*819.2::DOUBLE AS ymin, least(ix*819.2::DOUBLE + 819.2::DOUBLE, 1638.6::DOUBLE) AS xmax, least(iy*819.2::DOUBLE + 819.2::DOUBLE, 1000.0::DOUBLE) AS ymax FROM range(3) a(ix), range(2) b(iy)) SELECT row_number() OVER (ORDER BY ix, iy)::INTEGER AS idx, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax, round((xmax-xmin)/0.2::DOUBLE)::INTEGER AS width, round((ymax-ymin)/0.2::DOUBLE)::INTEGER AS height FROM t WHERE xmax-xmin >= 0.4::DOUBLE AND ymax-ymin >= 0.4::DOUBLE")
+def tile_plan(spark, d):
+    return G.request_tiles(spark, (0.0, 0.0, 1638.6, 1000.0), 0.2).select("idx", *[F.round(n, 6).alias(n) for n in ("xmin", "ymin", "xmax", "ymax")], "width", "height")
+
+
+@query("SELECT x/2.0::DOUBLE AS xmin, least(x/2.0::DOUBLE+0.5::DOUBLE, 1.2::DOUBLE) AS xmax, 45+y/2.0::DOUBLE AS ymin, least(45+y/2.0::DOUBLE+0.5::DOUBLE, 46.0::DOUBLE) AS ymax FROM range(3) a(x), range(2) b(y)")
+def tile_degrees(spark, d):
+    return G.degree_tiles(spark, (0.0, 45.0, 1.2, 46.0)).select("xmin", "xmax", "ymin", "ymax")
+
+
+_POS = "SELECT DISTINCT x0::INTEGER AS x0, y0::INTEGER AS y0 FROM (SELECT unnest(range(0, 1500-512+1, 384) || [1500-512]) AS x0) a, (SELECT unnest(CASE WHEN 400 <= 512 THEN [0] END) AS y0) b"
+
+
+@query(_POS)
+def patch_positions(spark, d):
+    return G.window_positions(spark, 1500, 400, 512, 128)
+
+
+@query(_POS)
+def patch_positions_py(spark, d):
+    """The windows of the blender: those of the tiler, also for an image smaller than a window."""
+    return G.window_positions(spark, 1500, 400, 512, 128)
+
+
+@query("SELECT x0, count(*) AS n FROM (" + _POS + ") GROUP BY x0")
+def dedup_positions(spark, d):
+    p = G.window_positions(spark, 1500, 400, 512, 128)
+    return p.union(p).distinct().groupBy("x0").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT i::INTEGER AS i, j::INTEGER AS j, round(greatest((0.5::DOUBLE-0.5::DOUBLE*cos(2*pi()*i/15))*(0.5::DOUBLE-0.5::DOUBLE*cos(2*pi()*j/15)), 1e-6), 9) AS weight FROM range(16) a(i), range(16) b(j)")
+def hann_window(spark, d):
+    return G.hann(spark, 16).select("i", "j", F.round("weight", 9).alias("weight"))
+
+
+@query(f"WITH s AS ({dim_sql('modality_specs')}) SELECT m AS modality, coalesce(image_size, 256) AS px FROM (VALUES ('aerial'), ('s2'), ('spot')) t(m) LEFT JOIN s ON m = modality")
+def patch_size_of(spark, d):
+    asked = spark.createDataFrame([("aerial",), ("s2",), ("spot",)], "modality string")
+    return asked.join(F.broadcast(dim(spark, "modality_specs")), "modality", "left").select("modality", F.coalesce("image_size", F.lit(256)).alias("px"))
+
+
+@query(_PX + "SELECT patch_id AS old_id, row_number() OVER (ORDER BY patch_id // 25, patch_id % 25)::INTEGER AS patch_id FROM (SELECT DISTINCT patch_id FROM fx_px WHERE v > 0.3::DOUBLE)")
+def patch_renumber(spark, d):
+    kept = fixture(spark, d, "fx_px").where("v > 0.3D").select(F.col("patch_id").alias("old_id")).distinct()
+    return G.renumber(kept.withColumn("iy", F.expr("old_id DIV 25")).withColumn("ix", F.col("old_id") % 25), ["iy", "ix"]).select("old_id", "patch_id")
+
+
+_HASH = "((patch_id * 2654435761 + 42) % 4294967296)"
+
+
+@query(_SAMPLE + f"SELECT patch_id, CASE WHEN row_number() OVER (ORDER BY {_HASH}, patch_id) <= round_even(count(*) OVER () * 0.15::DOUBLE, 0) THEN 'val' ELSE 'train' END AS split FROM fx_sample")
+def train_val_split(spark, d):
+    return G.split_train_val(fixture(spark, d, "fx_sample").select("patch_id"), "patch_id").select("patch_id", "split")
+
+
+@query(_SAMPLE + f"SELECT patch_id, value FROM fx_sample ORDER BY {_HASH}, patch_id LIMIT 100")
+def sample_n(spark, d):
+    return G.sample_rows(fixture(spark, d, "fx_sample").select("patch_id", "value"), "patch_id", 100)
+
+
+@query(_SAMPLE + "SELECT modality, patch_id FROM fx_sample QUALIFY row_number() OVER (PARTITION BY modality ORDER BY patch_id) <= 5")
+def limit_per_group(spark, d):
+    return G.first_per_group(fixture(spark, d, "fx_sample").select("modality", "patch_id"), ["modality"], ["patch_id"], 5)
+
+
+@query(_CELLS + "SELECT l_orderkey, round(count(*) FILTER (seg < 9)::DOUBLE/count(*), 6) AS share FROM fx_cells GROUP BY 1 HAVING count(*) FILTER (seg < 9)::DOUBLE/count(*) >= 0.10::DOUBLE")
+def filter_forest_pct(spark, d):
+    return G.forest_share(fixture(spark, d, "fx_cells"), "l_orderkey", "seg", False).where("share >= 0.10D").withColumn("share", F.round("share", 6))
+
+
+@query(_CELLS + "SELECT l_orderkey, round(count(*) FILTER (seg < 9)::DOUBLE/count(seg), 6) AS share FROM fx_cells GROUP BY 1 HAVING count(seg) > 0 AND count(*) FILTER (seg < 9)::DOUBLE/count(seg) >= 0.10::DOUBLE")
+def filter_forest_pct_valid(spark, d):
+    return G.forest_share(fixture(spark, d, "fx_cells"), "l_orderkey", "seg", True).where("share >= 0.10D").withColumn("share", F.round("share", 6))
+
+
+@query(_CELLS + "SELECT l_orderkey, coalesce(count(*) FILTER (seg < 9)::DOUBLE/nullif(count(seg), 0), 0) > 0.05::DOUBLE AS forest FROM fx_cells GROUP BY 1")
+def flag_forest_patch(spark, d):
+    return G.forest_share(fixture(spark, d, "fx_cells"), "l_orderkey", "seg", True).select("l_orderkey", (F.col("share") > 0.05).alias("forest"))
+
+
+@query("SELECT unnest(['dem', 's2']) AS modality, unnest([1, 2])::INTEGER AS place")
+def filter_modality(spark, d):
+    """Modalities asked for that are known, in the order asked for."""
+    known = F.array(*[F.lit(x) for x in ("s2", "aerial", "dem")])
+    return spark.range(1).select(F.posexplode(F.array_intersect(F.array(F.lit("dem"), F.lit("lidar"), F.lit("s2")), known)).alias("p", "modality")).select("modality", (F.col("p") + 1).alias("place"))
+
+
+@query(_DOMAIN + "SELECT s_suppkey, regexp_extract(path, '^data/(.+)_AERIAL_RGBI\\.zip$', 1) AS domain FROM fx_domain WHERE regexp_matches(path, '_AERIAL_RGBI\\.zip$')")
+def filter_domain(spark, d):
+    return fixture(spark, d, "fx_domain").where(F.col("path").rlike(r"_AERIAL_RGBI\.zip$")).select("s_suppkey", F.regexp_extract("path", r"^data/(.+)_AERIAL_RGBI\.zip$", 1).alias("domain"))
+
+
+_DEPS = (("033", "Gironde"), ("012", "Aveyron"), ("007", "Ardeche"))
+
+
+@query(_DOMAIN + "SELECT s_suppkey, dep, annee, coalesce(name, '?') AS departement FROM (SELECT s_suppkey, regexp_extract(path, 'D([0-9]{3,6})-([0-9]{4})', 1) AS dep, regexp_extract(path, 'D([0-9]{3,6})-([0-9]{4})', 2)::INTEGER AS annee FROM fx_domain) LEFT JOIN (VALUES ('033','Gironde'), ('012','Aveyron'), ('007','Ardeche')) t(k, name) ON dep = k")
+def parse_domain(spark, d):
+    p = fixture(spark, d, "fx_domain").select("s_suppkey", F.regexp_extract("path", "D([0-9]{3,6})-([0-9]{4})", 1).alias("dep"), F.regexp_extract("path", "D([0-9]{3,6})-([0-9]{4})", 2).cast("int").alias("annee"))
+    return p.join(F.broadcast(spark.createDataFrame(_DEPS, "dep string, departement string")), "dep", "left").na.fill({"departement": "?"})
+
+
+@query("SELECT entry, CASE WHEN len(string_split(entry, '/')) = 3 THEN regexp_replace(regexp_replace(string_split(entry, '/')[3], '^(TRAIN|VAL|TEST)-', ''), '\\.tiff?$', '') END AS patch_id FROM (VALUES ('imagery/train/TRAIN-A_1.tiff'), ('imagery/val/VAL-B.tif'), ('lidar/test/C'), ('imagery/X.tiff')) t(entry)")
+def parse_patch_id(spark, d):
+    e = spark.createDataFrame([("imagery/train/TRAIN-A_1.tiff",), ("imagery/val/VAL-B.tif",), ("lidar/test/C",), ("imagery/X.tiff",)], "entry string")
+    parts = F.split("entry", "/")
+    return e.select("entry", F.when(F.size(parts) == 3, F.regexp_replace(F.regexp_replace(F.get(parts, F.lit(2)), "^(TRAIN|VAL|TEST)-", ""), r"\.tiff?$", "")).alias("patch_id"))
+
+
+@query("SELECT kind, annee, CASE WHEN annee IS NULL THEN CASE kind WHEN 'ortho' THEN 'ORTHO.LATEST' ELSE 'IRC.LATEST' END ELSE CASE kind WHEN 'ortho' THEN 'ORTHOIMAGERY.ORTHOPHOTOS' ELSE 'ORTHOIMAGERY.ORTHOPHOTOS.IRC.' END || annee END AS layer FROM (VALUES ('ortho', 2021), ('irc', 2022), ('ortho', NULL), ('irc', NULL)) t(kind, annee)")
+def layer_name(spark, d):
+    """Names of the layers of a vintage; without one, names of the latest layers, which are parameters."""
+    from ..sources.services import layer_name as name
+
+    asked = spark.createDataFrame([("ortho", 2021), ("irc", 2022), ("ortho", None), ("irc", None)], "kind string, annee int")
+    return asked.withColumn("layer", name(F.col("kind"), F.col("annee"), "ORTHO.LATEST", "IRC.LATEST"))
+
+
+@query(_SAMPLE + "SELECT patch_id, CASE WHEN patch_id % 10 = 0 THEN 'test' WHEN patch_id % 10 = 1 THEN 'validation' ELSE 'train' END AS split FROM fx_sample")
+def split_lookup(spark, d):
+    """Listed by name with or without extension; what isn't listed is for training."""
+    names = fixture(spark, d, "fx_sample").select("patch_id", F.format_string("patch_%05d.tif", "patch_id").alias("file"))
+    listed = names.where("patch_id % 10 < 2").select(F.when(F.col("patch_id") % 20 < 10, F.col("file")).otherwise(F.regexp_replace("file", r"\.tif$", "")).alias("entry"), F.when(F.col("patch_id") % 10 == 0, "test").otherwise("validation").alias("split"))
+    stem = listed.select(F.regexp_replace("entry", r"\.tif$", "").alias("stem"), "split")
+    return names.withColumn("stem", F.regexp_replace("file", r"\.tif$", "")).join(stem, "stem", "left").select("patch_id", F.coalesce("split", F.lit("train")).alias("split"))
+
+
+@query(_PX + "SELECT patch_id, round(100.0::DOUBLE*count(*) FILTER (v > 0)/count(*), 6) AS pct, 100.0::DOUBLE*count(*) FILTER (v > 0)/count(*) >= 40 AS fine FROM fx_px GROUP BY patch_id")
+def validate_coverage(spark, d):
+    pct = F.count_if(F.col("v") > 0) * 100.0 / F.count(F.lit(1))
+    return fixture(spark, d, "fx_px").groupBy("patch_id").agg(F.round(pct, 6).alias("pct"), (pct >= 40).alias("fine"))
+
+
+@query(_PX + "SELECT patch_id, round(100.0::DOUBLE*count(*) FILTER (v IS NOT NULL AND NOT isnan(v) AND v <> 0)/count(*), 6) AS pct FROM fx_px GROUP BY patch_id")
+def lidar_coverage(spark, d):
+    from ..operators.bands import finite
+
+    return fixture(spark, d, "fx_px").groupBy("patch_id").agg(F.round(F.count_if(finite("v") & (F.col("v") != 0)) * 100.0 / F.count(F.lit(1)), 6).alias("pct"))
+
+
+@query(with_fixtures("fx_poly") + "SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, count(*) AS n FROM fx_poly WHERE xmax > xmin AND ymax > ymin")
+def bbox_union(spark, d):
+    return fixture(spark, d, "fx_poly").where("xmax > xmin AND ymax > ymin").agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"), F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT patch_id, v FROM (SELECT vec_id AS patch_id, label AS v FROM embeddings) WHERE patch_id IN (SELECT doc_id FROM labels)")
+def join_label_exists(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("patch_id"), F.col("label").alias("v"))
+    return e.join(spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("patch_id")), "patch_id", "left_semi")
+
+
+@query("SELECT count(*) FILTER (l.doc_id IS NOT NULL) AS n_known, count(*) FILTER (l.doc_id IS NULL) AS n_unknown FROM documents d LEFT JOIN labels l USING (doc_id)")
+def join_metadata(spark, d):
+    entries, meta = spark.read.parquet(f"{d}/documents.parquet").select("doc_id"), spark.read.parquet(f"{d}/labels.parquet").select("doc_id")
+    known = entries.join(meta, "doc_id").agg(F.count(F.lit(1)).alias("n_known"))
+    return known.join(entries.join(meta, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n_unknown")), F.lit(True))
+
+
+@query("WITH m AS (SELECT vec_id // 50 AS batch, vec_id, 'aerial' AS modality FROM embeddings UNION ALL SELECT vec_id // 50, vec_id, 'dem' FROM embeddings WHERE label <> 3 OR vec_id % 100 < 50) SELECT batch, modality FROM (SELECT batch, modality, count(DISTINCT vec_id) AS n FROM m GROUP BY ALL) JOIN (SELECT vec_id // 50 AS batch, count(*) AS size FROM embeddings GROUP BY 1) USING (batch) WHERE n = size")
+def join_modalities(spark, d):
+    """The modalities that every row of a batch has."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label", F.expr("vec_id DIV 50").alias("batch"))
+    m = e.select("batch", "vec_id", F.lit("aerial").alias("modality")).union(e.where("label <> 3 OR vec_id % 100 < 50").select("batch", "vec_id", F.lit("dem")))
+    sizes = e.groupBy("batch").agg(F.count(F.lit(1)).alias("size"))
+    return m.groupBy("batch", "modality").agg(F.countDistinct("vec_id").alias("n")).join(sizes, "batch").where("n = size").select("batch", "modality")
+
+
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
+def set_intersect(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id").intersect(spark.read.parquet(f"{d}/labels.parquet").select("doc_id"))
+
+
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def set_diff(spark, d):
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id").subtract(spark.read.parquet(f"{d}/labels.parquet").select("doc_id"))
+
+
+@query("SELECT s_suppkey AS id, s_nationkey AS nation, NULL::DOUBLE AS balance FROM supplier UNION ALL SELECT c_custkey, c_nationkey, c_acctbal FROM customer")
+def union_tiles(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"))
+    c = spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    return s.unionByName(c, allowMissingColumns=True)
+
+
+@query(_CELLS + "SELECT flair, n FROM (SELECT flair, count(*) AS n FROM fx_cells GROUP BY flair) ORDER BY n DESC, flair LIMIT 5")
+def sort_limit(spark, d):
+    return fixture(spark, d, "fx_cells").groupBy("flair").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "flair").limit(5)
+
+
+_KEPT = "kept AS (SELECT l_orderkey AS patch_id FROM fx_cells GROUP BY 1 HAVING {0})"
+
+
+@query(with_fixtures("fx_cells", also=_KEPT.format("count(*) FILTER (seg < 9)::DOUBLE/count(*) >= 0.10::DOUBLE")) + f"SELECT patch_id, CASE WHEN row_number() OVER (ORDER BY {_HASH}, patch_id) <= round_even(count(*) OVER () * 0.15::DOUBLE, 0) THEN 'val' ELSE 'train' END AS split, 'patch_' || lpad(patch_id::VARCHAR, 5, '0') AS name FROM kept")
+def train_patches(spark, d):
+    kept = G.forest_share(fixture(spark, d, "fx_cells"), "l_orderkey", "seg", False).where("share >= 0.10D").select(F.col("l_orderkey").alias("patch_id"))
+    return G.split_train_val(kept, "patch_id").select("patch_id", "split", F.format_string("patch_%05d", "patch_id").alias("name"))
+
+
+@query(with_fixtures("fx_cells", also=_KEPT.format("count(seg) > 0 AND count(*) FILTER (seg < 9)::DOUBLE/count(seg) >= 0.10::DOUBLE AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = ''F'')".replace("''", "'")) + f", capped AS (SELECT patch_id FROM kept ORDER BY {_HASH}, patch_id LIMIT 500)") + f"SELECT patch_id, CASE WHEN row_number() OVER (ORDER BY {_HASH}, patch_id) <= round_even(count(*) OVER () * 0.15::DOUBLE, 0) THEN 'val' ELSE 'train' END AS split FROM capped")
+def train_patches_flair(spark, d):
+    """Existing patches with a counterpart, forested enough, at most 500 of them (a cap that is the feature), split."""
+    there = spark.read.parquet(f"{d}/orders.parquet").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    kept = G.forest_share(fixture(spark, d, "fx_cells").join(there, "l_orderkey", "left_semi"), "l_orderkey", "seg", True).where("share >= 0.10D")
+    return G.split_train_val(G.sample_rows(kept.select(F.col("l_orderkey").alias("patch_id")), "patch_id", 500), "patch_id").select("patch_id", "split")
