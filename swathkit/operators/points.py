@@ -1,0 +1,20 @@
+"""Point clouds to grids."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def grid_heights(points: DataFrame, tile: str, cell: float) -> DataFrame:
+    """tile, gx, gy, dtm, dsm: the mean of the ground points (class 2) and the highest first return in each cell.
+
+    A gridding of its own, not a triangulation. Cells without ground take the mean ground of their tile, or the mean of
+    all its points if it has none; cells without a first return take their highest point.
+    """
+    z = F.col("z")
+    ground, first = F.col("cls") == 2, F.col("return_number") == 1
+    placed = points.withColumns({"gx": F.floor(F.col("x") / cell).cast("int"), "gy": F.floor(F.col("y") / cell).cast("int")})
+    cells = placed.groupBy(tile, "gx", "gy").agg(F.sum(F.when(ground, z)).alias("gz"), F.count_if(ground).alias("gn"), F.max(F.when(first, z)).alias("fz"), F.max("z").alias("top"), F.sum("z").alias("sz"), F.count("z").alias("n"))
+    tiles = cells.groupBy(tile).agg(F.coalesce(F.sum("gz") / F.nullif(F.sum("gn"), F.lit(0)), F.sum("sz") / F.sum("n")).alias("level"))
+    return cells.join(tiles, tile).select(tile, "gx", "gy", F.coalesce(F.col("gz") / F.nullif("gn", F.lit(0)), "level").alias("dtm"), F.coalesce("fz", "top").alias("dsm"))

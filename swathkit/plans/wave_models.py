@@ -1 +1,143 @@
-"""To come."""
+"""The model boundary."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from ..operators import grids as G
+from ..operators import scoring as S
+from .catalog import query
+from .fixtures import fixture, with_fixtures
+
+_L = with_fixtures("fx_logit")
+_PX = with_fixtures("fx_px")
+WEIGHTS = [[((k * 7 + i * 3) % 11 - 5) / 10 for i in range(64)] for k in range(4)]
+BIAS = [0.05, -0.02, 0.0, 0.01]
+
+
+def _scores(spark, d):
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("patch_id"), F.slice("embedding", 1, 10).cast("array<double>").alias("s"), F.col("embedding").cast("array<double>").alias("data"), "label")
+
+
+def _head():
+    return S.LinearHead(np.array(WEIGHTS), np.array(BIAS))
+
+
+@query(_L + "SELECT patch_id, class_idx AS code FROM fx_logit QUALIFY row_number() OVER (PARTITION BY patch_id ORDER BY logit DESC, class_idx) = 1")
+def argmax_class(spark, d):
+    return _scores(spark, d).select("patch_id", S.argmax("s").alias("code"))
+
+
+@query(_L + "SELECT patch_id, class_idx, round(exp(logit - max(logit) OVER w)/sum(exp(logit)) OVER w*exp(max(logit) OVER w), 6) AS p FROM fx_logit WINDOW w AS (PARTITION BY patch_id)")
+def softmax(spark, d):
+    return _scores(spark, d).select("patch_id", F.posexplode(S.softmax("s")).alias("class_idx", "p")).select("patch_id", "class_idx", F.round("p", 6).alias("p"))
+
+
+@query(_PX + "SELECT patch_id, c, round(avg(v), 6) AS v FROM fx_px GROUP BY ALL")
+def mean_pool(spark, d):
+    return fixture(spark, d, "fx_px").groupBy("patch_id", "c").agg(F.round(F.avg("v"), 6).alias("v"))
+
+
+_HEAD_SQL = "w AS (SELECT k::INTEGER AS k, i::INTEGER AS i, ((k*7+i*3) % 11 - 5)/10.0::DOUBLE AS w FROM range(4) a(k), range(64) b(i)), s AS (SELECT patch_id, k, sum(v*w) + ([0.05, -0.02, 0.0, 0.01])[k+1]::DOUBLE AS score FROM fx_px JOIN w ON i = r*8+c GROUP BY patch_id, k)"
+
+
+@query(with_fixtures("fx_px", also=_HEAD_SQL) + "SELECT patch_id, k AS class_idx, round(score, 6) AS score FROM s")
+def linear_head(spark, d):
+    return _scores(spark, d).select("patch_id", F.posexplode(S.linear_head(F.col("data"), WEIGHTS, BIAS)).alias("class_idx", "score")).select("patch_id", "class_idx", F.round("score", 6).alias("score"))
+
+
+_INFER = with_fixtures("fx_px", also=_HEAD_SQL) + "SELECT patch_id, k AS code, round(1/(SELECT sum(exp(x.score - s.score)) FROM s x WHERE x.patch_id = s.patch_id), 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY patch_id ORDER BY s.score DESC, k) = 1"
+
+
+@query(_INFER)
+def infer_patch(spark, d):
+    return S.predict_patches(_scores(spark, d), _head).select("patch_id", "code", F.round("score", 6).alias("score"))
+
+
+@query(_INFER)
+def infer_patch_multimodal(spark, d):
+    """Two halves of each vector as two modalities, and a third that only some patches have, which is left out."""
+    s = _scores(spark, d)
+    m = s.select("patch_id", F.lit("a").alias("modality"), F.slice("data", 1, 32).alias("data")).union(s.select("patch_id", F.lit("b"), F.slice("data", 33, 32))).union(s.where("label = 3").select("patch_id", F.lit("c"), F.slice("data", 1, 4)))
+    return S.predict_multimodal(m, _head).select("patch_id", "code", F.round("score", 6).alias("score"))
+
+
+_CELL_SQL = "z AS (SELECT patch_id, r, c, v, [v*1.0, v*-0.5+0.02, 0.01::DOUBLE] AS s FROM fx_px), y AS (SELECT patch_id, r, c, s, list_max(s) AS top FROM z), x AS (SELECT patch_id, r, c, (list_position(s, top)-1)::INTEGER AS code, 1/(exp(s[1]-top)+exp(s[2]-top)+exp(s[3]-top)) AS p FROM y)"
+
+
+def _cell_head():
+    return S.LinearHead(np.array([[1.0], [-0.5], [0.0]]), np.array([0.0, 0.02, 0.01]))
+
+
+def _class_maps(spark, d):
+    return S.predict_cells(_scores(spark, d), _cell_head, 8)
+
+
+@query(with_fixtures("fx_px", also=_CELL_SQL) + "SELECT patch_id, r, c, code, round(p, 6) AS p FROM x")
+def infer_segment(spark, d):
+    return _class_maps(spark, d).select("patch_id", "r", "c", "code", F.round("p", 6).alias("p"))
+
+
+def _windows():
+    """Overlapping windows: patch k starts at column 4 k of one long strip."""
+    return (F.col("patch_id") * 4 + F.col("c")).alias("gc")
+
+
+@query(with_fixtures("fx_px", also=_CELL_SQL) + "SELECT r, patch_id*4+c AS gc, code, round(p, 6) AS p FROM x QUALIFY row_number() OVER (PARTITION BY r, patch_id*4+c ORDER BY p DESC, patch_id) = 1")
+def mosaic_maxproba(spark, d):
+    cells = _class_maps(spark, d).select("patch_id", "r", _windows(), "code", "p")
+    return S.mosaic_best(cells, ["r", "gc"], "code", "p", "patch_id").select("r", "gc", "code", F.round("p", 6).alias("p"))
+
+
+_BLEND = "b AS (SELECT r, patch_id*4+c AS gc, k::INTEGER AS k, s[k+1] AS p, greatest((0.5::DOUBLE-0.5::DOUBLE*cos(2*pi()*r/7))*(0.5::DOUBLE-0.5::DOUBLE*cos(2*pi()*c/7)), 1e-6) AS w FROM z, range(3) t(k)), bb AS (SELECT r, gc, k, sum(p*w)/greatest(sum(w), 1e-8) AS score FROM b GROUP BY ALL)"
+
+
+@query(with_fixtures("fx_px", also=f"{_CELL_SQL}, {_BLEND}") + "SELECT r, gc, k, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY r, gc ORDER BY score DESC, k) AS n FROM bb) WHERE n = 1")
+def blend_hann(spark, d):
+    px = fixture(spark, d, "fx_px")
+    scores = px.select("patch_id", "r", "c", F.posexplode(F.array(F.col("v") * 1.0, F.col("v") * -0.5 + 0.02, F.lit(0.01))).alias("k", "p"))
+    w = G.hann(spark, 8).select(F.col("i").alias("r"), F.col("j").alias("c"), F.col("weight").alias("w"))
+    cells = scores.join(F.broadcast(w), ["r", "c"]).select("r", _windows(), "k", "p", "w")
+    return S.blend(cells, ["r", "gc"], "k", "p", "w").select("r", "gc", "k", F.round("score", 6).alias("score"))
+
+
+@query(with_fixtures("fx_px", also=f"{_CELL_SQL}, {_BLEND}") + "SELECT r, gc, ([1, 5, 4])[k+1]::INTEGER AS code FROM (SELECT *, row_number() OVER (PARTITION BY r, gc ORDER BY score DESC, k) AS n FROM bb) WHERE n = 1")
+def infer_flair(spark, d):
+    """Windows, scores, blending and land-cover codes in one plan."""
+    from ..operators.classes import landcover_code
+
+    return blend_hann(spark, d).select("r", "gc", landcover_code("k").alias("code"))
+
+
+_EPOCHS = "e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INTEGER AS epoch, value FROM events), f AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM e), g AS (SELECT *, best IS NULL OR value > best AS improved FROM f), h AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY user_id ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS waited FROM g)"
+
+
+@query(f"WITH {_EPOCHS} SELECT user_id, epoch, improved, waited, max(waited) OVER (PARTITION BY user_id ORDER BY epoch ROWS UNBOUNDED PRECEDING) >= 15 AS stopped FROM h")
+def early_stop(spark, d):
+    from pyspark.sql import Window
+
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).alias("epoch"), "value")
+    return S.early_stop(e, "user_id", "epoch", "value", 15).select("user_id", "epoch", "improved", "waited", "stopped")
+
+
+@query("SELECT vec_id AS patch_id, label AS code, doc_id IS NOT NULL AS known FROM embeddings LEFT JOIN labels ON vec_id = doc_id")
+def join_prediction(spark, d):
+    grid = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("patch_id"), F.col("label").alias("code"))
+    pred = spark.read.parquet(f"{d}/labels.parquet").select(F.col("doc_id").alias("patch_id"), F.lit(True).alias("known"))
+    return grid.join(pred, "patch_id", "left").na.fill({"known": False})
+
+
+@query("SELECT 'model.seg.' AS prefix, 3::BIGINT AS n")
+def model_match_prefix(spark, d):
+    names = spark.createDataFrame([("model.seg.a",), ("model.seg.b",), ("model.seg.c",), ("model.x",), ("other",)], "name string")
+    return S.best_prefix(names, spark.createDataFrame([("a",), ("b",), ("c",), ("x",)], "name string"), ["", "model.", "model.seg."])
+
+
+@query("SELECT unnest(['m1', 'm2']) AS model, unnest(['w.ckpt', 'b.pth']) AS file")
+def model_fetch(spark, d):
+    files = spark.createDataFrame([("m1", "w.safetensors"), ("m1", "w.ckpt"), ("m1", "a.bin"), ("m2", "b.pth"), ("m2", "c.pth"), ("m3", "readme.md")], "model string, file string")
+    return S.best_file(files)
+
+
