@@ -7,9 +7,9 @@ a line that comes earlier (by first document, then by text) is within ``EDITS``
 The edit join: a line is split into ``EDITS + 1`` segments of nearly equal length; within so few edits of another
 line, one of its segments occurs there unchanged, in one of a few places that the two lengths allow. So each distinct
 line puts its own segments into an index by segment number, length and content, and probes the index with the
-substrings of itself at those places, for each length of up to ``EDITS`` characters less. Candidates whose letter
-parities differ in more than ``2 * EDITS`` letters (an edit changes two at most) are left out inside the join; the
-others are verified by a banded bit-parallel edit distance (Hyyro, 2003) over the characters, on 64-bit integers.
+substrings of itself at those places, for each length of up to ``EDITS`` characters less. Candidates whose counts of
+some letters differ by more than ``2 * EDITS`` in all (an edit changes two counts by one at most) are left out inside
+the join; the others are verified by a banded bit-parallel edit distance (Hyyro, 2003) over the characters, on 64-bit integers.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ EDITS = 2
 MIN_CHARS = 10
 MIN_FUZZY = 40
 BROADCAST_ROWS = 200_000
-LETTERS = "etaoinshrdlcumwfgypb"
+LETTERS = "eantr"
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -32,11 +32,21 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.posexplode(parts).alias("pos", "raw")).select("doc_id", "pos", F.trim("raw").alias("line"))
 
 
-def parity(line: Column) -> Column:
-    """A bit for each of some letters: whether it occurs an odd number of times."""
-    out = F.lit(0)
+def letter_counts(line: Column) -> Column:
+    """How often each of some letters occurs, up to 4095, packed into a long."""
+    out = F.lit(0).cast("long")
     for k, letter in enumerate(LETTERS):
-        out = out.bitwiseOR(F.shiftleft((F.length(line) - F.length(F.replace(line, F.lit(letter), F.lit("")))).bitwiseAND(F.lit(1)), k))
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        out = out.bitwiseOR(F.shiftleft(F.least(n, F.lit(4095)).cast("long"), 12 * k))
+    return out
+
+
+def counts_apart(a: Column, b: Column) -> Column:
+    """The sum of the differences of two packed counts."""
+    at = lambda c, k: F.shiftright(c, 12 * k).bitwiseAND(F.lit(4095))
+    out = F.abs(at(a, 0) - at(b, 0))
+    for k in range(1, len(LETTERS)):
+        out = out + F.abs(at(a, k) - at(b, k))
     return out
 
 
@@ -90,25 +100,32 @@ def within_edits(a: str, b: str, edits: int) -> str:
     return f"element_at(transform(array(struct({chars(a)} AS x, {chars(b)} AS y)), q -> aggregate(sequence(1, size(q.y)), {start}, (s, j) -> {step.replace('get(x,', 'get(q.x,').replace('y[j', 'q.y[j').replace('size(x)', 'size(q.x)')}).score), 1) <= {k}"
 
 
-def edit_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_FUZZY, sources: DataFrame | None = None) -> DataFrame:
-    """a, b (ids of distinct lines, Spark's 64-bit hashes) of all pairs of lines within ``edits`` edits.
+def keyed_lines(distinct: DataFrame, edits: int = EDITS, min_chars: int = MIN_FUZZY) -> DataFrame:
+    """``distinct`` (line and any other columns) with, for its line, id (Spark's 64-bit hash), head (the first 64
+    characters), counts of letters and, if it is long enough, the keys of the index and of the probes."""
+    line = F.col("line")
+    long = F.length(line) >= max(min_chars, 2 * edits + 2)
+    others = [c for c in distinct.columns if c != "line"]
+    return distinct.select(*others, F.xxhash64(line).alias("id"), F.substring(line, 1, 64).alias("head"), F.when(long, letter_counts(line)).alias("counts"), F.when(long, index_keys(line, edits)).alias("index_keys"), F.when(long, probe_keys(line, edits)).alias("probe_keys"))
+
+
+def edit_links(keyed: DataFrame, sources: DataFrame, edits: int = EDITS) -> DataFrame:
+    """a, b (ids of distinct lines) of all pairs of lines within ``edits`` edits.
 
-    ``lines`` has one row for each distinct line: id, line. ``sources`` may give (id, line) rows, with repeats, from which
-    the few lines to be verified are read again; else they are read from ``lines``.
+    ``keyed`` has one row for each distinct line, as ``keyed_lines`` makes them; ``sources`` (id, line), with repeats,
+    gives the text of the few lines that are to be verified.
     """
-    fit = lines.where(F.length("line") >= max(min_chars, 2 * edits + 2))
-    rows = fit.select("id", parity(F.col("line")).alias("sig"), "line")
-    index = rows.select("id", "sig", F.explode(index_keys(F.col("line"), edits)).alias("key"))
-    probe = rows.select(F.col("id").alias("other"), F.col("sig").alias("other_sig"), F.explode(probe_keys(F.col("line"), edits)).alias("key"))
-    near = (F.col("id") != F.col("other")) & (F.bit_count(F.col("sig").bitwiseXOR(F.col("other_sig"))) <= 2 * edits)
+    index = keyed.where("counts IS NOT NULL").select("id", "counts", F.explode("index_keys").alias("key"))
+    probe = keyed.where("counts IS NOT NULL").select(F.col("id").alias("other"), F.col("counts").alias("other_counts"), F.explode("probe_keys").alias("key"))
+    near = (F.col("id") != F.col("other")) & (counts_apart(F.col("counts"), F.col("other_counts")) <= 2 * edits)
     joined = index.join(probe, (index["key"] == probe["key"]) & near)
     pairs = common.materialize(joined.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
     asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # at most twice as many ids, of 8 bytes
-    texts = (sources if sources is not None else lines).join(F.broadcast(asked) if few else asked, "id", "left_semi").dropDuplicates(["id"])
+    texts = sources.join(F.broadcast(asked) if few else asked, "id", "left_semi").dropDuplicates(["id"])
     texts = common.materialize(texts.select("id", "line"))
     wide = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("p")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("q")), "b")
-    wide = wide.selectExpr("a", "b", "if(length(p) <= length(q), p, q) AS p", "if(length(p) <= length(q), q, p) AS q")
+    wide = wide.selectExpr("a", "b", "if(length(p) <= length(q), p, q) AS p", "if(length(p) <= length(q), q, p) AS q").where(f"length(q) - length(p) <= {edits}")
     return wide.where(F.expr(within_edits("p", "q", edits))).select("a", "b")
 
 
@@ -117,14 +134,13 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows that share an id count as one document, whose equal lines at one place count once.
     """
-    all_lines = lines_of(docs, id_col, text_col)
-    long = all_lines.where(F.length("line") >= min_chars)
+    long = lines_of(docs, id_col, text_col).where(F.length("line") >= min_chars)
     distinct = long.groupBy("line").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"))
-    with_id = distinct.select(F.xxhash64("line").alias("id"), "line")
-    links = common.materialize(edit_links(with_id, edits, min_fuzzy, long.select(F.xxhash64("line").alias("id"), "line")))
+    keyed = common.materialize(keyed_lines(distinct, edits, min_fuzzy))
+    links = common.materialize(edit_links(keyed, long.select(F.xxhash64("line").alias("id"), "line"), edits))
     # Only linked lines and lines with copies can lose anything.
+    known = keyed.select("id", "first", "copies", "head")
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    known = common.materialize(distinct.select(F.xxhash64("line").alias("id"), "first", "copies", F.substring("line", 1, 64).alias("head")))
     order = known.join(degree, "id", "left_semi").groupBy("id").agg(F.min(F.struct("first", "head", "id")).alias("o"))
     ranked = links.join(order.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(order.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
     later = ranked.select(F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct().withColumn("late", F.lit(True))
@@ -141,11 +157,11 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A null or empty text has no lines that could go (an empty text has one, empty, line). Empty tables give no rows.
     """
-    lines = lines_of(docs, id_col, text_col).select("doc_id", "pos").groupBy("doc_id").agg(F.countDistinct("pos").alias("n_lines"))
+    parts = F.size(F.split(F.col(text_col).cast("string"), "\n"))
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.when(F.col(text_col).isNull(), 0).otherwise(parts).alias("n")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("n").alias("n_lines"))
     lost = dropped_lines(docs, id_col, text_col).groupBy("doc_id").agg(F.count_if(~F.col("near")).alias("n_equal"), F.count_if(F.col("near")).alias("n_near"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    ids = docs.select(F.col(id_col).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    both = ids.join(lines, "doc_id", "left").join(lost, "doc_id", "left")
+    both = lines.join(lost, "doc_id", "left")
     return both.select("doc_id", zero("n_lines").alias("n_lines"), (zero("n_lines") - zero("n_equal") - zero("n_near")).alias("n_kept"), zero("n_equal").alias("n_equal"), zero("n_near").alias("n_near"))
 
 

@@ -1 +1,277 @@
-"""To come."""
+"""Sources and sinks: written and read again, planned requests, parsed responses, fallbacks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.dims import dim, dim_sql
+from ..operators import bands as B
+from ..operators import grids as G
+from ..operators import overlay as V
+from ..operators import points as P
+from ..operators import raster as R
+from ..operators import temporal as T
+from ..operators import zonal as Z
+from ..sources import services, storage
+from .catalog import query
+from .fixtures import fixture, with_fixtures
+
+_PX = with_fixtures("fx_px")
+_S = with_fixtures("fx_scene")
+_SAMPLE = with_fixtures("fx_sample")
+_MOSAIC = "m AS (SELECT ((patch_id // 25)*8 + r)::INTEGER AS r, ((patch_id % 25)*8 + c)::INTEGER AS c, v FROM fx_px)"
+_M = with_fixtures("fx_px", also=_MOSAIC)
+ENDPOINT = "https://maps.example.org/wms"
+
+
+def _mosaic(spark, d):
+    return fixture(spark, d, "fx_px").select(F.expr("CAST((patch_id DIV 25)*8 + r AS INT)").alias("r"), F.expr("CAST((patch_id % 25)*8 + c AS INT)").alias("c"), "v")
+
+
+def _stored(spark, d):
+    path = storage.scratch(spark, "raster")
+    storage.write_raster(_mosaic(spark, d), path, tile=32)
+    return path
+
+
+@query(_M + "SELECT r, c, v FROM m")
+def scan_raster(spark, d):
+    return storage.read_raster(spark, _stored(spark, d), tile=32)
+
+
+@query(_M + "SELECT r, c, v FROM m")
+def sink_raster(spark, d):
+    return storage.read_raster(spark, _stored(spark, d), tile=32)
+
+
+@query(_M + "SELECT r, c, v FROM m WHERE r BETWEEN 38 AND 52 AND c BETWEEN 8 AND 32")
+def scan_cog(spark, d):
+    """A window with a buffer: partitions and row groups outside of it are not read."""
+    return storage.read_raster(spark, _stored(spark, d), (40, 10, 50, 30), buffer=2, tile=32)
+
+
+@query()
+def scan_dir(spark, d):
+    """Files of a folder by kind, from their names alone."""
+    kinds = spark.createDataFrame([(t, f"/{t}.parquet") for t in ("embeddings", "documents", "none")], "modality string, suffix string")
+    return storage.count_by_modality(storage.list_files(spark, d, "*.parquet"), kinds)
+
+
+@query(with_fixtures("fx_poly") + "SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, round(sum((xmax-xmin)*(ymax-ymin))/10000, 6) AS area_ha FROM fx_poly")
+def scan_aoi(spark, d):
+    """Extent and area of an area of interest, from its rings."""
+    p = V.box_ring(fixture(spark, d, "fx_poly"))
+    return p.agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"), F.round(F.sum(V.ring_area("ring")) / 10000, 6).alias("area_ha"))
+
+
+@query("SELECT 1::INTEGER AS idx, 'https://maps.example.org/wms?SERVICE=WMS&VERSION=1.3.0&REQUEST=GetMap&LAYERS=ortho&STYLES=&CRS=EPSG%3A2154&FORMAT=image%2Fgeotiff&BBOX=652000.000,6812000.000,652200.000,6812100.000&WIDTH=1000&HEIGHT=500' AS url")
+def scan_wms_tile(spark, d):
+    return services.map_requests(G.request_tiles(spark, (652000.0, 6812000.0, 652200.0, 6812100.0), 0.2), ENDPOINT, "ortho").select("idx", "url")
+
+
+@query("SELECT i::INTEGER AS idx, 3 AS attempts, true AS fetched FROM range(1, 5) t(i)")
+def scan_wms_tiled(spark, d):
+    """All tiles of an area, each fetched at the third attempt from a service that fails twice."""
+    tiles = services.map_requests(G.request_tiles(spark, (0.0, 0.0, 1600.0, 1000.0), 0.2), ENDPOINT, "ortho")
+    seen: dict[str, int] = {}
+
+    def get(url: str) -> bytes | None:
+        seen[url] = seen.get(url, 0) + 1
+        return url.encode() if seen[url] == 3 else None
+
+    return services.fetch(tiles, get, wait=lambda s: None).select("idx", F.col("attempts").cast("int").alias("attempts"), F.col("content").isNotNull().alias("fetched"))
+
+
+@query(_M + "SELECT r, c, v FROM m WHERE r < 8")
+def scan_ortho(spark, d):
+    """A vintage without enough coverage gives way to the latest imagery."""
+    m = _mosaic(spark, d).where("r < 8")
+    return storage.first_covered([m.withColumn("v", F.lit(0.0)), m], "v")
+
+
+@query(_M + "SELECT r // 2 AS r, c // 2 AS c, round(avg(v), 6) AS v FROM m GROUP BY ALL")
+def scan_dtm(spark, d):
+    """A terrain model at half its resolution."""
+    return R.block_mean(_mosaic(spark, d), [], "r", "c", "v", 2).select("r", "c", F.round("v", 6).alias("v"))
+
+
+_TERRAIN = "l AS (SELECT r, c, v AS e, lag(v) OVER w AS d, lead(v) OVER w AS f FROM m WINDOW w AS (PARTITION BY r ORDER BY c)), n AS (SELECT r, c, lag(d) OVER w AS a, lag(e) OVER w AS b, lag(f) OVER w AS cc, d, e, f, lead(d) OVER w AS g, lead(e) OVER w AS h, lead(f) OVER w AS i FROM l WINDOW w AS (PARTITION BY c ORDER BY r)), q AS (SELECT r, c, atan(sqrt(pow(((cc+2*f+i)-(a+2*d+g))/8, 2)+pow(((g+2*h+i)-(a+2*b+cc))/8, 2))) AS s FROM n)"
+
+
+@query(with_fixtures("fx_px", also=f"{_MOSAIC}, {_TERRAIN}") + 'SELECT r, c, round(degrees(s), 6) AS "SLOPE", CASE WHEN s IS NOT NULL THEN round(greatest(0::DOUBLE, least(30::DOUBLE, ln(1/greatest(tan(s), 0.001::DOUBLE)))), 6) END AS "TWI" FROM q')
+def scan_dem(spark, d):
+    """Elevation channels made only as asked for."""
+    n = R.focal_3x3(_mosaic(spark, d), "r", "c", "v").select("r", "c", F.round(F.degrees(R.slope()), 6).alias("SLOPE"), F.round(R.wetness(R.slope()), 6).alias("TWI"))
+    return B.select_channels(n, ["r", "c"], ["SLOPE", "TWI"])
+
+
+@query(_M + "SELECT r, c, v AS \"DSM\", v AS \"DTM\", 'terrain_fallback' AS dsm_source FROM m")
+def scan_dem2(spark, d):
+    """A surface model with too little coverage gives way to the terrain model, and says so."""
+    dtm = _mosaic(spark, d)
+    dsm = dtm.withColumn("v", F.when(F.col("r") < 4, F.col("v") + 1))
+    n, known = dsm.agg(F.count(F.lit(1)), F.count_if(B.finite("v") & (F.col("v") != 0))).first()
+    low = 100.0 * known / max(1, n) < 10.0
+    both = dtm.select("r", "c", F.col("v").alias("DTM")).join((dtm if low else dsm).select("r", "c", F.col("v").alias("DSM")), ["r", "c"])
+    return both.select("r", "c", "DSM", "DTM", F.lit("terrain_fallback" if low else "surface").alias("dsm_source"))
+
+
+@query(with_fixtures("fx_point", also="g AS (SELECT tile_id, floor(x/10)::INTEGER AS gx, floor(y/10)::INTEGER AS gy, max(z) FILTER (return_number = 1) AS fz, max(z) AS top FROM fx_point GROUP BY ALL)") + "SELECT tile_id, gx, gy, round(coalesce(fz, top) + 1e-7, 4) AS dsm FROM g")
+def scan_las(spark, d):
+    return P.grid_heights(fixture(spark, d, "fx_point"), "tile_id", 10.0).select("tile_id", "gx", "gy", F.round(F.col("dsm") + 1e-7, 4).alias("dsm"))
+
+
+@query(with_fixtures("fx_poly") + "SELECT tfv AS code, xmin AS x, ymin AS y, 4 AS corners FROM fx_poly WHERE poly_id <= 50")
+def scan_wfs(spark, d):
+    """Features of vector responses, one response for each polygon, and a broken one."""
+    p = fixture(spark, d, "fx_poly").where("poly_id <= 50")
+    pt = lambda x, y: F.array(F.col(x), F.col(y))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(F.array(pt("xmin", "ymin"), pt("xmax", "ymin"), pt("xmax", "ymax"), pt("xmin", "ymax"))).alias("coordinates"))
+    bodies = p.select(F.to_json(F.struct(F.array(F.struct(F.struct("tfv").alias("properties"), geometry.alias("geometry"))).alias("features"))).alias("body"))
+    got = services.features(bodies.union(spark.createDataFrame([("<html>",)], "body string")))
+    return got.select(F.col("properties")["tfv"].alias("code"), F.get("ring", F.lit(0))["x"].alias("x"), F.get("ring", F.lit(0))["y"].alias("y"), F.size("ring").alias("corners"))
+
+
+@query(with_fixtures("fx_poly") + "SELECT poly_id, tfv FROM fx_poly WHERE poly_id % 7 = 3 AND xmin < 60 AND xmax > 10 AND ymin < 60 AND ymax > 10")
+def scan_bdforet(spark, d):
+    """Of several candidate layers, the first with a polygon, clipped to the area."""
+    p = fixture(spark, d, "fx_poly")
+    layers = [p.where("poly_id < 0"), p.where("poly_id % 7 = 3"), p]
+    chosen = next(x for x in layers if not x.isEmpty())
+    return V.clip_boxes(chosen, (10.0, 10.0, 60.0, 60.0)).select("poly_id", "tfv")
+
+
+def _items(spark, d):
+    s = fixture(spark, d, "fx_scene")
+    item = F.to_json(F.struct(F.col("scene_id").cast("string").alias("id"), F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime"), F.col("cloud").cast("double").alias("eo:cloud_cover"), F.upper("orbit").alias("sat:orbit_state")).alias("properties"), F.create_map(F.lit("B04"), F.struct(F.concat(F.lit("s/"), F.col("scene_id")).alias("href"))).alias("assets")))
+    return services.catalog_items(s.select(item.alias("item")))
+
+
+@query(_S + "SELECT scene_id::VARCHAR AS id, ts::DATE::VARCHAR AS date, cloud::DOUBLE AS cloud_cover, 's/' || scene_id AS href FROM fx_scene WHERE cloud <= 30")
+def scan_stac_s2(spark, d):
+    return _items(spark, d).where(F.col("cloud_cover").isNotNull() & (F.col("cloud_cover") <= 30)).select("id", F.col("date").cast("string").alias("date"), "cloud_cover", F.col("assets")["B04"].alias("href"))
+
+
+@query(_S + "SELECT scene_id::VARCHAR AS id, ts::DATE::VARCHAR AS date, orbit FROM fx_scene WHERE orbit = 'descending'")
+def scan_stac_s1(spark, d):
+    return T.filter_orbit(_items(spark, d), "descending").select("id", F.col("date").cast("string").alias("date"), "orbit")
+
+
+@query(_PX + "SELECT patch_id, r, c, v AS b04, -v AS b08 FROM fx_px")
+def scan_s2_scene(spark, d):
+    """Bands in rows, one missing, stacked side by side."""
+    px = fixture(spark, d, "fx_px").select("patch_id", "r", "c", "v")
+    long = px.withColumn("band", F.lit("b04")).union(px.select("patch_id", "r", "c", -F.col("v"), F.lit("b08")))
+    return long.groupBy("patch_id", "r", "c").pivot("band", ["b04", "b08"]).agg(F.first("v"))
+
+
+@query(_PX + "SELECT patch_id, r, c, CASE WHEN v > 0 THEN round(10*log10(v), 6) END AS vv FROM fx_px WHERE patch_id % 2 = 0")
+def scan_s1_orbit(spark, d):
+    return fixture(spark, d, "fx_px").where("patch_id % 2 = 0").select("patch_id", "r", "c", F.round(B.decibels("v"), 6).alias("vv"))
+
+
+_BEST = "own AS (SELECT * FROM fx_scene WHERE {0}), near AS (SELECT * FROM own WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'), pick AS (SELECT * FROM near UNION ALL SELECT * FROM own WHERE tile_id NOT IN (SELECT tile_id FROM near)) SELECT tile_id, scene_id FROM pick QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY cloud, scene_id) = 1"
+
+
+def _scene_near(scenes):
+    """The best scene of each tile in a window around a date; where it has none, of all."""
+    near = scenes.where(F.to_date("ts").between("2024-01-05", "2024-01-09"))
+    rest = scenes.join(near.select("tile_id").distinct(), "tile_id", "left_anti")
+    return T.best_scenes(near.unionByName(rest), ["tile_id"]).select("tile_id", "scene_id")
+
+
+@query(_S.rstrip() + ", " + _BEST.format("cloud <= 20"))
+def scan_s2(spark, d):
+    return _scene_near(T.filter_cloud(fixture(spark, d, "fx_scene"), 20))
+
+
+@query(_S.rstrip() + ", " + _BEST.format("orbit = 'ascending'"))
+def scan_s1(spark, d):
+    return _scene_near(T.filter_orbit(fixture(spark, d, "fx_scene"), "ascending"))
+
+
+@query(with_fixtures("fx_domain", also=f"s AS ({dim_sql('dim_modality_suffix')})") + "SELECT modality, count(*) AS n FROM fx_domain JOIN s ON contains(path, suffix) GROUP BY modality")
+def scan_hf(spark, d):
+    """Archives of a listing by modality."""
+    return storage.count_by_modality(fixture(spark, d, "fx_domain"), dim(spark, "dim_modality_suffix"))
+
+
+@query("SELECT 'imagery/train/TRAIN-' || i || '.tiff' AS entry, i::VARCHAR AS patch_id, 'content ' || i AS content FROM range(6) t(i)")
+def scan_zip_samples(spark, d):
+    """Entries of an archive with known ids; unknown ones are counted elsewhere, not kept."""
+    import io
+    import zipfile
+
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for i in range(6):
+            z.writestr(f"imagery/train/TRAIN-{i}.tiff", f"content {i}")
+        z.writestr("imagery/train/TRAIN-unknown.tiff", "x")
+    path = storage.scratch(spark, "zips")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/a.zip").getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/a.zip"))
+    out.write(bytearray(buffer.getvalue()))
+    out.close()
+    entries = storage.zip_entries(spark, path).withColumn("patch_id", F.regexp_extract("entry", r"([^/-]+)\.tiff$", 1))
+    known = spark.range(6).select(F.col("id").cast("string").alias("patch_id"))
+    return entries.join(known, "patch_id").select("entry", "patch_id", F.col("content").cast("string").alias("content"))
+
+
+@query(_SAMPLE + "SELECT patch_id::VARCHAR AS patch_id, label, split FROM fx_sample")
+def scan_labels(spark, d):
+    path = storage.scratch(spark, "labels")
+    s = fixture(spark, d, "fx_sample").select(F.col("patch_id").cast("string").alias("patch_id"), "label", F.when(F.col("split") == "validation", "val").otherwise(F.col("split")).alias("split"))
+    s.write.csv(path, header=True)
+    return storage.read_labels(spark, path, "csv")
+
+
+@query(_S + "SELECT tile_id, count(*) AS n, round(avg(value), 6) AS v FROM fx_scene WHERE cloud < 50 GROUP BY tile_id")
+def scan_h5_ts(spark, d):
+    """Time series in long form in Parquet, read with the mask as a pushed filter."""
+    path = storage.scratch(spark, "series")
+    fixture(spark, d, "fx_scene").select("tile_id", "ts", "cloud", "value").write.parquet(path)
+    return spark.read.parquet(path).where("cloud < 50").groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("v"))
+
+
+@query(with_fixtures("fx_cells", also=f"dim AS ({dim_sql('dim_essences')}), n AS (SELECT seg AS code, count(*) AS n FROM fx_cells WHERE seg IS NOT NULL GROUP BY seg)") + "SELECT classe, n, round(100.0::DOUBLE*n/(SELECT sum(n) FROM n), 1) AS proportion FROM n JOIN dim USING (code)")
+def sink_patch_result(spark, d):
+    """Counts and shares of predicted classes, written as CSV and read again."""
+    pred = fixture(spark, d, "fx_cells").join(F.broadcast(dim(spark, "dim_essences")), F.col("seg") == F.col("code"), "left").where("classe IS NOT NULL")
+    n = pred.groupBy("classe").agg(F.count(F.lit(1)).alias("n"))
+    path = storage.scratch(spark, "result")
+    n.select("classe", "n", F.round(Z.share(F.col("n")) * 100.0, 1).alias("proportion")).orderBy(F.desc("n"), "classe").write.csv(path, header=True)
+    return spark.read.schema("classe STRING, n BIGINT, proportion DOUBLE").option("header", "true").csv(path)
+
+
+@query(with_fixtures("fx_cells", also=f"dim AS ({dim_sql('dim_cosia')}), n AS (SELECT flair AS code, count(*) AS n_pixels FROM fx_cells WHERE flair IS NOT NULL GROUP BY flair)") + "SELECT code, n_pixels, round(n_pixels*100.0::DOUBLE/(SELECT sum(n_pixels) FROM n), 2) AS proportion, classe FROM n LEFT JOIN dim USING (code)")
+def sink_flair_result(spark, d):
+    path = storage.scratch(spark, "cover")
+    Z.landcover(fixture(spark, d, "fx_cells"), "flair", dim(spark, "dim_cosia")).select("code", "n_pixels", "proportion", "classe").write.csv(path, header=True)
+    return spark.read.schema("code INT, n_pixels BIGINT, proportion DOUBLE, classe STRING").option("header", "true").csv(path)
+
+
+@query(_SAMPLE + "SELECT split, modality, count(*) AS n FROM fx_sample GROUP BY ALL")
+def sink_train_patches(spark, d):
+    path = storage.scratch(spark, "patches")
+    fixture(spark, d, "fx_sample").select("patch_id", "value", "split", "modality").write.partitionBy("split", "modality").parquet(path)
+    return spark.read.parquet(path).groupBy("split", "modality").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_SAMPLE + "SELECT modality, round(avg(value), 6) AS v_mean, CASE WHEN modality = 'en' THEN 'new' ELSE 'old' END AS origin FROM fx_sample GROUP BY modality")
+def sink_index(spark, d):
+    """Statistics by modality: read, merged with new ones, which win, and written."""
+    stats = fixture(spark, d, "fx_sample").groupBy("modality").agg(F.round(F.avg("value"), 6).alias("v_mean"))
+    path = storage.scratch(spark, "index")
+    stats.withColumn("origin", F.lit("old")).write.json(path)
+    old = spark.read.schema("modality STRING, v_mean DOUBLE, origin STRING").json(path)
+    return storage.merge_by_key(old, stats.where("modality = 'en'").withColumn("origin", F.lit("new")), "modality")
+
+
+@query("SELECT 'best' AS name, 0.75::DOUBLE AS val_acc, 12 AS epoch")
+def sink_report(spark, d):
+    """A run's report as JSON, written and read again."""
+    path = storage.scratch(spark, "report")
+    spark.createDataFrame([("best", 0.75, 12)], "name string, val_acc double, epoch int").select(F.to_json(F.struct("name", "val_acc", "epoch")).alias("value")).write.text(path)
+    return spark.read.text(path).select(F.from_json("value", "name STRING, val_acc DOUBLE, epoch INT").alias("x")).select("x.*")
+
+
