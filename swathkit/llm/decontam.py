@@ -284,9 +284,11 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the hit spans cut out of the texts; clean rows stay as they are."""
+    """``docs`` with the hit spans cut out of the texts; clean rows and all other columns stay as they are."""
     columns = docs.columns
-    found = find_benchmark(docs, benchmark, text_col).select(*columns, "hit_spans")
+    # Columns are numbered meanwhile, so that none is taken for one that the search adds.
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(columns))])
+    found = find_benchmark(numbered, benchmark, f"c{columns.index(text_col)}").select(*numbered.columns, "hit_spans")
     at = columns.index(text_col)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

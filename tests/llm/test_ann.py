@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from swathkit.llm import ann, queries
 
@@ -53,7 +54,7 @@ def test_hard_shapes(spark, kind):
     rows = {k: [float(v) for v in x[k]] for k in range(1200)}
     df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
     found = {}
-    for r in ann.nearest(df, df["vec_id"] % 50 == 0).orderBy("query_id", "rank").collect():
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
         found.setdefault(r["query_id"], []).append(r["vec_id"])
     want = brute(rows, range(0, 1200, 50))
     assert sum(len(set(found[q]) & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
@@ -65,8 +66,8 @@ def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], "a"), (1, [2.0, 0.0], "a"), (2, [0.0, 1.0], "a"), (3, None, "a"), (4, [0.0, 0.0], "a"), (5, [nan, 1.0], "a"), (6, [inf, 1.0], "a"), (7, [None, 1.0], "a"), (None, [1.0, 1.0], "a"), (2, [0.0, 1.0], "a"), (8, [1.0, 2.0, 3.0], "a")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
-    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.nearest(df, df["vec_id"] % 50 == 0).orderBy("rank").collect()]
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 1, 1.0), (0, 2, 2, 0.0)]
-    assert ann.nearest(df.limit(0), df["vec_id"] % 50 == 0).count() == 0
+    assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     one = df.where("vec_id = 0")
-    assert ann.nearest(one, one["vec_id"] % 50 == 0).count() == 0
+    assert ann.nearest(one, F.col("vec_id") % 50 == 0).count() == 0
