@@ -41,6 +41,7 @@ BATCH = 1024
 NOISE = 64
 RATE = 0.15
 LEAST_TARGETS = 2_000_000
+MOST_PASSES = 5
 BLOCKS = 16
 END = b""
 
@@ -162,7 +163,7 @@ class Trainer:
     def learn(self, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
         """Contexts (two before, one before) and targets; few targets are gone through several times."""
         self.seen += np.bincount(w, minlength=SYMBOLS)
-        order = np.concatenate([self.rng.permutation(len(w)) for _ in range(max(1, min(20, LEAST_TARGETS // len(w))))])
+        order = np.concatenate([self.rng.permutation(len(w)) for _ in range(max(1, min(MOST_PASSES, LEAST_TARGETS // len(w))))])
         for k in range(0, len(order), BATCH):
             own = order[k : k + BATCH]
             x, y, z = u[own], v[own], w[own]
