@@ -5,7 +5,8 @@ recall wanted at the threshold. Representatives meet in the buckets of their ban
 ``SMALL_BUCKET`` all pairs are candidates, in a larger one each meets the pivot, the document that most others meet.
 Candidates are verified on their full n-gram sets. Then, in larger buckets, whatever the pivots have left in different
 components is compared as well, but for pairs that n-grams of one document alone rule out: so every pair that shares a
-bucket is verified, already in one component, or known to be below the threshold.
+bucket is verified, already in one component, or known to be below the threshold. Last, links are counted: inside each
+component all pairs are compared on their full sets, block against block, whatever the sizes of their buckets.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ RECALL = 0.9999
 MAX_HASHES = 128
 SMALL_BUCKET = 12
 CHUNK_NGRAMS = 1 << 15
+BLOCK_DOCS = 1024
+BLOCK_NGRAMS = 1 << 17
+RARE = 16
 WORD_CACHE = 400_000
 
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -154,17 +158,101 @@ def own_ngrams(asked: DataFrame, docs: DataFrame) -> DataFrame:
     return alone.groupBy("rep").agg(F.count(F.lit(1)).alias("own"))
 
 
-def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, links, classes) of the join.
-
-    members: doc_id, rep (the smallest id with the same n-gram set). links: a < b (representatives), similarity. classes:
-    doc_id, class_id (the smallest id of all that links connect), n_links (verified links of its representative, plus
-    the other documents of its set). Documents without words and rows without an id stay alone; rows that share an id
-    count as one document with its first text. Links in large buckets are those found through pivots and between what
-    these left apart: inside one component not every pair is verified. Empty tables give no rows.
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of ``left`` (rows) shares with each set of ``right``; sets are without repeats."""
+    n, m = len(left), len(right)
+    flat = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(n + m), [len(x) for x in (*left, *right)])
+    order = np.argsort(flat, kind="stable")  # so the owners of an n-gram ascend, those of the left first
+    flat, owner = flat[order], owner[order]
+    gram = np.cumsum(np.concatenate([[0], flat[1:] != flat[:-1]]))
+    often = np.bincount(gram) > RARE
+    out = np.zeros(n * m, np.int64)
+    at = often[gram]
+    g, o = gram[~at], owner[~at]
+    for step in range(1, RARE):  # n-grams of few sets, pair by pair
+        k = np.flatnonzero(g[step:] == g[:-step])
+        a, b = o[k], o[k + step]
+        cross = (a < n) & (b >= n)
+        out += np.bincount(a[cross] * m + b[cross] - n, minlength=n * m)
+    out = out.reshape(n, m)
+    g, o = (np.cumsum(often) - 1)[gram[at]], owner[at]
+    for start in range(0, int(often.sum()), 2048):  # the others by products of matrices, exact in these numbers
+        low, high = np.searchsorted(g, [start, start + 2048])
+        has = np.zeros((n + m, 2048), np.float32)
+        has[o[low:high], g[low:high] - start] = 1
+        out += (has[:n] @ has[n:].T).astype(np.int64)
+    return out
+
+
+def compared(roots: DataFrame, reps: DataFrame, docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(links: a < b, similarity; degrees: rep, degree, the number of its links) from all pairs of each component.
+
+    A component is dealt by hash into blocks of about ``BLOCK_DOCS`` representatives and ``BLOCK_NGRAMS`` n-grams; each
+    pair of its blocks is a group of its own. Components of one block share groups.
     """
+    nodes = reps.select("rep", "n", "set_hash").join(roots.select(F.col("node").alias("rep"), "root"), "rep")
+    sizes = nodes.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_NGRAMS)).cast("int").alias("parts"), F.sum("n").alias("grams"))
+    placed = common.materialize(nodes.join(sizes, "root").select(F.col("rep").alias("doc_id"), "n", "set_hash", "root", "parts", F.expr("CAST(pmod(xxhash64(rep), parts) AS INT)").alias("own")))
+    single = placed.where("parts = 1").agg(F.sum("n")).first()[0] or 0
+    bins = 1 + single // BLOCK_NGRAMS
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sets = [shingles(t.as_py()) for t in batch.column("text")]
+            fine = [xxhash.xxh128_digest(x.tobytes()) == h.as_py() for x, h in zip(sets, batch.column("set_hash"))]
+            columns = [batch.column(c) for c in ("doc_id", "root", "parts", "own")]
+            made = pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in sets], pa.binary())], names=["rep", "root", "parts", "own", "grams"])
+            yield made.filter(pa.array(fine, pa.bool_()))
+
+    sets = docs.join(placed.drop("n"), "doc_id").mapInArrow(batches, "rep long, root long, parts int, own int, grams binary")
+    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(F.expr(f"if(parts = 1, -1 - pmod(xxhash64(root), {bins}), root)").alias("of"), (F.col("parts") > 1).alias("cut"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "root", "rep", "own", "grams")
+    groups = dealt.groupBy("of", "cut", "i", "j")
+
+    def pieces(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, bool, np.ndarray, np.ndarray]]:
+        """Ids of rows and of columns, whether they are the same, which pairs are links and the similarities, for each component."""
+        ids, first = np.unique(table.column("rep").to_numpy(), return_index=True)
+        roots, own = table.column("root").to_numpy()[first], table.column("own").to_numpy()[first]
+        grams = table.column("grams").combine_chunks()
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        order = np.argsort(roots, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1):
+            x, y = at[own[at] == i], at[own[at] == j]
+            if not len(x) or not len(y):
+                continue
+            told = lambda where: [np.frombuffer(grams[int(k)].as_buffer(), np.uint64) for k in first[where]]
+            left, right = told(x), told(y)
+            both = shared_counts(left, right)
+            similar = both / (np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right]) - both)
+            fine = similar >= threshold - 1e-12
+            if i == j:
+                np.fill_diagonal(fine, False)
+            yield ids[x], ids[y], i == j, fine, similar
+
+    def link(table: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for x, y, same, fine, similar in pieces(table):
+            p, q = np.nonzero(np.triu(fine) if same else fine)
+            out.append((np.minimum(x[p], y[q]), np.maximum(x[p], y[q]), similar[p, q]))
+        return pa.table(dict(zip(("a", "b", "similarity"), map(np.concatenate, zip(*out)))))
+
+    def count(table: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for x, y, same, fine, _ in pieces(table):
+            out.append((x, fine.sum(axis=1)))
+            if not same:
+                out.append((y, fine.sum(axis=0)))
+        return pa.table(dict(zip(("rep", "degree"), map(np.concatenate, zip(*out)))))
+
+    degrees = groups.applyInArrow(count, "rep long, degree long").groupBy("rep").agg(F.sum("degree").alias("degree"))
+    return groups.applyInArrow(link, "a long, b long, similarity double"), degrees
+
+
+def _connected(docs: DataFrame, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members: doc_id, rep, copies; reps; roots of the linked ones: node, root; alone: doc_id of those without words) of
+    documents (doc_id, text)."""
     bands, rows = choose_bands(threshold, recall)
-    docs = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL")
     sketch = common.materialize(sketches(docs, bands, rows))
     with_words = sketch.where("n > 0").groupBy("doc_id").agg(F.min(F.struct("set_hash", "n", "bands")).alias("s")).select("doc_id", "s.*")
     reps = with_words.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
@@ -202,15 +290,36 @@ def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links = common.materialize(links.union(verified(rest, docs, threshold)))
         roots = connected_components(links.select("a", "b"))
 
-    degree = links.select(F.col("a").alias("rep")).union(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
-    by_rep = roots.withColumnRenamed("node", "rep").join(degree, "rep", "left")
+    alone = sketch.select("doc_id").distinct().join(with_words.select("doc_id"), "doc_id", "left_anti")
+    return members, reps, roots, alone
+
+
+def _whole(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).where("doc_id IS NOT NULL")
+
+
+def join_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, links, classes) of the join.
+
+    members: doc_id, rep (the smallest id with the same n-gram set). links: a < b (representatives), similarity. classes:
+    doc_id, class_id (the smallest id of all that links connect), n_links (verified links of its representative, plus
+    the other documents of its set). Documents without words and rows without an id stay alone; rows that share an id
+    count as one document with its first text. Inside a component every pair is verified; links are compared anew each
+    time they are read. Empty tables give no rows.
+    """
+    docs = _whole(docs, id_col, text_col)
+    members, reps, roots, alone = _connected(docs, threshold, recall)
+    roots = common.materialize(roots)
+    links, degrees = compared(roots, reps, docs, threshold)
+    by_rep = roots.withColumnRenamed("node", "rep").join(degrees, "rep", "left")
     classes = members.join(by_rep, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"), (F.coalesce("degree", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    alone = sketch.select("doc_id").distinct().join(with_words.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    alone = alone.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return members.select("doc_id", "rep"), links, classes.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those of a class but the one with the smallest id; rows without an id stay."""
-    classes = join_similar(docs, id_col, text_col)[2]
+    members, _, roots, _ = _connected(_whole(docs, id_col, text_col), THRESHOLD, RECALL)
+    classes = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col))
     return docs.join(gone, id_col, "left_anti").select(docs.columns)

@@ -87,3 +87,31 @@ def test_long_text(spark):
     text = " ".join(f"w{k}" for k in range(200_000))
     df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "short")], "doc_id long, text string")
     assert {r["doc_id"]: r["class_id"] for r in ngram_join.join_similar(df)[2].collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_links_of_large_groups(spark, monkeypatch):
+    """n_links and the links equal brute force in groups of more than 12 near copies, in one block and in several."""
+    rows = made_up(3, near=70)
+    sets = {i: grams(t) for i, t in rows}
+    reps = {}
+    for i in sorted(sets):
+        reps.setdefault(frozenset(sets[i]), i)
+    ids = sorted(i for g, i in reps.items() if g)
+    links = {(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    degree = {i: sum(i in pair for pair in links) for i in ids}
+    copies = {i: sum(sets[k] == sets[i] for k in sets) for i in ids}
+    want = {i: degree[reps[frozenset(g)]] + copies[reps[frozenset(g)]] - 1 if g else 0 for i, g in sets.items()}
+    assert max(degree.values()) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (1024, 16):
+        monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block, raising=False)
+        _, found, classes = ngram_join.join_similar(df)
+        assert {r["doc_id"]: r["n_links"] for r in classes.collect()} == want
+        assert {(r["a"], r["b"]) for r in found.collect()} == links and found.count() == len(links)
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, 100, dtype=np.uint64)) for _ in range(60)] + [np.unique(rng.integers(0, 9000, 100, dtype=np.uint64)) for _ in range(20)]
+    got = ngram_join.shared_counts(sets[:50], sets[50:])
+    assert (got == [[len(np.intersect1d(x, y)) for y in sets[50:]] for x in sets[:50]]).all()
