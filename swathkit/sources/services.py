@@ -57,7 +57,12 @@ def catalog_items(raw: DataFrame, column: str = "item") -> DataFrame:
 
 
 def features(raw: DataFrame, column: str = "body") -> DataFrame:
-    """Features of vector responses in JSON: properties and outer ring; short or broken bodies give none."""
-    schema = "features ARRAY<STRUCT<properties: MAP<STRING, STRING>, geometry: STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>>>"
-    parsed = raw.where(F.length(column) >= 50).select(F.explode(F.from_json(column, schema)["features"]).alias("f"))
-    return parsed.select(F.col("f.properties").alias("properties"), F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))).alias("ring"))
+    """properties, feature (its place in the response), part, ring (the outer one) and holes of every polygon of the features
+    of vector responses in JSON; a MultiPolygon has one row for each part. Short or broken bodies give none."""
+    schema = "features ARRAY<STRUCT<properties: MAP<STRING, STRING>, geometry: STRUCT<type: STRING, coordinates: STRING>>>"
+    parsed = raw.where(F.length(column) >= 50).select(F.posexplode(F.from_json(column, schema)["features"]).alias("feature", "f"))
+    one, given = "ARRAY<ARRAY<ARRAY<DOUBLE>>>", F.col("f.geometry.coordinates")
+    parts = F.when(F.col("f.geometry.type") == "MultiPolygon", F.from_json(given, f"ARRAY<{one}>")).otherwise(F.array(F.from_json(given, one)))
+    rows = parsed.select(F.col("f.properties").alias("properties"), "feature", F.posexplode_outer(parts).alias("part", "rings"))
+    points = lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    return rows.select("properties", "feature", "part", points(F.get("rings", F.lit(0))).alias("ring"), F.transform(F.slice("rings", 2, F.greatest(F.size("rings"), F.lit(1))), points).alias("holes"))

@@ -91,25 +91,42 @@ def first_covered(candidates: list[DataFrame], value: str, least_pct: float = 5.
     return candidates[-1]
 
 
-def _ring(blob: bytes) -> list[tuple[float, float]]:
-    """The outer ring of a GeoPackage geometry: a header, a box as its flags say, then well-known binary (polygon or first of several)."""
-    flags = blob[3]
-    at = 8 + (0, 32, 48, 48, 64)[flags >> 1 & 7]
-    while True:
+def _parts(blob: bytes) -> list[list[list[tuple[float, float]]]]:
+    """The rings, the outer one first, of every polygon in a GeoPackage geometry: a header, a box as its flags say, then
+    well-known binary (polygon or multipolygon). Rings aren't closed; empty polygons are left out."""
+    at = 8 + (0, 32, 48, 48, 64)[blob[3] >> 1 & 7]
+
+    def head(at: int) -> tuple[str, int, int]:
         order = "<" if blob[at] else ">"
-        kind, n = struct.unpack_from(order + "II", blob, at + 1)
-        if kind % 1000 == 6:  # a multipolygon: go to its first part
-            at += 9
-            continue
-        size = struct.unpack_from(order + "I", blob, at + 9)[0]
+        return order, *struct.unpack_from(order + "II", blob, at + 1)
+
+    _, kind, count = head(at)
+    if kind % 1000 == 6:
+        at += 9
+    else:
+        count = 1
+    out = []
+    for _ in range(count):
+        order, kind, n = head(at)
+        if kind % 1000 != 3:
+            raise ValueError(f"not a polygon: geometry type {kind}")
+        at += 9
         width = 2 + (kind // 1000 in (1, 2)) + 2 * (kind // 1000 == 3)
-        values = struct.unpack_from(f"{order}{size * width}d", blob, at + 13)
-        ring = [(values[k], values[k + 1]) for k in range(0, len(values), width)]
-        return ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring
+        rings = []
+        for _ in range(n):
+            size = struct.unpack_from(order + "I", blob, at)[0]
+            values = struct.unpack_from(f"{order}{size * width}d", blob, at + 4)
+            at += 4 + 8 * size * width
+            ring = [(values[k], values[k + 1]) for k in range(0, len(values), width)]
+            rings.append(ring[:-1] if len(ring) > 1 and ring[0] == ring[-1] else ring)
+        if rings:
+            out.append(rings)
+    return out
 
 
 def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """layer, fid, srs_id, ring of the polygons of a GeoPackage's layer (the first if none is named)."""
+    """layer, fid, srs_id, part (from 0), ring, holes (array of rings) of every polygon of a GeoPackage's layer (the first if
+    none is named); a multipolygon has one row for each part."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -121,7 +138,9 @@ def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) ->
                     raise ValueError(f"no layer {layer}")
                 quote = lambda x: '"' + x.replace('"', '""') + '"'
                 rows = db.execute(f"SELECT rowid, {quote(column)} FROM {quote(name)} WHERE {quote(column)} IS NOT NULL").fetchall()
-                yield pd.DataFrame({"layer": name, "fid": [r[0] for r in rows], "srs_id": srs, "ring": [[{"x": x, "y": y} for x, y in _ring(r[1])] for r in rows]})
+                points = lambda ring: [{"x": x, "y": y} for x, y in ring]
+                parts = [(fid, k, points(rings[0]), [points(x) for x in rings[1:]]) for fid, blob in rows for k, rings in enumerate(_parts(blob))]
+                yield pd.DataFrame({"layer": name, "fid": [x[0] for x in parts], "srs_id": srs, "part": [x[1] for x in parts], "ring": [x[2] for x in parts], "holes": [x[3] for x in parts]})
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, "layer string, fid long, srs_id int, ring array<struct<x: double, y: double>>")
+    return files.mapInPandas(run, "layer string, fid long, srs_id int, part int, ring array<struct<x: double, y: double>>, holes array<array<struct<x: double, y: double>>>")

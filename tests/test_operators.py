@@ -240,3 +240,41 @@ def test_early_stop(spark):
     df = spark.createDataFrame([(1, k, v) for k, v in enumerate([0.1, 0.2, 0.2, 0.1, 0.3], 1)], "run int, epoch int, v double")
     got = scoring.early_stop(df, "run", "epoch", "v", 2).orderBy("epoch").collect()
     assert [r["waited"] for r in got] == [0, 0, 1, 2, 0] and [r["stopped"] for r in got] == [False, False, False, True, True]
+
+
+_SQUARE = lambda x, y, n: [[x, y], [x + n, y], [x + n, y + n], [x, y + n], [x, y]]
+_PARTS = [[_SQUARE(0, 0, 10), _SQUARE(2, 2, 4)], [_SQUARE(20, 0, 3)]]
+
+
+def _painted(df):
+    """Cells in the outer rings but not in the holes of some polygons."""
+    box = [f(F.col("ring")[k]).alias(k + n) for f, n in ((F.array_min, "min"), (F.array_max, "max")) for k in "xy"]
+    return {(r["cx"], r["cy"]) for r in overlay.cells_in_rings(df.select("ring", "holes", *box)).collect()}
+
+
+_WANTED = {(x, y) for x in range(10) for y in range(10) if not (2 <= x < 6 and 2 <= y < 6)} | {(x, y) for x in range(20, 23) for y in range(3)}
+
+
+def test_geopackage_parts_and_holes(spark, tmp_path):
+    polygon = lambda rings: struct.pack("<BII", 1, 3, len(rings)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<2d", *p) for p in r) for r in rings)
+    db = sqlite3.connect(tmp_path / "m.gpkg")
+    db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, srs_id INT)")
+    db.execute("INSERT INTO gpkg_geometry_columns VALUES ('aoi', 'geom', 2154)")
+    db.execute("CREATE TABLE aoi (fid INTEGER PRIMARY KEY, geom BLOB)")
+    db.execute("INSERT INTO aoi VALUES (7, ?)", (b"GP\x00\x01" + struct.pack("<i", 2154) + struct.pack("<BII", 1, 6, 2) + b"".join(map(polygon, _PARTS)),))
+    db.commit()
+    db.close()
+    got = storage.read_geopackage(spark, f"file://{tmp_path}/m.gpkg")
+    assert sorted((r["fid"], r["part"], len(r["holes"])) for r in got.collect()) == [(7, 0, 1), (7, 1, 0)]
+    assert _painted(got) == _WANTED
+
+
+def test_features_parts_and_holes(spark):
+    import json
+
+    given = [{"type": "MultiPolygon", "coordinates": _PARTS}, {"type": "Polygon", "coordinates": _PARTS[0]}, None]
+    body = json.dumps({"features": [{"properties": {"tfv": str(k)}, "geometry": g} for k, g in enumerate(given)]})
+    got = services.features(spark.createDataFrame([(body,)], "body string"))
+    assert sorted((r["properties"]["tfv"], r["feature"], r["part"], len(r["holes"])) for r in got.where("ring IS NOT NULL").collect()) == [("0", 0, 0, 1), ("0", 0, 1, 0), ("1", 1, 0, 1)]
+    assert got.where("feature = 2 AND ring IS NULL").count() == 1
+    assert _painted(got.where("feature = 0")) == _WANTED
