@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,15 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (tests) a temporary one is set."""
+    """The folder of ``spark.checkpoint.dir``, or the context's. Where both are unset, a local master (tests) gets a
+    temporary one; on a cluster that is an error, for other machines don't see local folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    folder = "file://" + tempfile.mkdtemp(prefix="swathkit-")
-    spark.sparkContext.setCheckpointDir(folder)
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="swathkit-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
@@ -31,4 +34,18 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/swathkit-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote for these frames; nothing that is still to be computed may read them."""
+    for frame in frames:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame._written)
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def partitions(spark: SparkSession) -> int:
+    """As many partitions as shuffles have: for rows few in bytes but costly, which adaptive execution would put together."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

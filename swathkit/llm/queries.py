@@ -62,13 +62,13 @@ QUERIES = {f.__name__: f for f in (op1_sharding, op2_nearest_neighbours, op3_bpe
 
 _LINES = f"""
 WITH line AS (SELECT doc_id, pos, trim(parts[pos]) AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL))),
-known AS (SELECT line, min(doc_id) AS first, length(line) AS n FROM line WHERE length(line) >= {linededup.MIN_CHARS} GROUP BY line),
-pair AS (SELECT a.line AS p, b.line AS q, a.first AS fp, b.first AS fq FROM known a JOIN known b ON b.n BETWEEN a.n AND a.n + {linededup.EDITS} AND a.n >= {linededup.MIN_FUZZY} AND a.line <> b.line
-  AND (left(a.line, a.n // 3) = left(b.line, a.n // 3) OR right(a.line, a.n - 2 * (a.n // 3)) = right(b.line, a.n - 2 * (a.n // 3)) OR contains(substr(b.line, a.n // 3 - 2, a.n // 3 + 8), substr(a.line, a.n // 3 + 1, a.n // 3)))
-  WHERE levenshtein(a.line, b.line) <= {linededup.EDITS}),
-late AS (SELECT DISTINCT CASE WHEN (fp, p) < (fq, q) THEN q ELSE p END AS line FROM pair),
-own AS (SELECT l.doc_id, l.line, l.pos, k.first, t.line IS NOT NULL AS late, min(l.pos) OVER (PARTITION BY l.doc_id, l.line) AS own_pos FROM line l JOIN known k USING (line) LEFT JOIN late t ON t.line = l.line),
-lost AS (SELECT doc_id, count(*) FILTER (NOT (doc_id = first AND pos = own_pos)) AS n_equal, count(*) FILTER (doc_id = first AND pos = own_pos AND late) AS n_near FROM own WHERE late OR doc_id <> first OR pos <> own_pos GROUP BY doc_id),
+placed AS (SELECT doc_id, pos, line, length(line) AS n, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS nth FROM line WHERE length(line) >= {linededup.MIN_CHARS}),
+known AS (SELECT line, n, doc_id AS first, pos AS place, CASE WHEN n < {linededup.LONG} THEN 1 ELSE 2 END AS edits, n // CASE WHEN n < {linededup.LONG} THEN 2 ELSE 3 END AS part FROM placed WHERE nth = 1),
+pair AS (SELECT a.line AS p, b.line AS q, a.first AS fp, b.first AS fq, a.place AS pp, b.place AS pq FROM known a JOIN known b ON b.n BETWEEN a.n AND a.n + a.edits AND a.line <> b.line
+  AND (left(a.line, a.part) = left(b.line, a.part) OR right(a.line, a.n - a.edits * a.part) = right(b.line, a.n - a.edits * a.part) OR (a.edits = 2 AND contains(substr(b.line, a.part - 2, a.part + 8), substr(a.line, a.part + 1, a.part))))
+  WHERE levenshtein(a.line, b.line) <= a.edits),
+late AS (SELECT DISTINCT CASE WHEN (fp, pp, p) < (fq, pq, q) THEN q ELSE p END AS line FROM pair),
+lost AS (SELECT doc_id, count(*) FILTER (nth > 1) AS n_equal, count(*) FILTER (nth = 1 AND t.line IS NOT NULL) AS n_near FROM placed p LEFT JOIN late t ON t.line = p.line WHERE nth > 1 OR t.line IS NOT NULL GROUP BY doc_id),
 counted AS (SELECT doc_id, count(*) AS n_lines FROM line GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, (coalesce(n_lines, 0) - coalesce(n_equal, 0) - coalesce(n_near, 0))::BIGINT AS n_kept, coalesce(n_equal, 0)::BIGINT AS n_equal, coalesce(n_near, 0)::BIGINT AS n_near
 FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN counted USING (doc_id) LEFT JOIN lost USING (doc_id)
