@@ -16,17 +16,20 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
 # The word pattern of the public byte-level BPE and its special token.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORD_CACHE = 150_000
-TABLE_CACHE = 500_000
+CACHE_BYTES = 24 << 20
+ENTRY_BYTES = 260  # of a word's string, its array and its place in the table, without their contents
+TABLE_CACHE = 250_000
+FLUSH_TOKENS = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -136,35 +139,39 @@ class TokenAutomaton:
             i = start[i]
         return ids[::-1]
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids))
 
 
 class Memory(dict):
-    """What is known of each word, in two generations of bounded size; ``make`` tells what isn't."""
+    """What is known of each word, in two generations of at most ``CACHE_BYTES`` each; ``make`` tells what isn't."""
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.held = make, {}, 0
 
     def __missing__(self, word: str):
         found = self.old.get(word)
         if found is None:
             found = self.make(word)
         if len(word) <= 64:
-            if len(self) >= WORD_CACHE:
-                self.old = dict(self)
+            if self.held >= CACHE_BYTES:
+                self.old, self.held = dict(self), 0
                 self.clear()
             self[word] = found
+            self.held += ENTRY_BYTES + 2 * len(word) + 4 * len(found)
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.old, self.held = {}, 0
+
 
 class Codec:
     """Splits texts into words, encodes them through the automaton with a bounded memory of words, and decodes."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, content: bytes):
+        spec = json.loads(content)
         back = byte_alphabet()
         as_bytes = lambda s: bytes(back[c] for c in s)
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
@@ -175,35 +182,50 @@ class Codec:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.known = Memory(self._word)
 
-    def _word(self, word: str) -> tuple[list[int], str]:
-        ids = self.automaton.encode_word(word.encode())
-        return ids, ",".join(map(str, ids))
+    def _word(self, word: str) -> array:
+        return array("i", self.automaton.encode_word(word.encode()))
 
-    def pieces(self, text: str) -> list[tuple[list[int], str]]:
-        """The ids of each word, as a list and comma-joined."""
+    def encode(self, text: str) -> array:
+        """The ids of the whole text, four bytes each."""
+        out = array("i")
         if self.cut is None or not any(s in text for s in self.automaton.special):
-            return list(map(self.known.__getitem__, self.words.findall(text)))
-        out = []
+            for ids in map(self.known.__getitem__, self.words.findall(text)):
+                out += ids
+            return out
         for part in self.cut.split(text):
             i = self.automaton.special.get(part)
-            out += [([i], str(i))] if i is not None else list(map(self.known.__getitem__, self.words.findall(part)))
+            if i is not None:
+                out.append(i)
+            else:
+                for ids in map(self.known.__getitem__, self.words.findall(part)):
+                    out += ids
         return out
 
-    def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.pieces(text) for i in ids]
-
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         return self.automaton.decode(ids).decode("utf-8", errors="replace")
 
+    def forget(self) -> None:
+        """Gives the memory of words and transitions back; the automaton stays."""
+        self.known.forget()
+        self.automaton.table.clear()
+        self.automaton.losses.clear()
+
+
+_codecs: dict[bytes, Codec] = {}
+
 
-_codecs: dict[str, Codec] = {}
+def codec(content: bytes) -> Codec:
+    """The codec of a vocabulary file's content, compiled once in a worker."""
+    key = hashlib.sha256(content).digest()
+    if key not in _codecs:
+        _codecs[key] = Codec(content)
+    return _codecs[key]
 
 
-def codec(path: str) -> Codec:
-    """The codec of a vocabulary file, compiled once in a worker."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+def vocabulary(path: str) -> bytes:
+    """The content of a vocabulary file, read where the driver runs."""
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,23 +245,36 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, whole: bool) ->
     kept = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
     id_type = kept.schema["doc_id"].dataType.simpleString()
     tail = "ids array<int>, decoded string" if whole else "ids_sha256 string, decoded_sha256 string"
+    names = ["doc_id", "n_tokens", *(["ids", "decoded"] if whole else ["ids_sha256", "decoded_sha256"])]
+    shipped = docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # a few MB, whatever the corpus
 
     def digest(x: bytes) -> str:
         return hashlib.sha256(x).hexdigest()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(path)
+        coder = codec(shipped.value)
+        decimal = list(map(str, range(max(coder.automaton.labels, default=0) + 1)))
         for batch in it:
-            n, a, b = [], [], []
-            for text in batch.column(1):
-                pieces = coder.pieces(text.as_py() or "")
-                ids = list(chain.from_iterable([x for x, _ in pieces]))
+            start, n, held, ids_told, texts_told = 0, [], array("i"), [], []
+            for k, text in enumerate(batch.column(1)):
+                ids = coder.encode(text.as_py() or "")
                 decoded = coder.decode(ids)
                 n.append(len(ids))
-                a.append(ids if whole else digest(",".join([s for _, s in pieces]).encode()))
-                b.append(decoded if whole else digest(decoded.encode()))
-            kinds = (pa.list_(pa.int32()), pa.string()) if whole else (pa.string(), pa.string())
-            names = ["ids", "decoded"] if whole else ["ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, kinds[0]), pa.array(b, kinds[1])], names=["doc_id", "n_tokens", *names])
+                if whole:
+                    held += ids
+                    texts_told.append(decoded)
+                else:
+                    ids_told.append(digest(",".join(map(decimal.__getitem__, ids)).encode()))
+                    texts_told.append(digest(decoded.encode()))
+                if len(held) >= FLUSH_TOKENS or k == len(batch) - 1:
+                    if whole:
+                        ends = pa.array(np.cumsum([0, *n]), pa.int32())
+                        told = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(held, np.int32)))
+                    else:
+                        told = pa.array(ids_told, pa.string())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(n)), pa.array(n, pa.int64()), told, pa.array(texts_told, pa.string())], names=names)
+                    start, n, held, ids_told, texts_told = k + 1, [], array("i"), [], []
+        coder.forget()  # the worker goes on to other stages
+        pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(batches, f"doc_id {id_type}, n_tokens long, {tail}")

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from swathkit.llm import bpe, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+CODEC = bpe.codec(bpe.vocabulary(PATH))
 
 
 @pytest.fixture(scope="module")
@@ -27,8 +28,8 @@ def library():
 def test_any_text(library, text):
     text = text.encode("utf-8", "ignore").decode()
     ids = library.encode(text, add_special_tokens=False).ids
-    assert bpe.codec(PATH).encode(text) == ids
-    assert bpe.codec(PATH).decode(ids) == library.decode(ids, skip_special_tokens=False)
+    assert CODEC.encode(text).tolist() == ids
+    assert CODEC.decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
 def test_hard_texts(library):
@@ -37,7 +38,7 @@ def test_hard_texts(library):
     texts += ["".join(rng.choice("abcdefg hijTHE'sz.\n") for _ in range(400)) for _ in range(100)]
     for t in texts:
         ids = library.encode(t, add_special_tokens=False).ids
-        assert bpe.codec(PATH).encode(t) == ids and bpe.codec(PATH).decode(ids) == t
+        assert CODEC.encode(t).tolist() == ids and CODEC.decode(ids) == t
 
 
 def test_whole_table(spark, data, library):
@@ -55,3 +56,21 @@ def test_edges(spark):
     got = bpe.encode(df, PATH).collect()
     assert sorted((r["doc_id"] or 0, r["n_tokens"] == len(r["ids"]), r["decoded"][:8]) for r in got) == [(0, True, "hi there"), (1, True, ""), (2, True, ""), (3, True, "a" * 8), (3, True, "a" * 8)]
     assert bpe.encode_digests(df.limit(0), PATH).count() == 0
+
+
+def test_long_documents_come_in_parts(spark, monkeypatch):
+    """One batch of 2,000 long documents is told in several record batches, whole, and the memory of words is bounded."""
+    words = [f"w{k} " for k in range(4000)]
+    rows = [(k, "".join(random.Random(k).choices(words, k=800))) for k in range(2000)]
+    got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), PATH)
+    texts = dict(rows)
+    sizes = []
+    for r in got.toLocalIterator():
+        assert r["decoded"] == texts.pop(r["doc_id"]) and len(r["ids"]) == r["n_tokens"]
+        sizes.append(r["n_tokens"])
+    assert not texts and sum(sizes) > bpe.FLUSH_TOKENS
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 100_000)
+    known = bpe.Memory(CODEC._word)
+    for w in words:
+        assert known[w].tolist() == CODEC.automaton.encode_word(w.encode())
+    assert len(known) + len(known.old) < 2 * 100_000 / bpe.ENTRY_BYTES + 2
