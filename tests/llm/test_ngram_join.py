@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from swathkit.llm import ngram_join, queries
 
@@ -40,7 +41,7 @@ def made_up(seed, near=40):
         own = list(base)
         for _ in range(rng.randrange(3)):
             own[rng.randrange(120)] = word()
-        rows.append((100 + k, " ".join(own)))
+        rows.append((1000 + k, " ".join(own)))
     return rows + [(200 + k, rows[3][1]) for k in range(30)] + [(300, None), (301, ""), (302, " \n "), (303, "a b"), (304, "A  b"), (305, "a b c")]
 
 
@@ -91,7 +92,16 @@ def test_long_text(spark):
 
 def test_links_of_large_groups(spark, monkeypatch):
     """n_links and the links equal brute force in groups of more than 12 near copies, in one block and in several."""
-    rows = made_up(3, near=70)
+    check_links(spark, monkeypatch, made_up(3, near=70))
+
+
+@pytest.mark.parametrize("near", [12, 13, 14, 200])
+def test_links_of_near_copies(spark, monkeypatch, near):
+    """Near copies, each with up to two other words than the first; beyond a block, rings near the centre aren't compared."""
+    check_links(spark, monkeypatch, made_up(near, near=near), blocks=(1024, 16) if near == 200 else (1024,))
+
+
+def check_links(spark, monkeypatch, rows, blocks=(1024, 16)):
     sets = {i: grams(t) for i, t in rows}
     reps = {}
     for i in sorted(sets):
@@ -101,9 +111,9 @@ def test_links_of_large_groups(spark, monkeypatch):
     degree = {i: sum(i in pair for pair in links) for i in ids}
     copies = {i: sum(sets[k] == sets[i] for k in sets) for i in ids}
     want = {i: degree[reps[frozenset(g)]] + copies[reps[frozenset(g)]] - 1 if g else 0 for i, g in sets.items()}
-    assert max(degree.values()) > 20
+    assert max(degree.values()) > 5
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for block in (1024, 16):
+    for block in blocks:
         monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block, raising=False)
         _, found, classes = ngram_join.join_similar(df)
         assert {r["doc_id"]: r["n_links"] for r in classes.collect()} == want
@@ -115,3 +125,14 @@ def test_shared_counts():
     sets = [np.unique(rng.integers(0, 300, 100, dtype=np.uint64)) for _ in range(60)] + [np.unique(rng.integers(0, 9000, 100, dtype=np.uint64)) for _ in range(20)]
     got = ngram_join.shared_counts(sets[:50], sets[50:])
     assert (got == [[len(np.intersect1d(x, y)) for y in sets[50:]] for x in sets[:50]]).all()
+
+
+def test_packing_and_repeated_ids(spark):
+    grams = ngram_join.shingles("a b c d e f g h")
+    import pyarrow as pa
+
+    assert (ngram_join.unpacked(pa.scalar(ngram_join.packed(grams), pa.binary())) == grams).all()
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, text), (2, text), (2, "quite another text of the same id, which stays"), (3, text + " x"), (3, text + " x")]
+    kept = sorted(tuple(r) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept[0] == rows[0] and all(r in (rows[0], rows[1], rows[2]) for r in kept) and rows[2] in kept
