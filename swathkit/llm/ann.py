@@ -7,8 +7,11 @@ ranked by the exact cosine in double precision.
 
 The index is fitted on a bounded sample (``sample_rows`` vectors: centre, spread and the keys that bound the blocks),
 but every vector is indexed. A block has about ``window`` of all rows, but no more than ``block_rows``; then more
-blocks are within reach. Of equal vectors only the ``k + 1`` smallest ids can be among the ``k`` nearest of any query
-(ties go to smaller ids), so no more are candidates; equal queries are searched once.
+blocks are within reach. The window is a share of the table because recall needs it: among vectors without structure the
+nearest are hardly nearer than others, and a window of fixed size finds fewer of them the larger the table is. Of equal
+vectors only the ``k + 1`` smallest ids can be among the ``k`` nearest of any query (ties go to smaller ids), so no more
+are candidates; equal queries are searched once. The search runs on vectors in single precision; all that come within
+``SLACK`` of the last of the best are ranked by the exact measure.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ WINDOW = 0.005
 SAMPLE_ROWS = 20_000
 BLOCK_ROWS = 4096
 TIE_BITS = 24
+SLACK = 1e-6
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -97,26 +101,39 @@ def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(fine)
 
 
+def scaled(vector: str):
+    """A vector over the power of two below its largest component: exact, and its squares neither overflow nor vanish."""
+    return F.expr(f"element_at(transform(array(pow(2D, floor(log2(array_max(transform({vector}, x -> abs(x))))))), m -> transform({vector}, x -> x / m)), 1)")
+
+
+def units(vectors: pd.Series, width: int) -> np.ndarray:
+    """Vectors as rows of length 1; of each the first ``width`` components, with zeros for those it lacks."""
+    out = np.zeros((len(vectors), width))
+    for k, v in enumerate(vectors):
+        v = np.asarray(v, dtype=np.float64)
+        v = v / np.abs(v).max()
+        out[k, : len(v)] = (v / np.linalg.norm(v))[:width]
+    return out
+
+
 def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = CURVES, dims: int = DIMS, bits: int = BITS, window: float = WINDOW, sample_rows: int = SAMPLE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found for each query row, without the row itself.
 
-    ``is_query`` is a condition on ``vec_id``. Rows without a usable vector take no part. Of several widths, the
-    commonest takes part. Rows of one id and vector count once; an id with several vectors is kept with the first by
-    order. Fewer candidates than ``k`` give fewer rows; an empty table gives none; other columns are ignored.
+    ``is_query`` is a condition on ``vec_id``. Rows without a usable vector take no part; every other row is searched. A
+    vector shorter than another counts as padded with zeros. Rows of one id and vector count once; an id with several
+    vectors is as near as the nearest of them. Fewer candidates than ``k`` give fewer rows; an empty table gives none;
+    other columns are ignored.
     """
     spark = df.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = valid_vectors(df, id_col, vector_col)
-    widths = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    if widths is None:
-        return spark.createDataFrame([], schema)
-    width = widths["width"]
-    rows = rows.where(F.size("vector") == width).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    rows = valid_vectors(df, id_col, vector_col).distinct()
     rows = common.materialize(rows.withColumn("same", F.xxhash64("vector")))
-    n = rows.count()
-    sample = np.array([r["vector"] for r in rows.select("vector").sample(min(1.0, sample_rows / n), seed=11).limit(2 * sample_rows).collect()] or [rows.first()["vector"]])
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
-    fitted = Curves(sample, n, curves, dims, bits, window, block_rows)
+    commonest = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    if commonest is None:
+        return spark.createDataFrame([], schema)
+    width, n = commonest["width"], rows.count()  # curves are laid through the commonest width
+    sample = pd.Series([r["vector"] for r in rows.select("vector").sample(min(1.0, sample_rows / n), seed=11).limit(2 * sample_rows).collect()] or [rows.first()["vector"]])
+    fitted = Curves(units(sample, width), n, curves, dims, bits, window, block_rows)
 
     first = Window.partitionBy("same", "vector").orderBy("vec_id")
     candidates = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k + 1)
@@ -128,9 +145,8 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
             for pdf in frames:
                 if not len(pdf):
                     continue
-                x = np.array(pdf["vector"].tolist(), dtype=np.float64)
-                unit, ids = x / np.linalg.norm(x, axis=1, keepdims=True), pdf["id"].to_numpy()
-                packed = [v.tobytes() for v in unit]
+                unit, ids = units(pdf["vector"], width), pdf["id"].to_numpy()
+                packed = [v.tobytes() for v in unit.astype(np.float32)]
                 for c in range(len(fitted.axes)):
                     at = fitted.blocks(unit, ids, c)
                     for step in range(-fitted.reach, fitted.reach + 1) if queries else (0,):
@@ -148,7 +164,7 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
         if not asks.any() or asks.all():
             return empty
         ids = pdf["id"].to_numpy()
-        unit = np.frombuffer(b"".join(pdf["packed"]), np.float64).reshape(len(pdf), -1)
+        unit = np.frombuffer(b"".join(pdf["packed"]), np.float32).reshape(len(pdf), -1)
         order = np.argsort(ids[~asks], kind="stable")
         c_ids, c_unit = ids[~asks][order], unit[~asks][order]
         q_ids, q_unit = ids[asks], unit[asks]
@@ -158,21 +174,23 @@ def nearest(df: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_
             top = min(k + 1, scores.shape[1])
             # a score's last places may vary: all that come near the last of the best are kept for the exact ranking
             least = np.partition(scores, scores.shape[1] - top, axis=1)[:, scores.shape[1] - top]
-            q, c = np.nonzero(scores >= least[:, None] - 1e-9)
-            out.append(pd.DataFrame({"class_id": q_ids[start + q], "vec_id": c_ids[c], "score": scores[q, c]}))
+            q, c = np.nonzero(scores >= least[:, None] - SLACK)
+            out.append(pd.DataFrame({"class_id": q_ids[start + q], "vec_id": c_ids[c], "score": scores[q, c].astype(np.float64)}))
         return pd.concat(out) if out else empty
 
     wide = "curve int, block long, id long, asks boolean, packed binary"
     both = candidates.select(F.col("vec_id").alias("id"), "vector").mapInPandas(dealt(False), wide).unionByName(classes.select(F.col("class_id").alias("id"), "vector").mapInPandas(dealt(True), wide))
     found = both.groupBy("curve", "block").applyInPandas(meet, "class_id long, vec_id long, score double")
     found = found.groupBy("class_id", "vec_id").agg(F.max("score").alias("near"))
-    by_near = Window.partitionBy("class_id").orderBy(F.desc(F.round("near", 9)), "vec_id")
-    found = found.withColumn("nth", F.row_number().over(by_near)).where(F.col("nth") <= 4 * (k + 1))
+    nth = F.row_number().over(Window.partitionBy("class_id").orderBy(F.desc("near"), "vec_id"))
+    found = found.withColumn("nth", nth).withColumn("last", F.min(F.when(F.col("nth") <= k + 1, F.col("near"))).over(Window.partitionBy("class_id"))).where(F.col("near") >= F.col("last") - SLACK)
     # The exact measure on the original vectors, then the answers of each class for every query in it.
     q = classes.select("class_id", F.col("vector").alias("a"), "same")
-    exact = found.join(rows.select("vec_id", F.col("vector").alias("b")), "vec_id").join(q, "class_id")
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda s, t: s + t)
-    exact = exact.select("same", "a", "vec_id", (dot(F.col("a"), F.col("b")) / (F.sqrt(dot(F.col("a"), F.col("a"))) * F.sqrt(dot(F.col("b"), F.col("b"))))).alias("score"))
-    answers = asked.join(exact.withColumnRenamed("a", "vector"), ["same", "vector"]).where(F.col("query_id") != F.col("vec_id"))
+    exact = found.select("class_id", "vec_id").join(rows.select("vec_id", F.col("vector").alias("b")), "vec_id").join(q, "class_id").select("same", "a", "vec_id", scaled("a").alias("x"), scaled("b").alias("y"))
+    zero = lambda u: F.coalesce(u, F.lit(0.0))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: zero(u) * zero(v)), F.lit(0.0), lambda s, t: s + t)
+    score = dot(F.col("x"), F.col("y")) / (F.sqrt(dot(F.col("x"), F.col("x"))) * F.sqrt(dot(F.col("y"), F.col("y"))))
+    exact = exact.select("same", F.col("a").alias("vector"), "vec_id", score.alias("score"))
+    answers = asked.join(exact, ["same", "vector"]).where(F.col("query_id") != F.col("vec_id")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = answers.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

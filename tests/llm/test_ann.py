@@ -67,7 +67,27 @@ def test_edges(spark):
     rows = [(0, [1.0, 0.0], "a"), (1, [2.0, 0.0], "a"), (2, [0.0, 1.0], "a"), (3, None, "a"), (4, [0.0, 0.0], "a"), (5, [nan, 1.0], "a"), (6, [inf, 1.0], "a"), (7, [None, 1.0], "a"), (None, [1.0, 1.0], "a"), (2, [0.0, 1.0], "a"), (8, [1.0, 2.0, 3.0], "a")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
     got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 0.0)]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 8, 0.267261242), (0, 3, 2, 0.0)]
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     one = df.where("vec_id = 0")
     assert ann.nearest(one, F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_extreme_vectors_widths_and_repeated_ids(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1e-200, 1e-200]), (3, [5e-324, 0.0]), (4, [1.0]), (5, [-1.0, -1.0]), (5, [3.0, 4.0]), (6, [1.7e308, 1.7e308, 1.7e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], round(r["score"], 6)) for r in ann.nearest(df, F.col("vec_id") == 0, k=9).orderBy("rank").collect()]
+    assert got == [(2, 1.0), (5, 0.989949), (6, 0.816497), (1, 0.707107), (3, 0.707107), (4, 0.707107)]
+
+
+def test_hot_group_of_scaled_copies(spark):
+    """A third of all rows are one vector, scaled: their cosines differ in last places only, and the largest win."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 16))
+    x[:300] = x[0] * rng.uniform(0.5, 2, (300, 1)) * (1 + 1e-7 * rng.normal(size=(300, 16)))
+    rows = {k: [float(v) for v in x[k]] for k in range(900)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    got = {r["rank"]: r["score"] for r in ann.nearest(df, F.col("vec_id") == 50).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.sort(np.delete(unit @ unit[50], 50))[::-1][:5]
+    assert np.allclose([got[k] for k in range(1, 6)], want, atol=1e-15, rtol=0)
