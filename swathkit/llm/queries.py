@@ -75,11 +75,12 @@ FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOI
 """
 
 _CALLS = """
-WITH call AS (SELECT conv_id, conv_id || '-' || turn AS call_id, turn, text FROM conversations WHERE role = 'user'),
+WITH turns AS (SELECT conv_id, turn, text, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM conversations WHERE role = 'user'),
+call AS (SELECT conv_id, conv_id || '-' || turn AS call_id, turn, text, row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1 AS depth FROM turns),
 result AS (SELECT conv_id, conv_id || '-' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant')
 SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id,
   CASE WHEN c.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
-  CASE WHEN c.call_id IS NOT NULL THEN 0 END::INTEGER AS level,
+  (2 * c.depth)::INTEGER AS level,
   c.call_id IS NOT NULL AND length(c.text) BETWEEN 1 AND 400 AS valid,
   sha256('{' || CASE WHEN c.call_id IS NULL THEN '' ELSE '"arguments":{"text":' || to_json(c.text)::VARCHAR || ',"turn":' || c.turn || '},' END || '"id":"' || coalesce(c.call_id, r.call_id) || '"'
     || CASE WHEN c.call_id IS NULL THEN '' ELSE ',"name":"reply"' END || CASE WHEN r.call_id IS NULL THEN '' ELSE ',"result":' || to_json(r.text)::VARCHAR END || '}') AS json_sha256
