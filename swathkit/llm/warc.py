@@ -20,12 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VERSION = "WARC/1.1"
-_SKIPPED = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg)\b.*?(?:</\1\s*>|\Z)|<!doctype[^>]*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|title|ul)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>")
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-_LINK = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# Fixed values of HTML: elements without text to read, and elements that break a line.
+_SKIPPED = {"script", "style", "noscript", "template", "svg"}
+_BREAKS = set("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr title ul".split())
+_TOKEN = re.compile(r"<!--|<(?:!doctype|(/?)([a-z][^\s/>]*))[^>]*>", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
+_HREF = re.compile(r"\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_CLOSES = {name: re.compile(rf"</{name}\s*>", re.I) for name in _SKIPPED}
+_ZEROS = re.compile(r"&#0+(?=[0-9])")
+_TOO_LARGE = re.compile(r"&#[0-9]{8,};?")
+
+
+def unescape(text: str) -> str:
+    """Character references resolved; those of no character, however long, become U+FFFD."""
+    if "&" not in text:
+        return text
+    return html.unescape(_TOO_LARGE.sub("\ufffd", _ZEROS.sub("&#", text)))
 
 
 def digest(block: bytes) -> str:
@@ -37,22 +47,61 @@ def derived_id(record_id: str, kind: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{record_id} {kind}')}>"
 
 
+def read_page(source: str) -> tuple[str, list[tuple[str, str]]]:
+    """The text of a page and the fields of its metadata block, in one forward pass.
+
+    The text is without scripts, styles and comments, a line for each block, spaces run together; the fields are title,
+    language and outlinks, in the order of the page. A comment or a skipped element that isn't closed goes to the end of
+    the page; a ``<`` that no ``>`` follows is text. So no part of a page is searched twice.
+    """
+    parts: list[str] = []
+    title: list[str] | None = None
+    titled, language, links = False, None, []
+    at, last = 0, source.rfind(">") + 1
+    while m := _TOKEN.search(source, at, last):
+        start, end = m.span()
+        if start > at:
+            parts.append(source[at:start])
+            if title is not None and not titled:
+                title.append(parts[-1])
+        name = (m[2] or "").lower()
+        if not name:
+            parts.append(" ")
+            if source.startswith("<!--", start):
+                end = source.find("-->", end) + 3
+                if end < 3:
+                    end = len(source)
+        elif name in _SKIPPED and not m[1]:
+            parts.append(" ")
+            close = _CLOSES[name].search(source, end)
+            end = close.end() if close else len(source)
+        else:
+            if name in _BREAKS:
+                parts.append("\n")
+            if name == "title" and not titled:
+                if not m[1]:
+                    title = title or []
+                elif title is not None:
+                    titled = True
+            elif not m[1] and name == "a":
+                if link := _HREF.search(source, start, end):
+                    links.append(("outlink", " ".join(unescape(link[1] or link[2] or link[3] or "").split())))
+            elif not m[1] and name == "html" and language is None and (found_lang := _LANG.search(source, start, end)):
+                language = found_lang[1]
+        at = end
+    rest = source[at:]
+    parts.append(rest[: rest.find("<!--")] if "<!--" in rest else rest)
+    lines = (" ".join(x.split()) for x in unescape("".join(parts)).split("\n"))
+    out = [("title", " ".join(unescape("".join(title)).split()))] if titled else []
+    return "\n".join(x for x in lines if x), out + ([("language", language)] if language else []) + links
+
+
 def plain_text(source: str) -> str:
-    """The text of a page: without scripts, styles and comments, a line for each block, spaces run together."""
-    flat = _TAG.sub("", _BREAK.sub("\n", _SKIPPED.sub(" ", source)))
-    lines = (" ".join(x.split()) for x in html.unescape(flat).split("\n"))
-    return "\n".join(x for x in lines if x)
+    return read_page(source)[0]
 
 
 def page_metadata(source: str) -> list[tuple[str, str]]:
-    """Fields of a metadata block: title, language and outlinks, in the order of the page."""
-    out = []
-    if m := _TITLE.search(source):
-        out.append(("title", " ".join(html.unescape(_TAG.sub("", m[1])).split())))
-    if m := _LANG.search(source):
-        out.append(("language", m[1]))
-    visible = _SKIPPED.sub(" ", source)
-    return out + [("outlink", " ".join(html.unescape(a or b or c).split())) for a, b, c in _LINK.findall(visible)]
+    return read_page(source)[1]
 
 
 def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -61,21 +110,23 @@ def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def build(record_id: str, uri: str | None, date: str, headers: str | None, payload: str | None) -> list[dict]:
-    """The metadata and the conversion record of one response."""
+def build(record_id: str, uri: str | None, date: str, headers: str | None, payload: str | None, known: str | None = None) -> list[dict]:
+    """The metadata and the conversion record of one response; ``known`` is the digest that the response itself gives."""
     page, uri = payload or "", " ".join((uri or "").split())
-    source = digest(page.encode())
-    fields = [("payload-digest", source), *(("source-header", " ".join(h.split())) for h in (headers or "").splitlines() if h.strip()), *page_metadata(page)]
+    source = known or digest(page.encode())
+    text, told = read_page(page)
+    given = [" ".join(h.split()) for h in (headers or "").splitlines() if h.strip()]
+    fields = [("payload-digest", source), *(("source-header", h) for h in given), *told]
     blocks = {
         "metadata": ("application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode()),
-        "conversion": ("text/plain; charset=utf-8", plain_text(page).encode()),
+        "conversion": ("text/plain; charset=utf-8", text.encode()),
     }
     out = []
     for kind, (content_type, block) in blocks.items():
         own = derived_id(record_id, kind)
         head = [
             ("WARC-Type", kind), ("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", record_id),
-            ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Source-Payload-Digest", source),
+            ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Source-Payload-Digest", source), *(("WARC-Source-Header", h) for h in given),
             ("WARC-Block-Digest", digest(block)), ("Content-Type", content_type), ("Content-Length", str(len(block))),
         ]
         out.append({"record_type": kind, "record_id": own, "refers_to": record_id, "target_uri": uri, "content_type": content_type, "payload_digest": source, "block_digest": digest(block), "block": block.decode(), "record": record_bytes(head, block)})
@@ -89,16 +140,19 @@ SCHEMA = "source_id {id}, record_type string, record_id string, refers_to string
 def derive(responses: DataFrame) -> DataFrame:
     """Two rows (metadata, conversion) for each response row.
 
-    ``responses``: source_id, record_id, target_uri, warc_date, http_headers, payload. A null payload counts as empty, a
-    null URI too; a null record id gives a row's records the id of an empty one. Repeated rows repeat their records.
+    ``responses``: source_id, record_id, target_uri, warc_date, http_headers, payload and, if it has one, payload_digest,
+    which is kept. A null payload counts as empty (an empty conversion block), a null URI too; a null record id gives a
+    row's records the id of an empty one. Payloads of any length are read once, whole. Repeated rows repeat their records;
+    other columns are ignored; an empty table gives none.
     """
-    rows = responses.select("source_id", "record_id", "target_uri", "warc_date", "http_headers", "payload")
+    known = F.col("payload_digest") if "payload_digest" in responses.columns else F.lit(None)
+    rows = responses.select("source_id", "record_id", "target_uri", "warc_date", "http_headers", "payload", known.cast("string").alias("payload_digest"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             ids, made = [], []
             for r in batch.to_pylist():
-                own = build(r["record_id"] or "", r["target_uri"], r["warc_date"] or "", r["http_headers"], r["payload"])
+                own = build(r["record_id"] or "", r["target_uri"], r["warc_date"] or "", r["http_headers"], r["payload"], r["payload_digest"])
                 made += own
                 ids += [r["source_id"]] * len(own)
             columns = [pa.array([m[k] for m in made], t) for k, t in _KINDS.items()]
