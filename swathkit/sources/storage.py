@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import sqlite3
 import struct
 import tempfile
@@ -16,8 +17,16 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which all machines share; a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="swathkit-")
+    """A fresh folder below ``spark.checkpoint.dir``, or the context's, which all machines share; only a local master
+    (tests) gets a temporary one where both are unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and held.isDefined():
+        base = held.get()
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="swathkit-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
