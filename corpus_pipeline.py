@@ -12,27 +12,43 @@ ORACLE_SQL = None  # a trained model, edit distances and an automaton: tested ag
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity score rejects go."""
+    """Documents that the toxicity score rejects go.
+
+    Null and empty texts are scored like any other; rows that share an id are scored each; an empty table stays empty; all
+    columns stay, whatever their names.
+    """
     return toxicity.reject(docs, common.table(spark, sf_dir, "labels"))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and nearly repeated lines go, but for the first; documents of nothing else go too."""
+    """Repeated and nearly repeated lines go, but for the first; documents of nothing else go too.
+
+    Null and empty texts and rows without an id stay; rows that share an id lose lines of their own texts only; of equal or
+    near lines in one document the first place stays; all columns stay, whatever their names.
+    """
     return linededup.drop_repeated_lines(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id."""
+    """One document of each group of near duplicates stays: the one with the smallest id.
+
+    Rows without an id or without words stay; rows that repeat an id and its text stay or go together, other texts of that
+    id stay; all columns stay, whatever their names.
+    """
     return ngram_join.keep_one(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of the benchmark are cut out of the texts."""
+    """Passages of the benchmark are cut out of the texts.
+
+    No document goes; null and empty texts stay; repeated rows and items change nothing; all columns stay, whatever their names.
+    """
     return decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids of the texts that are left; decoding gives each text back."""
+    """doc_id, n_tokens, ids and decoded of the texts that are left; decoding gives each text back, a null text counts as
+    empty. The other columns end here; repeated rows repeat."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_tokens", "ids", "decoded")
 
 
