@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from . import common
+
 # The word pattern of the public byte-level BPE and its special token.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHE_BYTES = 24 << 20
@@ -211,15 +213,9 @@ class Codec:
         self.automaton.losses.clear()
 
 
-_codecs: dict[bytes, Codec] = {}
-
-
 def codec(content: bytes) -> Codec:
     """The codec of a vocabulary file's content, compiled once in a worker."""
-    key = hashlib.sha256(content).digest()
-    if key not in _codecs:
-        _codecs[key] = Codec(content)
-    return _codecs[key]
+    return common.kept(("codec", hashlib.sha256(content).digest()), lambda: Codec(content))
 
 
 def vocabulary(path: str) -> bytes:
@@ -275,6 +271,6 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, whole: bool) ->
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(n)), pa.array(n, pa.int64()), told, pa.array(texts_told, pa.string())], names=names)
                     start, n, held, ids_told, texts_told = k + 1, [], array("i"), [], []
         coder.forget()  # the worker goes on to other stages
-        pa.default_memory_pool().release_unused()
+        common.give_back()
 
     return kept.mapInArrow(batches, f"doc_id {id_type}, n_tokens long, {tail}")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,6 +49,31 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """What ``make`` gives, held in a worker from task to task of one stage; what other stages held goes first."""
+    if key not in _kept:
+        release()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def release() -> None:
+    """In a worker, where a stage starts or ends: what earlier stages held goes, and free memory goes back to the machine,
+    for the next stage may meet other workers of the same executor."""
+    _kept.clear()
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     """As many partitions as shuffles have: for rows few in bytes but costly, which adaptive execution would put together."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

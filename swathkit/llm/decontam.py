@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import common
+
 WINDOW = 10
 SHARD_WORDS = 1 << 20
 BLOCK_BYTES = 8 << 20
@@ -227,29 +229,36 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str]]]:
-    """The items in blocks of bounded size, read one block at a time; items without id or text take no part."""
+def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[str, str]], bool]]:
+    """The items in blocks of bounded size, each read when it is asked for, and whether it is the last one; items without
+    id or text take no part. There is one block at least."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
-    return [[(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()], k == n - 1
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` with n_words, hit_spans (merged word offsets, end exclusive), hit_items (sorted ids).
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
+    """The rows of ``docs`` with n_words, hit_spans (merged word offsets, end exclusive), hit_items (sorted ids); with
+    ``cut``, instead of these three the texts without the hit spans.
 
     A null text has no words. Columns of those names in ``docs`` are replaced; all others are kept. Repeated rows
-    are marked alike; an empty benchmark marks nothing.
+    are marked alike; an empty benchmark marks nothing. Blocks of the benchmark pass one after another, the documents
+    being written between them, so that a task runs one search at a time.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("n_words", "hit_spans", "hit_items")]
+    plain = docs.select(*kept).schema
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     docs = docs.select(*kept, F.lit(None).cast("long").alias("n_words"), F.array().cast(spans_type).alias("hit_spans"), F.array().cast("array<string>").alias("hit_items"))
     schema = docs.schema
-    for block in benchmark_blocks(benchmark, block_bytes=block_bytes):
+    n = len(kept)
+    for block, last in benchmark_blocks(benchmark, block_bytes=block_bytes):
         held = spark.sparkContext.broadcast(block)
 
-        def batches(it: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+        def batches(it: Iterator[pa.RecordBatch], held=held, cut=cut and last) -> Iterator[pa.RecordBatch]:
+            common.release()
             phrases = Phrases(held.value)
             for batch in it:
                 at = batch.schema.get_field_index(text_col)
@@ -259,11 +268,13 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                     texts.append(words_of(column[k].as_py()))
                     size += len(texts[-1])
                     if size >= SHARD_WORDS or k == len(batch) - 1:
-                        yield marked(batch.slice(start, k + 1 - start), texts, phrases)
+                        found = marked(batch.slice(start, k + 1 - start), texts, phrases)
+                        yield cut_out(found, at) if cut else found
                         texts, start, size = [], k + 1, 0
+            del phrases
+            common.give_back()
 
         def marked(batch: pa.RecordBatch, texts: list[list[bytes]], phrases: Phrases) -> pa.RecordBatch:
-            n = len(kept)
             spans, items = [], []
             for (s, i), old_s, old_i in zip(phrases.find(texts), batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist()):
                 s = merged([*s, *((x["start"], x["end"]) for x in old_s)]) if old_s else s
@@ -272,7 +283,16 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
             new = [pa.array([len(x) for x in texts], pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(items, pa.list_(pa.string()))]
             return pa.RecordBatch.from_arrays([*batch.columns[:n], *new], names=batch.schema.names)
 
-        docs = docs.mapInArrow(batches, schema)
+        def cut_out(batch: pa.RecordBatch, at: int) -> pa.RecordBatch:
+            spans, texts = batch.column(n + 1), batch.column(at)
+            if any(len(s) for s in spans):
+                told = [without_spans(t.as_py(), [(x["start"], x["end"]) for x in s.as_py()]) if len(s) else t.as_py() for t, s in zip(texts, spans)]
+                texts = pa.array(told, texts.type)
+            return pa.RecordBatch.from_arrays([texts if k == at else batch.column(k) for k in range(n)], names=kept)
+
+        docs = docs.mapInArrow(batches, plain if cut and last else schema)
+        if not last:
+            docs = common.materialize(docs)
     return docs
 
 
@@ -288,20 +308,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     columns = docs.columns
     # Columns are numbered meanwhile, so that none is taken for one that the search adds.
     numbered = docs.toDF(*[f"c{k}" for k in range(len(columns))])
-    found = find_benchmark(numbered, benchmark, f"c{columns.index(text_col)}").select(*numbered.columns, "hit_spans")
-    at = columns.index(text_col)
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            spans = batch.column(len(columns))
-            texts = batch.column(at)
-            if any(len(s) for s in spans):
-                cut = [without_spans(t.as_py(), [(x["start"], x["end"]) for x in s.as_py()]) if len(s) else t.as_py() for t, s in zip(texts, spans)]
-                texts = pa.array(cut, texts.type)
-            own = [texts if k == at else batch.column(k) for k in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(own, names=columns)
-
-    return found.mapInArrow(batches, docs.schema)
+    found = find_benchmark(numbered, benchmark, f"c{columns.index(text_col)}", cut=True)
+    return found.toDF(*columns)
 
 
 def brute_force(docs: list[tuple[object, str | None]], items: list[tuple[str, str]]) -> list[tuple]:

@@ -117,6 +117,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, seed: int = 5) -> DataFrame
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n), pa.array([xxhash.xxh128_digest(x.tobytes()) for x in sets], pa.binary()), lists], names=["doc_id", "row", "n", "set_hash", "bands"])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for batch in it:
             sets, start, size = [], 0, 0
             for k, text in enumerate(batch.column(1)):
@@ -126,6 +127,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, seed: int = 5) -> DataFrame
                     yield told(batch.slice(start, k + 1 - start), sets)
                     sets, start, size = [], k + 1, 0
         _codes.clear()  # the worker goes on to other stages
+        common.give_back()
 
     return docs.select("doc_id", "text", "row").mapInArrow(batches, "doc_id long, row long, n int, set_hash binary, bands array<long>")
 
@@ -151,6 +153,7 @@ def gram_sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], names=["rep", "grams"])
                     ids, sets, size = [], [], 0
         _codes.clear()
+        common.give_back()
 
     return docs.join(_small(asked.withColumnRenamed("rep", "doc_id")), "doc_id").select("doc_id", "text", "set_hash").mapInArrow(batches, "rep long, grams binary")
 

@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 SAMPLE_BYTES = 16 << 20
 SAMPLE_ROWS = 20_000
 BUCKETS = 1 << 19
@@ -277,17 +279,17 @@ def tag(docs: DataFrame, field: Field, text_col: str = "text", spans: bool = Tru
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         model = held.value
         odds = _Odds(model)
         for batch in it:
-            texts = [t.as_py() or "" for t in batch.column(at)]
-            lengths, parts = np.zeros(len(texts), np.int64), []
-            for k, text in enumerate(texts):
-                words = tokens(text)
+            lengths, parts = np.zeros(len(batch), np.int64), []
+            for k, text in enumerate(batch.column(at)):
+                words = tokens(text.as_py())
                 lengths[k] = len(words)
                 parts.append(np.fromiter(map(odds.__getitem__, words), np.float32, len(words)))
-            score = np.empty(len(texts))
-            found: list = [[] for _ in texts]
+            score = np.empty(len(batch))
+            found: list = [[] for _ in range(len(batch) * spans)]
             order, start, size = np.argsort(-lengths, kind="stable"), 0, 0
             for k in range(len(order)):
                 size += lengths[order[k]]
@@ -305,10 +307,13 @@ def tag(docs: DataFrame, field: Field, text_col: str = "text", spans: bool = Tru
             if spans:
                 for d, hits in enumerate(found):
                     if hits:
-                        places = [x.span() for x in re.finditer(r"\S+", texts[d])]
+                        places = [x.span() for x in re.finditer(r"\S+", batch.column(at)[d].as_py())]
                         found[d] = [{"start": places[h][0], "end": places[h][1]} for h in hits if h < len(places)]
                 new.append(pa.array(found, span_type))
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*columns, "toxicity", *["toxic_spans"] * spans])
+            del parts, found, new, batch  # not held while the next batch is awaited
+        odds.clear()
+        common.give_back()
 
     schema = docs.withColumn("toxicity", F.lit(0.0)).schema
     if spans:
