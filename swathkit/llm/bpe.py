@@ -158,7 +158,8 @@ class Memory(dict):
             found = self.make(word)
         if len(word) <= 64:
             if self.held >= CACHE_BYTES:
-                self.old, self.held = dict(self), 0
+                self.old, self.held = {}, 0  # the generation before goes first
+                self.old.update(self)
                 self.clear()
             self[word] = found
             self.held += ENTRY_BYTES + 2 * len(word) + 4 * len(found)
@@ -249,7 +250,8 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, whole: bool) ->
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(shipped.value)
-        decimal = list(map(str, range(max(coder.automaton.labels, default=0) + 1)))
+        common.give_back()  # what reading the vocabulary took
+        decimal = [] if whole else list(map(str, range(max(coder.automaton.labels, default=0) + 1)))
         for batch in it:
             start, n, held, ids_told, texts_told = 0, [], array("i"), [], []
             for k, text in enumerate(batch.column(1)):

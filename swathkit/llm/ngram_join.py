@@ -172,6 +172,7 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 out[k] = both / (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["rep", "pivot", "similarity"])
+        common.give_back()
 
     pivots = sets.join(_small(common.materialize(pairs.select(F.col("pivot").alias("rep")).distinct())), "rep", "left_semi")
     wide = sets.withColumnRenamed("grams", "x").join(_small(pairs), "rep").join(pivots.select(F.col("rep").alias("pivot"), F.col("grams").alias("y")), "pivot")

@@ -58,3 +58,15 @@ def test_spans_are_cut_out(spark):
     docs = spark.createDataFrame([(1, f"Before it, {item.title()}! After it.", 7), (2, "clean text", 8), (3, None, 9)], "doc_id long, text string, n_words int")
     got = {r["doc_id"]: (r["text"], r["n_words"]) for r in decontam.decontaminate(docs, spark.createDataFrame([("a", item)], "item_id string, text string")).collect()}
     assert got == {1: ("Before it, ! After it.", 7), 2: ("clean text", 8), 3: (None, 9)}
+
+
+def test_cut_over_several_blocks(spark):
+    long = [" ".join(f"{x}{k}" for k in range(14)) for x in "abc"]
+    docs = spark.createDataFrame([(k, f"start {x} end") for k, x in enumerate(long)] + [(9, None), (10, ""), (11, "left alone")], "doc_id long, text string")
+    items = spark.createDataFrame([(f"i{k}", x) for k, x in enumerate(long)], "item_id string, text string")
+    assert [last for _, last in decontam.benchmark_blocks(items, block_bytes=64)][-1] and len(list(decontam.benchmark_blocks(items, block_bytes=64))) > 1
+    many, one = (decontam.find_benchmark(docs, items, block_bytes=n, cut=True) for n in (64, 1 << 20))
+    assert many.columns == one.columns == ["doc_id", "text"]
+    got = sorted(tuple(r) for r in many.collect())
+    assert got == sorted(tuple(r) for r in one.collect())
+    assert all("a0" not in (t or "") and "c13" not in (t or "") for _, t in got) and got[-1] == (11, "left alone") and got[3] == (9, None)
