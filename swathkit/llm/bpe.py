@@ -31,6 +31,7 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 CACHE_BYTES = 24 << 20
 ENTRY_BYTES = 260  # of a word's string, its array and its place in the table, without their contents
 TABLE_CACHE = 250_000
+LOSS_CACHE = 200_000
 FLUSH_TOKENS = 1 << 20
 
 
@@ -55,14 +56,18 @@ class TokenAutomaton:
         for m, (u, v) in enumerate(merges):
             self._gadget(m, labels[u], labels[v], labels[u + v])
         self.losses: dict[int, dict[int, int]] = {}
+        self.losses_held = 0
         self.live = {i for b, i in labels.items() if len(b) == 1} | set(self.made)
         self.whole = {b: i for b, i in labels.items() if i in self.live}  # the start state has every live label
-        self.trie: dict = {}
+        self.next: dict[int, int] = {}  # of the trie of live labels: node and byte to node
+        self.spelt = array("i", [-1])  # the label that ends in a node
         for b, i in self.whole.items():
-            node = self.trie
+            node = 0
             for x in b:
-                node = node.setdefault(x, {})
-            node[-1] = i
+                node = self.next.setdefault(node << 8 | x, len(self.spelt))
+                if node == len(self.spelt):
+                    self.spelt.append(-1)
+            self.spelt[node] = i
 
     def _gadget(self, m: int, u: int, v: int, w: int) -> None:
         if w in self.made or not self._arc(self.target[u], v):
@@ -94,7 +99,11 @@ class TokenAutomaton:
             while at:
                 found[self.lost[at]] = self.born[at]
                 at = self.origin[at]
+            if self.losses_held >= LOSS_CACHE:
+                self.losses.clear()
+                self.losses_held = 0
             self.losses[state] = found
+            self.losses_held += len(found)
         return found
 
     def arc(self, state: int, label: int) -> bool:
@@ -111,7 +120,7 @@ class TokenAutomaton:
     def encode_word(self, word: bytes) -> list[int]:
         """The labels of the only path that spells ``word``."""
         n = len(word)
-        root, target, table = self.trie, self.target, self.table
+        step, spelt, target, table = self.next.get, self.spelt, self.target, self.table
         label = self.whole.get(word)
         if label is not None:
             return [label]
@@ -119,13 +128,13 @@ class TokenAutomaton:
         start: list[int] = [0] * (n + 1)
         for i in range(n):
             state = target[entry[i]] if i else 0
-            node = root
+            node = 0
             for j in range(i, n):
-                node = node.get(word[j])
+                node = step(node << 8 | word[j])
                 if node is None:
                     break
-                label = node.get(-1)
-                if label is not None and entry[j + 1] < 0:
+                label = spelt[node]
+                if label >= 0 and entry[j + 1] < 0:
                     key = state << 20 | label
                     ok = table.get(key)
                     if ok is None:
@@ -212,6 +221,7 @@ class Codec:
         self.known.forget()
         self.automaton.table.clear()
         self.automaton.losses.clear()
+        self.automaton.losses_held = 0
 
 
 def codec(content: bytes) -> Codec:
@@ -272,6 +282,8 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, whole: bool) ->
                         told = pa.array(ids_told, pa.string())
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(n)), pa.array(n, pa.int64()), told, pa.array(texts_told, pa.string())], names=names)
                     start, n, held, ids_told, texts_told = k + 1, [], array("i"), [], []
+            del batch  # before the next is read
+            common.give_back()
         coder.forget()  # the worker goes on to other stages
         common.give_back()
 
