@@ -31,6 +31,7 @@ WINDOW = 10
 SHARD_WORDS = 1 << 20
 BLOCK_BYTES = 8 << 20
 SAMPLE = 16
+SEARCHED = 1 << 18  # phrases at once
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -136,39 +137,56 @@ class FMIndex:
         return out
 
 
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of true values begin and end."""
+    padded = np.zeros(len(mask) + 2, np.int8)
+    padded[1:-1] = mask
+    edge = np.diff(padded)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
 class Phrases:
-    """The windows of a block of items, as numbers of words, by length."""
+    """The windows of a block of items, as numbers of words, by length: for each length the different windows, and the
+    items of each between two offsets."""
 
     def __init__(self, items: list[tuple[str, str]]):
         self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        names = sorted({i for i, _ in items})
-        number = {x: k for k, x in enumerate(names)}
+        self.names = sorted({i for i, _ in items})
+        number = {x: k for k, x in enumerate(self.names)}
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         for item, text in items:
-            codes = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for k in range(max(1, len(codes) - WINDOW + 1) if codes else 0):
-                owners[tuple(codes[k : k + WINDOW])].add(number[item])
-        self.names = names
-        self.by_length = []
-        for length in sorted({len(x) for x in owners}):
-            own = [x for x in owners if len(x) == length]
-            self.by_length.append((length, np.array(own, np.int64), [sorted(owners[x]) for x in own]))
+            words = words_of(text)
+            codes = np.fromiter((self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words), np.int32, len(words))
+            by_size[min(len(codes), WINDOW)].append((number[item], codes))
+        self.by_length = [(length, *self._windows(length, by_size[length])) for length in sorted(by_size) if length]
         self.shortest = self.by_length[0][0] if self.by_length else 0
 
-    def find(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], list[str]]]:
-        """For each document of a shard, the merged spans of hit words (first, last + 1) and the items that occur."""
+    @staticmethod
+    def _windows(length: int, items: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        windows = np.concatenate([np.lib.stride_tricks.sliding_window_view(codes, length) for _, codes in items])
+        owner = np.repeat(np.array([k for k, _ in items], np.int32), [len(codes) - length + 1 for _, codes in items])
+        order = np.lexsort((owner, *windows.T))
+        windows, owner = windows[order], owner[order]
+        new = np.concatenate([[True], (windows[1:] != windows[:-1]).any(axis=1)])
+        kept = new | np.concatenate([[True], owner[1:] != owner[:-1]])  # an item is told once for each window
+        return windows[new], np.append(np.flatnonzero(new[kept]), kept.sum()), owner[kept]
+
+    def codes_of(self, words: list[bytes]) -> np.ndarray:
+        """The numbers of a document's words; 0 for words that no item has."""
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int32, len(words))
+
+    def find(self, texts: list[np.ndarray]) -> list[tuple[list[tuple[int, int]], list[str]]]:
+        """For each document of a shard, given by the numbers of its words, the merged spans of hit words (first, last + 1)
+        and the items that occur."""
         out: list[tuple[list[tuple[int, int]], list[str]]] = [([], []) for _ in texts]
         lengths = np.array([len(x) for x in texts], np.int64)
         starts = np.concatenate([[0], np.cumsum(lengths + 1)])
         if not self.by_length or not lengths.sum():
             return out
         codes = np.zeros(starts[-1], np.int32)
-        get = self.vocabulary.get
         for x, at in zip(texts, starts):
-            codes[at : at + len(x)] = np.fromiter(map(get, x, repeat(0)), np.int32, len(x))
-        known = codes != 0
-        edge = np.diff(np.concatenate([[0], known.view(np.int8), [0]]))
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+            codes[at : at + len(x)] = x
+        begin, end = runs(codes != 0)
         long = end - begin >= self.shortest
         begin, end = begin[long], end[long]
         if not len(begin):
@@ -180,27 +198,26 @@ class Phrases:
         index = FMIndex(text, len(self.vocabulary) + 1)
         hits: list[tuple[np.ndarray, int]] = []
         items_of: dict[int, set[int]] = defaultdict(set)
-        for length, phrases, owners in self.by_length:
-            low, high = index.search(phrases)
-            count = high - low
-            which = np.repeat(np.arange(len(phrases)), count)
-            if not len(which):
-                continue
-            rows = np.arange(len(which)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count) + low[which]
-            at = origin[index.locate(rows)]
-            hits.append((at, length))
-            doc = np.searchsorted(starts, at, side="right") - 1
-            for d, w in np.unique(np.stack([doc, which], 1), axis=0):
-                items_of[int(d)].update(owners[w])
+        for length, phrases, offset, owners in self.by_length:
+            for base in range(0, len(phrases), SEARCHED):
+                low, high = index.search(phrases[base : base + SEARCHED])
+                count = high - low
+                which = np.repeat(np.arange(len(low)), count)
+                if not len(which):
+                    continue
+                rows = np.arange(len(which)) - np.repeat(np.concatenate([[0], np.cumsum(count)[:-1]]), count) + low[which]
+                at = origin[index.locate(rows)]
+                hits.append((at, length))
+                doc = np.searchsorted(starts, at, side="right") - 1
+                for d, w in np.unique(np.stack([doc, which + base], 1), axis=0):
+                    items_of[int(d)].update(owners[offset[w] : offset[w + 1]].tolist())
         if not hits:
             return out
-        level = np.zeros(len(codes) + 1, np.int64)
+        level = np.zeros(len(codes) + 1, np.int32)
         for at, length in hits:
             np.add.at(level, at, 1)
             np.add.at(level, at + length, -1)
-        covered = (np.cumsum(level)[:-1] > 0).view(np.int8)
-        edge = np.diff(np.concatenate([[0], covered, [0]]))
-        for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+        for a, b in zip(*runs(np.cumsum(level)[:-1] > 0)):
             d = int(np.searchsorted(starts, a, side="right") - 1)
             out[d][0].append((int(a - starts[d]), int(b - starts[d])))
         for d, found in items_of.items():
@@ -265,16 +282,19 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                 texts, start, size = [], 0, 0
                 column = batch.column(at)
                 for k in range(len(batch)):
-                    texts.append(words_of(column[k].as_py()))
+                    texts.append(phrases.codes_of(words_of(column[k].as_py())))
                     size += len(texts[-1])
                     if size >= SHARD_WORDS or k == len(batch) - 1:
                         found = marked(batch.slice(start, k + 1 - start), texts, phrases)
                         yield cut_out(found, at) if cut else found
                         texts, start, size = [], k + 1, 0
+                        del found
+                del batch, column  # before the next is read
+                common.give_back()
             del phrases
             common.give_back()
 
-        def marked(batch: pa.RecordBatch, texts: list[list[bytes]], phrases: Phrases) -> pa.RecordBatch:
+        def marked(batch: pa.RecordBatch, texts: list[np.ndarray], phrases: Phrases) -> pa.RecordBatch:
             spans, items = [], []
             for (s, i), old_s, old_i in zip(phrases.find(texts), batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist()):
                 s = merged([*s, *((x["start"], x["end"]) for x in old_s)]) if old_s else s
