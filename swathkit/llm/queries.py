@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontam, linededup, lm, ngram_join, sharding, toxicity, warc
+from . import ann, bpe, chat, decontam, fim, importance, linededup, lm, ngram_join, sharding, topk, toxicity, warc
 from .common import table
 
 BPE_VOCABULARY = "byte_bpe_50k.json"
@@ -58,7 +58,23 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_nearest_neighbours, op3_bpe, op4_line_dedup, op5_decontamination, op6_warc_derivatives, op7_tool_calls, op8_lm_scoring, op9_toxicity, op10_ngram_join)}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: how it was cut, the output and the text restored from it as digests."""
+    cut = fim.transform(table(spark, sf_dir, "documents"), unit="line", seed=7, fim_percent=100, spm_percent=50)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, n_features, weight, score, rank (null: not drawn); the target is the benchmark."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=1, buckets=10_000, seed=2024, least_words=20, percent=10)
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the ten highest integer inner products of every hundredth vector with all others."""
+    return topk.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_nearest_neighbours, op3_bpe, op4_line_dedup, op5_decontamination, op6_warc_derivatives, op7_tool_calls, op8_lm_scoring, op9_toxicity, op10_ngram_join, op11_fill_in_middle, op12_importance_resampling, op13_exact_topk)}
 
 _LINES = f"""
 WITH line AS (SELECT doc_id, pos, trim(parts[pos]) AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL))),
@@ -87,5 +103,24 @@ SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id)
 FROM call c FULL OUTER JOIN result r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
 """
 
-#: Without SQL (tested by brute force or a round trip): op1 (CRC-32), op2 (approximate), op3, op6 (base 32, HTML), op8 and op9 (trained models).
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": _LINES, "op7_tool_calls": _CALLS}
+_MIDDLE = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS unit, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (SELECT doc_id, text, unit, len(unit) AS n, [('0x' || substr(h, k * 8 - 7, 8))::BIGINT FOR k IN [1, 2, 3, 4]] AS h FROM t),
+placed AS (SELECT doc_id, text, unit, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+piece AS (SELECT doc_id, text, n, form, array_to_string(unit[1:a], '') AS p, array_to_string(unit[a + 1:b], '') AS m, array_to_string(unit[b + 1:], '') AS s FROM placed)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM piece
+"""
+
+_TOP = """
+WITH fine AS (SELECT vec_id::BIGINT AS vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pair AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score FROM fine q JOIN fine c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pair)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+#: Without SQL (tested by brute force or a round trip): op1 (CRC-32), op2 (approximate), op3, op6 (base 32, HTML), op8 and op9 (trained models), op12 (CRC-32).
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": _LINES, "op7_tool_calls": _CALLS, "op11_fill_in_middle": _MIDDLE, "op13_exact_topk": _TOP}
