@@ -19,7 +19,6 @@ for each block.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -41,7 +40,6 @@ SAMPLE_BYTES = 8 << 20
 STAGES = (0.25, 0.5)
 EXACT = 2.0**53
 _LONG = 2**63 - 1
-_MOST = 10**38 - 1
 
 
 def whole_numbers(df: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -202,9 +200,19 @@ def turned(whole: np.ndarray, lengths: np.ndarray, turn: np.ndarray) -> tuple[li
     return parts, rests
 
 
+_TURNED = str.maketrans("0123456789", "9876543210")
+
+
+def sortable(score: int) -> str:
+    """A whole number of any size as a string; strings sort as the numbers do."""
+    digits = str(abs(score))
+    key = f"{len(digits):04d}{digits}"
+    return "+" + key if score >= 0 else "!" + key.translate(_TURNED)
+
+
 def _answers(ids: np.ndarray, best: Best) -> pd.DataFrame:
-    rows = [(int(ids[q]), i, Decimal(max(-_MOST, min(_MOST, -s)))) for q, found in enumerate(best.rows) for s, i in found]
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+    rows = [(int(ids[q]), i, sortable(-s), max(-_LONG - 1, min(_LONG, -s))) for q, found in enumerate(best.rows) for s, i in found]
+    return pd.DataFrame(rows, columns=["query_id", "vec_id", "key", "score"])
 
 
 def top_products(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", *, scale: int = SCALE, block_rows: int | None = None, chunk_queries: int = CHUNK_QUERIES, head_rows: int = HEAD_ROWS) -> DataFrame:
@@ -213,7 +221,7 @@ def top_products(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     ``is_query`` is a condition on ``vec_id``. Rows without an id or a usable vector (see ``whole_numbers``) take no part. A
     vector shorter than another counts as padded with zeros; zero vectors score 0. Repeated rows count once; an id with
     several vectors has the highest of its products. Fewer candidates than ``k`` give fewer rows; an empty table or one
-    without a query gives none; other columns are ignored. Scores are ranked exactly up to 38 digits; one beyond a long is
+    without a query gives none; other columns are ignored. Scores of any size are ranked exactly; one beyond a long is
     told as the largest or smallest long. ``block_rows`` is a 64th of the rows by default, at least 1,024 and no more
     than memory allows (``MOST_BLOCK_ROWS``, ``BLOCK_BYTES``); it changes no result.
     """
@@ -275,9 +283,8 @@ def top_products(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
         common.give_back()
 
     met = held.unionByName(sent).repartition(common.partitions(spark), "block", "chunk").sortWithinPartitions("block", "chunk", "asks")
-    found = met.mapInPandas(meet, "query_id long, vec_id long, score decimal(38,0)")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = met.mapInPandas(meet, "query_id long, vec_id long, key string, score long")
+    found = found.groupBy("query_id", "vec_id").agg(F.max(F.struct("key", "score")).alias("best"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("best.key"), "vec_id"))
     best = found.withColumn("rank", nth).where(F.col("rank") <= k)
-    told = F.greatest(F.lit(-_LONG - 1).cast("decimal(38,0)"), F.least(F.lit(_LONG).cast("decimal(38,0)"), F.col("score"))).cast("long")
-    return best.select("query_id", F.col("rank").cast("int"), "vec_id", told.alias("score"))
+    return best.select("query_id", F.col("rank").cast("int"), "vec_id", F.col("best.score").alias("score"))
