@@ -253,6 +253,7 @@ def _run(docs: DataFrame, path: str, id_col: str, text_col: str, whole: bool) ->
     id_type = kept.schema["doc_id"].dataType.simpleString()
     tail = "ids array<int>, decoded string" if whole else "ids_sha256 string, decoded_sha256 string"
     names = ["doc_id", "n_tokens", *(["ids", "decoded"] if whole else ["ids_sha256", "decoded_sha256"])]
+    common.by_bytes(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary(path))  # a few MB, whatever the corpus
 
     def digest(x: bytes) -> str:

@@ -74,6 +74,17 @@ def give_back() -> None:
         trim(0)
 
 
+BATCH_BYTES = 2 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def by_bytes(spark: SparkSession) -> None:
+    """From now on the session hands rows to Python in batches of at most ``BATCH_BYTES`` (or one row), unless the user has set
+    another bound: texts differ in length by orders of magnitude, and a batch is held on both sides."""
+    if spark.conf.get(_BATCH_SETTING) in ("67108864b", "64MB", "64m"):  # the default
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def partitions(spark: SparkSession) -> int:
     """As many partitions as shuffles have: for rows few in bytes but costly, which adaptive execution would put together."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -265,6 +265,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     being written between them, so that a task runs one search at a time.
     """
     spark = docs.sparkSession
+    common.by_bytes(spark)
     kept = [c for c in docs.columns if c not in ("n_words", "hit_spans", "hit_items")]
     plain = docs.select(*kept).schema
     spans_type = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))

@@ -129,6 +129,7 @@ def sketches(docs: DataFrame, bands: int, rows: int, seed: int = 5) -> DataFrame
         _codes.clear()  # the worker goes on to other stages
         common.give_back()
 
+    common.by_bytes(docs.sparkSession)
     return docs.select("doc_id", "text", "row").mapInArrow(batches, "doc_id long, row long, n int, set_hash binary, bands array<long>")
 
 

@@ -274,6 +274,7 @@ def tag(docs: DataFrame, field: Field, text_col: str = "text", spans: bool = Tru
     """
     columns = [c for c in docs.columns if c not in ("toxicity", "toxic_spans")]
     docs = docs.select(columns)
+    common.by_bytes(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(field)
     at = columns.index(text_col)
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
