@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
@@ -252,8 +253,10 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: st
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes) or 1
+    if n > 1:  # written once, and read a block at a time
+        items = common.materialize(items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n)).cast("int")).repartition("block"))
     for k in range(n):
-        yield [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == k).collect()], k == n - 1
+        yield [(r["item"], r["text"]) for r in (items.where(F.col("block") == k) if n > 1 else items).collect()], k == n - 1
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
@@ -273,11 +276,10 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     schema = docs.schema
     n = len(kept)
     for block, last in benchmark_blocks(benchmark, block_bytes=block_bytes):
-        held = spark.sparkContext.broadcast(block)
+        held, name = spark.sparkContext.broadcast(block), ("benchmark", uuid.uuid4().hex)
 
-        def batches(it: Iterator[pa.RecordBatch], held=held, cut=cut and last) -> Iterator[pa.RecordBatch]:
-            common.release()
-            phrases = Phrases(held.value)
+        def batches(it: Iterator[pa.RecordBatch], held=held, name=name, cut=cut and last) -> Iterator[pa.RecordBatch]:
+            phrases = common.kept(name, lambda: Phrases(held.value))  # once in a worker, not in each of its tasks
             for batch in it:
                 at = batch.schema.get_field_index(text_col)
                 texts, start, size = [], 0, 0
@@ -292,8 +294,6 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                         del found
                 del batch, column  # before the next is read
                 common.give_back()
-            del phrases
-            common.give_back()
 
         def marked(batch: pa.RecordBatch, texts: list[np.ndarray], phrases: Phrases) -> pa.RecordBatch:
             spans, items = [], []

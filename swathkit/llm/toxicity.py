@@ -226,10 +226,16 @@ def fit(texts: list[str], toxic: list[int], seed: int = 3) -> Field:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_bytes: int = SAMPLE_BYTES, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], list[int]]:
-    """Texts and labels of a bounded sample: rows by a hash of their ids, as long as their bytes fit."""
+    """Texts and labels of a bounded sample: ids by a hash, as long as the bytes of their texts fit.
+
+    Of an id with several texts the shortest counts, of equally short ones the first in order, so no id brings more
+    than one row to the driver, however often it is repeated; of several labels the toxic one counts. Rows without an id, or
+    with a label other than 0 and 1, take no part; null texts count as empty. Without labelled rows both lists are empty.
+    """
     known = labels.select(labels[id_col].alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(train)
-    sized = docs.select(docs[id_col].alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).alias("bytes")).join(known, "doc_id")
+    texts = docs.select(docs[id_col].alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    sized = texts.groupBy("doc_id").agg(F.min(F.octet_length("text")).alias("bytes")).join(known, "doc_id")
     chosen = sized.orderBy(F.xxhash64("doc_id"), "bytes").limit(sample_rows).collect()
     ids, room = set(), sample_bytes
     for r in chosen:
@@ -239,8 +245,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, train, id_col: str = "do
     toxic = {r["doc_id"]: r["toxic"] for r in chosen}
     if not ids:
         return [], []
-    few = docs.sparkSession.createDataFrame([(i,) for i in ids], docs.select(docs[id_col].alias("doc_id")).schema)
-    got = {r["doc_id"]: r["text"] or "" for r in docs.select(docs[id_col].alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "doc_id", "left_semi").collect()}
+    few = docs.sparkSession.createDataFrame([(i,) for i in ids], texts.select("doc_id").schema)
+    shortest = F.min(F.struct(F.octet_length("text").alias("bytes"), "text"))["text"]
+    got = {r["doc_id"]: r["text"] for r in texts.join(F.broadcast(few), "doc_id", "left_semi").groupBy("doc_id").agg(shortest.alias("text")).collect()}
     order = sorted(got)
     return [got[i] for i in order], [toxic[i] for i in order]
 
@@ -323,13 +330,17 @@ def tag(docs: DataFrame, field: Field, text_col: str = "text", spans: bool = Tru
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of ``docs``; the field learns from labels of rows not held out."""
+    """doc_id, held_out, score, predicted for every row of ``docs``; the field learns from labels of rows not held out.
+
+    Null texts count as empty, a null id is not held out, repeated rows are scored each, an empty table gives no rows; without
+    labels every text gets the same score. Other columns are ignored.
+    """
     field = train(docs, labels)
     rows = tag(docs.select("doc_id", "text"), field, spans=False)
     return rows.select("doc_id", is_held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without those whose score is at least half."""
+    """``docs`` without those whose score is at least half; all columns stay. Nulls, repeated rows and empty tables as in ``score``."""
     field = train(docs, labels)
     return tag(docs, field, spans=False).where("toxicity < 0.5").select(docs.columns)
