@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import ranking
+
 
 def axis_steps(low: float, high: float, step: float) -> int:
     """How many starts from ``low`` by ``step`` there are up to and including ``high``."""
@@ -23,8 +25,8 @@ def grid(spark: SparkSession, box: tuple[float, float, float, float], step: floa
 
 
 def renumber(df: DataFrame, order: list[str], name: str = "patch_id") -> DataFrame:
-    """Numbers from 1 in an order. A global order: meant for grids of an area, not for cells."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    """Numbers (int) from 1 in an order; by ranges, so no task sees all rows."""
+    return ranking.numbered(df, order, name).withColumn(name, F.col(name).cast("int"))
 
 
 def touching(cells: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
@@ -78,11 +80,49 @@ def hash_order(id_col: str, seed: int = 42):
     return (F.col(id_col) * 2654435761 + seed) % 4294967296
 
 
+_DIGITS = ((21, 11), (10, 11), (0, 10))  # of a number of 32 bits: shift and width
+
+
+def nth_smallest(df: DataFrame, key: Column, n: int) -> tuple[int, int]:
+    """The ``n``-th smallest of whole numbers of 32 bits, and how many equal to it are among the ``n``.
+
+    Three counts of at most 2,048 bins each, the driver seeing the bins only; ``df`` is read three times. With fewer than
+    ``n`` rows it is an error; of none (``n`` is 0) the answer is (0, 0).
+    """
+    if n <= 0:
+        return 0, 0
+    prefix = 0
+    for shift, width in _DIGITS:
+        digit = F.shiftright(key, shift).bitwiseAND((1 << width) - 1)
+        bins = df.where(F.shiftright(key, shift + width) == prefix).groupBy(digit.alias("digit")).count().collect()
+        for row in sorted(bins):
+            if n <= row["count"]:
+                prefix = prefix << width | row["digit"]
+                break
+            n -= row["count"]
+        else:
+            raise ValueError("fewer rows than asked for")
+    return prefix, n
+
+
 def split_train_val(df: DataFrame, id_col: str, ratio: float = 0.15, seed: int = 42) -> DataFrame:
-    """Adds split: exactly round(n * ratio) rows (half to even) are for validation, in hash order."""
-    held = F.bround(F.count(F.lit(1)).over(Window.partitionBy()) * F.lit(ratio)).cast("int")
-    place = F.row_number().over(Window.orderBy(hash_order(id_col, seed), id_col))
-    return df.withColumn("split", F.when(place <= held, "val").otherwise("train"))
+    """Adds split: exactly round(n * ratio) rows (half to even) are for validation, the first in hash order, ties by id.
+
+    The hash of the last of them is found by counting; rows are sorted only where several share that hash. ``df`` is read
+    four times, so it should be a table, or cheap. Rows with a null id are for training and don't count.
+    """
+    key = hash_order(id_col, seed)
+    known = df.where(F.col(id_col).isNotNull())
+    held = round(known.count() * ratio)
+    cut, ties = nth_smallest(known, key, held)
+    if not held:
+        return df.withColumn("split", F.lit("train"))
+    last = known.where(key == cut)
+    if last.count() == ties:
+        return df.withColumn("split", F.when(key <= cut, "val").otherwise("train"))
+    placed = ranking.numbered(last, [id_col], "_place")
+    placed = placed.withColumn("split", F.when(F.col("_place") <= ties, "val").otherwise("train")).drop("_place")
+    return df.where(key.isNull() | (key != cut)).withColumn("split", F.when(key < cut, "val").otherwise("train")).unionByName(placed)
 
 
 def sample_rows(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:

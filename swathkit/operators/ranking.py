@@ -17,9 +17,7 @@ _PLACE_BITS = 33  # monotonically_increasing_id: the partition above, the place
 
 
 def _written(df: DataFrame) -> DataFrame:
-    path = storage.scratch(df.sparkSession, "ranked")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return storage.written(df, "ranked")
 
 
 def numbered(df: DataFrame, order: list[Column | str], name: str = "place", write: Callable[[DataFrame], DataFrame] = _written) -> DataFrame:

@@ -38,6 +38,49 @@ def top_scenes(scenes: DataFrame, months: tuple[int, int], n: int = 3, most: flo
     return best_scenes(season.unionByName(rest), ["tile_id", "annee"], n)
 
 
+def nearest_scenes(scenes: DataFrame, wanted: DataFrame, days: int = 30, months: tuple[int, int] = (6, 9), strict: float = 20.0, relaxed: float = 30.0, order: list[str] | None = None) -> DataFrame:
+    """For each wanted (tile_id, day): the clearest scene near that day and how it was found. tile_id, day, scene_id, cloud, step.
+
+    Step 1 takes scenes up to ``days`` away; step 2, where a tile has none (or ``day`` is null), those of the season
+    ``months`` of ``day``'s year (without a day: of the latest year in the catalogue); both hold clouds to ``strict``. Step 3
+    takes any scene of that year, with clouds up to ``relaxed``. Within a step the clearest comes first, ties by id (or what
+    ``order`` says); scenes of unknown cloud cover never count. One join on tile and year (a scene meets the days of its own and the neighbouring
+    years only), one window a wanted day. Wanted days for which nothing is found have no row; repeated ones count once.
+    """
+    known = filter_cloud(scenes, relaxed).withColumns({"_on": F.to_date("ts"), "_year": F.year("ts")})
+    asked = wanted.select("tile_id", F.col("day").cast("date").alias("day")).distinct()
+    if not asked.where("day IS NULL").isEmpty():
+        latest = known.agg(F.max("_year")).first()[0]
+        asked = asked.withColumn("_of", F.coalesce(F.year("day"), F.lit(latest).cast("int")))
+    else:
+        asked = asked.withColumn("_of", F.year("day"))
+    years = F.array_distinct(F.filter(F.array(F.col("_of"), F.year(F.date_sub("day", days)), F.year(F.date_add("day", days))), lambda y: y.isNotNull()))
+    met = asked.withColumn("_year", F.explode(years)).join(known, ["tile_id", "_year"])
+    own, clear = F.col("_year") == F.col("_of"), F.col("cloud") <= strict
+    near = F.coalesce(F.abs(F.datediff("_on", "day")) <= days, F.lit(False))
+    step = F.when(near & clear, 1).when(own & clear & F.month("_on").between(*months), 2).when(own, 3)
+    first = Window.partitionBy("tile_id", "day", "_of").orderBy("step", *(order or ["cloud", "scene_id"]))
+    return met.withColumn("step", step).where("step IS NOT NULL").withColumn("_n", F.row_number().over(first)).where("_n = 1").select("tile_id", "day", "scene_id", "cloud", "step")
+
+
+def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, n, mean, m2 (the sum of squared distances from the mean) of the known values: a state that ``merge_moments`` adds up."""
+    n = F.count(value)
+    return df.groupBy(*keys).agg(n.alias("n"), F.avg(value).alias("mean"), (F.var_pop(value) * n).alias("m2"))
+
+
+def merge_moments(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The moments of several parts as those of all their values: means weighted by counts, m2 with what the means differ.
+
+    Parts are whatever ``moments`` or an earlier merge gave, in any order; parts of no value change nothing.
+    """
+    own = parts.where("n > 0")
+    whole = own.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    apart = F.col("mean") - F.col("_mean")
+    met = own.select(*keys, "n", "mean", "m2").join(whole, keys)
+    return met.groupBy(*keys, "_mean").agg(F.sum("n").alias("n"), F.sum(F.col("m2") + F.col("n") * apart * apart).alias("m2")).select(*keys, "n", F.col("_mean").alias("mean"), "m2")
+
+
 def median_composite(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The exact median of the known values of each cell."""
     return df.groupBy(*keys).agg(F.median(value).alias(value))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import storage
+
+
 def _all():
     """One window over all rows: only ever over one row for each class."""
     return Window.partitionBy()
@@ -23,11 +26,46 @@ def zonal(df: DataFrame, code: str, value: str, digits: int = 1) -> DataFrame:
     return known.groupBy(F.col(code).alias("code")).agg(*[F.round(f(value), digits).alias(n) for n, f in (("v_mean", F.avg), ("v_min", F.min), ("v_max", F.max), ("v_sd", F.stddev_samp))], F.count(F.lit(1)).alias("n"))
 
 
+BINS = 4096
+
+
+def quantiles(df: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
+    """group, q: the exact quantiles of a value in each group, between neighbours by linear interpolation.
+
+    Each wanted rank is closed in by counting: the values between the ends of its interval are counted in ``BINS`` bins,
+    and the bin that holds the rank, from its least to its greatest value, is the next interval, until both are one value. A
+    task holds no group; a round shuffles at most ``BINS`` counts for each interval and task, and a dozen rounds
+    tell any two doubles apart. ``df`` is read once a round, so it should be a table, or cheap. Rows with a null group, or a
+    value that is null or no number, take no part; a group without others has no row.
+    """
+    v = F.col(value).cast("double")
+    known = df.where(F.col(group).isNotNull() & v.isNotNull() & ~F.isnan(v)).select(F.col(group).alias("g"), v.alias("v"))
+    size = storage.written(known.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), "sizes")
+    at = F.explode(F.array(*[F.lit(float(p)) for p in shares]))
+    wanted = size.select("g", "n", "low", "high", at.alias("p")).withColumn("at", (F.col("n") - 1) * F.col("p"))
+    ranks = F.explode(F.array(F.floor("at"), F.ceil("at")))
+    state = storage.written(wanted.select("g", ranks.alias("k"), "low", "high", F.lit(0).cast("long").alias("below")).distinct(), "ranks")
+    while not (open_ := state.where("low < high")).isEmpty():
+        intervals = open_.select("g", "low", "high").distinct()
+        width = F.col("high") - F.col("low")
+        place = F.when(width < float("inf"), (F.col("v") - F.col("low")) / width).otherwise((F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2))
+        inside = known.join(intervals, "g").where(F.col("v").between(F.col("low"), F.col("high")))
+        counted = inside.groupBy("g", "low", "high", F.least(F.floor(place * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        before = F.sum("c").over(Window.partitionBy("g", "low", "high").orderBy("bin")) - F.col("c")
+        chosen = open_.join(counted.withColumn("before", before), ["g", "low", "high"]).withColumn("before", F.col("below") + F.col("before"))
+        chosen = chosen.where((F.col("before") <= F.col("k")) & (F.col("k") < F.col("before") + F.col("c"))).select("g", "k", F.col("least").alias("low"), F.col("most").alias("high"), F.col("before").alias("below"))
+        state = storage.written(state.where("low = high").unionByName(chosen), "ranks")
+    found = state.select("g", "k", F.col("low").alias("x"))
+    ends = wanted.select("g", "p", "at", F.floor("at").alias("k")).join(found, ["g", "k"]).withColumnRenamed("x", "a").withColumn("k", F.ceil("at")).join(found, ["g", "k"])
+    part = F.col("at") - F.floor("at")
+    q = F.when(part == 0, F.col("a")).otherwise((1 - part) * F.col("a") + part * F.col("x"))
+    return ends.groupBy(F.col("g").alias(group)).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", q.alias("q")))), lambda e: e["q"]).alias("q"))
+
+
 def quartiles(df: DataFrame, code: str, value: str) -> DataFrame:
     """code, q1, q2, q3 and the class's place by median (ties by code)."""
-    q = df.groupBy(F.col(code).alias("code")).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select("code", *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)])
-    return q.withColumn("place", F.row_number().over(Window.orderBy("q2", "code")))
+    q = quantiles(df, code, value, [0.25, 0.5, 0.75]).select(F.col(code).alias("code"), *[F.round(F.col("q")[i], 6).alias(f"q{i + 1}") for i in range(3)])
+    return q.withColumn("place", F.row_number().over(Window.orderBy("q2", "code")))  # one row a class
 
 
 def confusion(df: DataFrame, ref: str, pred: str, n_classes: int) -> DataFrame:

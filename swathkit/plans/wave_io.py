@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.dims import dim, dim_sql
+from ..functions.dims import DIMS, dim, dim_sql
 from ..operators import bands as B
+from ..operators import classes as C
 from ..operators import grids as G
 from ..operators import overlay as V
-from ..operators import points as P
 from ..operators import raster as R
 from ..operators import temporal as T
+from ..operators import tin as N
 from ..operators import zonal as Z
 from ..sources import services, storage
 from .catalog import query
 from .fixtures import fixture, with_fixtures
+from .wave_classes import _TFV_SQL
+from .wave_vectors import _EDGE, area_of_interest, clipped_sql
 
 _PX = with_fixtures("fx_px")
 _S = with_fixtures("fx_scene")
@@ -50,18 +53,27 @@ def scan_cog(spark, d):
     return storage.read_raster(spark, _stored(spark, d), (40, 10, 50, 30), buffer=2, tile=32)
 
 
-@query()
+@query("SELECT modality, count(*) AS n FROM glob('/root/testdata/sf0.01/*.parquet') JOIN (VALUES ('embeddings', '/embeddings.parquet'), ('documents', '/documents.parquet'), ('none', '/none.parquet')) t(modality, suffix) ON ends_with(file, suffix) GROUP BY modality")
 def scan_dir(spark, d):
     """Files of a folder by kind, from their names alone."""
     kinds = spark.createDataFrame([(t, f"/{t}.parquet") for t in ("embeddings", "documents", "none")], "modality string, suffix string")
     return storage.count_by_modality(storage.list_files(spark, d, "*.parquet"), kinds)
 
 
-@query(with_fixtures("fx_poly") + "SELECT min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, round(sum((xmax-xmin)*(ymax-ymin))/10000, 6) AS area_ha FROM fx_poly")
+_PLANE = f"""deg AS (SELECT poly_id, hole, k, g, -1 + g[k].x * 0.01::DOUBLE AS lon, 43 + g[k].y * 0.01::DOUBLE AS lat FROM (SELECT poly_id, hole, g, unnest(range(1, len(g) + 1)) AS k FROM (SELECT poly_id, false AS hole, ring AS g FROM fx_ring UNION ALL SELECT poly_id, true, unnest(holes) FROM fx_ring))),
+conic AS (SELECT *, sin(radians(lat)) * {V._E!r}::DOUBLE AS es, radians(lon - {V._LON0}) * {V._N!r}::DOUBLE AS t FROM deg),
+flat AS (SELECT *, {V._C!r}::DOUBLE * exp(-{V._N!r}::DOUBLE * (ln(tan(radians(lat) / 2 + pi() / 4)) + ln((1 - es) / (1 + es)) * {V._E / 2!r}::DOUBLE)) AS rho FROM conic),
+xy AS (SELECT poly_id, hole, k, len(g) AS n, {V._X0} + rho * sin(t) - 600000 AS x, {V._Y0 + V._R0!r}::DOUBLE - rho * cos(t) - 6200000 AS y FROM flat),
+twice AS (SELECT a.poly_id, a.hole, abs(sum(a.x * b.y - b.x * a.y)) / 2 AS area FROM xy a JOIN xy b ON a.poly_id = b.poly_id AND a.hole = b.hole AND b.k = a.k % a.n + 1 GROUP BY ALL)"""
+
+
+@query(with_fixtures("fx_ring", also=_PLANE) + "SELECT round(min(x) + 600000, 3) AS xmin, round(min(y) + 6200000, 3) AS ymin, round(max(x) + 600000, 3) AS xmax, round(max(y) + 6200000, 3) AS ymax, (SELECT round(sum(CASE WHEN hole THEN -area ELSE area END) / 10000, 3) FROM twice) AS area_ha FROM xy")
 def scan_aoi(spark, d):
-    """Extent and area of an area of interest, from its rings."""
-    p = V.box_ring(fixture(spark, d, "fx_poly"))
-    return p.agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"), F.round(F.sum(V.ring_area("ring")) / 10000, 6).alias("area_ha"))
+    """Extent and area of an area of interest in GeoPackage files in degrees, read and brought to the working projection; holes don't count."""
+    degrees = lambda ring: F.transform(ring, lambda p: F.struct((p["x"] * 0.01 - 1).alias("x"), (p["y"] * 0.01 + 43).alias("y")))
+    shapes = fixture(spark, d, "fx_ring").select("poly_id", degrees("ring").alias("ring"), F.transform("holes", degrees).alias("holes"))
+    files = storage.written(storage.geopackages(shapes, "poly_id", "aoi", 4326, features=500), "packages")
+    return V.extent_and_area(V.to_working_projection(storage.features_of(files, "aoi"), "srs_id"))
 
 
 @query("SELECT 1::INTEGER AS idx, 'https://maps.example.org/wms?SERVICE=WMS&VERSION=1.3.0&REQUEST=GetMap&LAYERS=ortho&STYLES=&CRS=EPSG%3A2154&FORMAT=image%2Fgeotiff&BBOX=652000.000,6812000.000,652200.000,6812100.000&WIDTH=1000&HEIGHT=500' AS url")
@@ -116,9 +128,21 @@ def scan_dem2(spark, d):
     return both.select("r", "c", "DSM", "DTM", F.lit("terrain_fallback" if low else "surface").alias("dsm_source"))
 
 
-@query(with_fixtures("fx_point", also="g AS (SELECT tile_id, floor(x/10)::INTEGER AS gx, floor(y/10)::INTEGER AS gy, max(z) FILTER (return_number = 1) AS fz, max(z) AS top FROM fx_point GROUP BY ALL)") + "SELECT tile_id, gx, gy, round(coalesce(fz, top) + 1e-7, 4) AS dsm FROM g")
+#: In each square of a full lattice the diagonal runs from lower right to upper left: of the four corners, which lie on one circle, the lower left one is raised.
+_SQUARES = """lat AS (SELECT x, y, avg(z) FILTER (return_number = 1) AS dsm, avg(z) FILTER (cls = 2) AS dtm FROM fx_lattice GROUP BY ALL),
+cell AS (SELECT cx::BIGINT AS cx, cy::BIGINT AS cy, (cx // 5) * 5.0::DOUBLE AS x0, (cy // 5) * 5.0::DOUBLE AS y0, (cx % 5 + 0.5::DOUBLE) / 5 AS u, (cy % 5 + 0.5::DOUBLE) / 5 AS v FROM range(45) a(cx), range(45) b(cy)),
+four AS (SELECT cell.*, {'s': a.dsm, 't': a.dtm} AS a, {'s': b.dsm, 't': b.dtm} AS b, {'s': c.dsm, 't': c.dtm} AS c, {'s': d.dsm, 't': d.dtm} AS d FROM cell
+  JOIN lat a ON a.x = x0 AND a.y = y0 JOIN lat b ON b.x = x0 + 5 AND b.y = y0 JOIN lat c ON c.x = x0 AND c.y = y0 + 5 JOIN lat d ON d.x = x0 + 5 AND d.y = y0 + 5)"""
+_IN_SQUARE = "CASE WHEN u + v <= 1 THEN a.{0} + u * (b.{0} - a.{0}) + v * (c.{0} - a.{0}) ELSE d.{0} + (1 - u) * (c.{0} - d.{0}) + (1 - v) * (b.{0} - d.{0}) END"
+
+
+@query(with_fixtures("fx_lattice", also=_SQUARES) + f"SELECT cx, cy, round({_IN_SQUARE.format('s')} + 1e-7, 4) AS dsm, round({_IN_SQUARE.format('t')} + 1e-7, 4) AS dtm FROM four")
 def scan_las(spark, d):
-    return P.grid_heights(fixture(spark, d, "fx_point"), "tile_id", 10.0).select("tile_id", "gx", "gy", F.round(F.col("dsm") + 1e-7, 4).alias("dsm"))
+    """Surface and terrain of an area from all its points, in one triangulation though dealt by tiles."""
+    points = fixture(spark, d, "fx_lattice")
+    heights = lambda kind, name: N.area_heights(points.where(kind).select("x", "y", "z"), cell=1.0, tile=15.0, reach=4.0).withColumnRenamed("z", name)
+    both = heights("return_number = 1", "dsm").join(heights("cls = 2", "dtm"), ["cx", "cy"])
+    return both.select("cx", "cy", F.round(F.col("dsm") + 1e-7, 4).alias("dsm"), F.round(F.col("dtm") + 1e-7, 4).alias("dtm"))
 
 
 @query(with_fixtures("fx_poly") + "SELECT tfv AS code, xmin AS x, ymin AS y, 4 AS corners FROM fx_poly")
@@ -132,13 +156,18 @@ def scan_wfs(spark, d):
     return got.select(F.col("properties")["tfv"].alias("code"), F.get("ring", F.lit(0))["x"].alias("x"), F.get("ring", F.lit(0))["y"].alias("y"), F.size("ring").alias("corners"))
 
 
-@query(with_fixtures("fx_poly") + "SELECT poly_id, tfv FROM fx_poly WHERE poly_id % 7 = 3 AND xmin < 60 AND xmax > 10 AND ymin < 60 AND ymax > 10")
+_TILES = (([(10.0, 10.0), (160.0, 10.0), (160.0, 110.0), (10.0, 110.0)], []),)
+
+
+@query(with_fixtures("fx_ring", also=f"{_EDGE}, {clipped_sql(_TILES)}") + f"SELECT poly_id, {_TFV_SQL} AS code, round(area + 3e-8, 6) AS area FROM piece JOIN fx_ring USING (poly_id) WHERE area > 1e-6")
 def scan_bdforet(spark, d):
-    """Of several candidate layers, the first with a polygon, clipped to the area."""
-    p = fixture(spark, d, "fx_poly")
-    layers = [p.where("poly_id < 0"), p.where("poly_id % 7 = 3"), p]
-    chosen = next(x for x in layers if not x.isEmpty())
-    return V.clip_boxes(chosen, (10.0, 10.0, 60.0, 60.0)).select("poly_id", "tfv")
+    """Of several candidate layers the first with a shape near the area, asked tile by tile (so shapes come more than once), clipped to the area, its codes read."""
+    shapes, area = fixture(spark, d, "fx_ring"), (10.0, 10.0, 160.0, 110.0)
+    layers = [shapes.where("tfv = 'no such code'"), shapes, shapes.where("poly_id < 10")]
+    found = storage.written(V.first_layer(layers, G.degree_tiles(spark, area, 50.0), ["poly_id"], 8.0), "shapes")
+    pieces = V.clip(found, area_of_interest(spark, _TILES), ["poly_id", "tfv"], 8.0, cut=64.0)
+    whole = pieces.groupBy("poly_id", "tfv").agg(F.sum("area").alias("area")).where("area > 1e-6")
+    return whole.select("poly_id", C.forest_type_class("tfv").alias("code"), F.round(F.col("area") + 3e-8, 6).alias("area"))
 
 
 def _items(spark, d):
@@ -170,24 +199,30 @@ def scan_s1_orbit(spark, d):
     return fixture(spark, d, "fx_px").select("patch_id", "r", "c", F.round(B.decibels("v"), 6).alias("vv"))
 
 
-_BEST = "own AS (SELECT * FROM fx_scene WHERE {0}), near AS (SELECT * FROM own WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-09'), pick AS (SELECT * FROM near UNION ALL SELECT * FROM own WHERE tile_id NOT IN (SELECT tile_id FROM near)) SELECT tile_id, scene_id FROM pick QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY cloud, scene_id) = 1"
+_ASKED = "asked AS (SELECT DISTINCT tile_id, CASE WHEN tile_id % 10 <> 0 THEN DATE '2023-01-15' + ((tile_id * 53) % 700)::INTEGER END AS day FROM fx_catalog)"
+_CHAIN = """known AS (SELECT *, ts::DATE AS d, year(ts) AS y FROM fx_catalog WHERE {known}),
+dated AS (SELECT *, coalesce(year(day), (SELECT max(y) FROM known)) AS y0 FROM asked),
+met AS (SELECT tile_id, day, scene_id, d, {order}, CASE WHEN abs(date_diff('day', day, d)) <= 30 AND {strict} THEN 1 WHEN y = y0 AND {strict} AND month(d) BETWEEN 6 AND 9 THEN 2 WHEN y = y0 THEN 3 END AS step FROM known JOIN dated USING (tile_id))
+SELECT tile_id, day, scene_id, step::INTEGER AS step FROM met WHERE step IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tile_id, day ORDER BY step, o, scene_id) = 1"""
 
 
-def _scene_near(scenes):
-    """The best scene of each tile in a window around a date; where it has none, of all."""
-    near = scenes.where(F.to_date("ts").between("2024-01-05", "2024-01-09"))
-    rest = scenes.join(near.select("tile_id").distinct(), "tile_id", "left_anti")
-    return T.best_scenes(near.unionByName(rest), ["tile_id"]).select("tile_id", "scene_id")
+def _asked(spark, d):
+    """A day for each tile of the catalogue, and for some tiles none."""
+    tiles = fixture(spark, d, "fx_catalog").select("tile_id").distinct()
+    return tiles.select("tile_id", F.expr("CASE WHEN tile_id % 10 <> 0 THEN date_add(DATE'2023-01-15', CAST((tile_id * 53) % 700 AS INT)) END").alias("day"))
 
 
-@query(_S.rstrip() + ", " + _BEST.format("cloud <= 20"))
+@query(with_fixtures("fx_catalog", also=_ASKED + ", " + _CHAIN.format(known="cloud <= 30", strict="cloud <= 20", order="cloud AS o")).rstrip())
 def scan_s2(spark, d):
-    return _scene_near(T.filter_cloud(fixture(spark, d, "fx_scene"), 20))
+    """The clearest scene near each tile's day; where it has none, of the summer; else of the year, with more clouds."""
+    return T.nearest_scenes(fixture(spark, d, "fx_catalog"), _asked(spark, d)).select("tile_id", "day", "scene_id", "step")
 
 
-@query(_S.rstrip() + ", " + _BEST.format("orbit = 'ascending'"))
+@query(with_fixtures("fx_catalog", also=_ASKED + ", " + _CHAIN.format(known="orbit = 'ascending'", strict="true", order="d AS o")).rstrip())
 def scan_s1(spark, d):
-    return _scene_near(T.filter_orbit(fixture(spark, d, "fx_scene"), "ascending"))
+    """As for optical scenes, of one orbit and without clouds: the earliest scene of a step."""
+    radar = T.filter_orbit(fixture(spark, d, "fx_catalog"), "ascending").withColumn("cloud", F.lit(0))
+    return T.nearest_scenes(radar, _asked(spark, d), order=["ts", "scene_id"]).select("tile_id", "day", "scene_id", "step")
 
 
 @query(with_fixtures("fx_domain", also=f"s AS ({dim_sql('dim_modality_suffix')})") + "SELECT modality, count(*) AS n FROM fx_domain JOIN s ON contains(path, suffix) GROUP BY modality")
@@ -267,11 +302,36 @@ def sink_index(spark, d):
     return storage.merge_by_key(old, stats.where("modality = 'en'").withColumn("origin", F.lit("new")), "modality")
 
 
-@query("SELECT 'best' AS name, 0.75::DOUBLE AS val_acc, 12 AS epoch")
-def sink_report(spark, d):
-    """A run's report as JSON, written and read again."""
-    path = storage.scratch(spark, "report")
-    spark.createDataFrame([("best", 0.75, 12)], "name string, val_acc double, epoch int").select(F.to_json(F.struct("name", "val_acc", "epoch")).alias("value")).write.text(path)
-    return spark.read.text(path).select(F.from_json("value", "name STRING, val_acc DOUBLE, epoch INT").alias("x")).select("x.*")
+_EPOCHS = """daily AS (SELECT tile_id % 4 AS run, day(ts)::INTEGER AS epoch, round(avg(CASE WHEN cloud < 50 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS val_acc, count(*) AS n FROM fx_scene GROUP BY ALL),
+best AS (SELECT * FROM daily QUALIFY row_number() OVER (PARTITION BY run ORDER BY val_acc DESC, epoch) = 1)"""
+
 
+def _best_epochs(spark, d):
+    """The best epoch of each run, a day of events being an epoch."""
+    share = F.round(F.avg(F.when(F.col("cloud") < 50, 1.0).otherwise(0.0)), 6)
+    daily = fixture(spark, d, "fx_scene").groupBy((F.col("tile_id") % 4).alias("run"), F.dayofmonth("ts").alias("epoch")).agg(share.alias("val_acc"), F.count(F.lit(1)).alias("n"))
+    best = F.max_by(F.struct("epoch", "val_acc", "n"), F.struct("val_acc", -F.col("epoch")))
+    return daily, daily.groupBy("run").agg(best.alias("b")).select("run", "b.*")
 
+
+@query(with_fixtures("fx_scene", also=_EPOCHS) + "SELECT run, epoch, val_acc, n FROM best")
+def sink_report(spark, d):
+    """A report of runs as JSON lines, written and read again."""
+    path = storage.scratch(spark, "report")
+    _best_epochs(spark, d)[1].select(F.to_json(F.struct("run", "epoch", "val_acc", "n")).alias("value")).write.text(path)
+    return spark.read.text(path).select(F.from_json("value", "run BIGINT, epoch INT, val_acc DOUBLE, n BIGINT").alias("x")).select("x.*")
+
+
+@query(with_fixtures("fx_scene", also=_EPOCHS) + "SELECT 2 AS version, val_acc, epoch, run, (SELECT count(*) FROM daily) AS n_states FROM best QUALIFY row_number() OVER (ORDER BY val_acc DESC, run) = 1")
+def sink_checkpoint(spark, d):
+    """Two versions of a state and a torn third: readers get the second, with what is said about it."""
+    root = storage.scratch(spark, "checkpoint")
+    daily, best = _best_epochs(spark, d)
+    top = best.orderBy(F.desc("val_acc"), "run").first()
+    about = {"epoch": top["epoch"], "run": top["run"], "val_acc": top["val_acc"], "classes": [x[1] for x in DIMS["dim_essences"][1]], "modalites": ["aerial", "dem"]}
+    storage.save_checkpoint(daily.where("epoch = 1"), root, about | {"epoch": 1})
+    storage.save_checkpoint(daily, root, about)
+    daily.where("epoch = 2").write.parquet(f"{root}/version-00000003-torn/payload")
+    payload, told = storage.load_checkpoint(spark, root)
+    told = told.select(F.from_json("value", "version INT, val_acc DOUBLE, epoch INT, run BIGINT").alias("x")).select("x.*")
+    return told.crossJoin(payload.agg(F.count(F.lit(1)).alias("n_states")))

@@ -62,14 +62,18 @@ def parse_years(spark, d):
     return specs.select("spec", F.explode(T.parse_years(F.col("spec"))).alias("annee"))
 
 
-@query(_S + "SELECT tile_id, count(*) AS n, round(sum(value), 4) AS v_sum, round(sum(value*value), 4) AS v_sumsq FROM fx_scene GROUP BY tile_id")
+@query(_S + "SELECT tile_id, count(value) AS n, round(avg(value) + 3e-8, 6) AS v_mean, round(stddev_pop(value) + 3e-8, 6) AS v_std FROM fx_scene GROUP BY tile_id")
 def running_stats(spark, d):
-    """Count, sum and sum of squares: the state that can be merged as scenes arrive."""
-    return fixture(spark, d, "fx_scene").groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("v_sum"), F.round(F.sum(F.col("value") * F.col("value")), 4).alias("v_sumsq"))
+    """Statistics of a tile from those of its days and weeks: a state that is merged as scenes arrive."""
+    scenes = fixture(spark, d, "fx_scene").withColumns({"day": F.to_date("ts"), "week": F.weekofyear("ts")})
+    days = T.moments(scenes, ["tile_id", "week", "day"], "value")
+    whole = T.merge_moments(T.merge_moments(days, ["tile_id", "week"]), ["tile_id"])
+    return whole.select("tile_id", "n", F.round(F.col("mean") + 3e-8, 6).alias("v_mean"), F.round(F.sqrt(F.col("m2") / F.col("n")) + 3e-8, 6).alias("v_std"))
 
 
-@query(_S + "SELECT tile_id, date_trunc('month', ts) AS month, count(*) AS n, round(avg(value), 6) AS value FROM fx_scene GROUP BY ALL")
+@query(_S + "SELECT tile_id, date_trunc('month', ts) AS month, count(value) AS n, round(avg(value) + 3e-8, 6) AS value FROM fx_scene GROUP BY ALL HAVING count(value) > 0")
 def stream_monthly_composite(spark, d):
     from ..streaming import arrivals
 
-    return arrivals.monthly(spark, f"{d}/events.parquet")
+    found = arrivals.monthly(spark, f"{d}/events.parquet")
+    return found.select("tile_id", "month", "n", F.round(F.col("mean") + 3e-8, 6).alias("value"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import sqlite3
 import struct
@@ -30,6 +31,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read from there: what is read more than once is made once, and outlives executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_raster(df: DataFrame, path: str, row: str = "r", col: str = "c", tile: int = 256) -> None:
     """Cells in Parquet, in folders by tile row, sorted in files, so that a window reads few row groups."""
     tiled = df.withColumn("trow", F.expr(f"CAST({row} DIV {tile} AS INT)"))
@@ -91,6 +99,59 @@ def merge_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
 
 
+COMPLETE = "_COMPLETE"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _put(spark: SparkSession, path: str, content: bytes) -> None:
+    fs, place = _hadoop(spark, path)
+    out = fs.create(place, False)
+    out.write(bytearray(content))
+    out.close()
+
+
+def _versions(spark: SparkSession, root: str) -> list[tuple[int, str, bool]]:
+    """(number, path, complete) of the versions below a folder, oldest first."""
+    fs, place = _hadoop(spark, root)
+    if not fs.exists(place):
+        return []
+    found = []
+    for status in fs.listStatus(place):
+        name = status.getPath().getName()
+        if re.fullmatch(r"version-\d{8}-\w+", name):
+            path = f"{root.rstrip('/')}/{name}"
+            found.append((int(name.split("-")[1]), path, fs.exists(_hadoop(spark, f"{path}/{COMPLETE}")[1])))
+    return sorted(found)
+
+
+def save_checkpoint(payload: DataFrame, root: str, about: dict) -> int:
+    """A new version of a model's state: the table ``payload``, then ``about`` (figures, classes, modalities) as JSON, then a marker.
+
+    Nothing is overwritten, so readers of older versions go on; a writer that dies before the marker leaves a torn version, which
+    no reader takes. Two writers at once make two versions of one number, the later name of which counts. Gives the number.
+    """
+    spark = payload.sparkSession
+    number = max((n for n, _, _ in _versions(spark, root)), default=0) + 1
+    path = f"{root.rstrip('/')}/version-{number:08d}-{uuid.uuid4().hex}"
+    payload.write.parquet(f"{path}/payload")
+    _put(spark, f"{path}/about.json", json.dumps({**about, "version": number}, sort_keys=True).encode())
+    _put(spark, f"{path}/{COMPLETE}", b"")
+    return number
+
+
+def load_checkpoint(spark: SparkSession, root: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Payload and about (one row, one string of JSON) of the newest complete version, or of the one asked for; without one it is an error."""
+    whole = [(n, path) for n, path, complete in _versions(spark, root) if complete and version in (None, n)]
+    if not whole:
+        raise FileNotFoundError(f"no complete version in {root}")
+    path = whole[-1][1]
+    return spark.read.parquet(f"{path}/payload"), spark.read.text(f"{path}/about.json", wholetext=True)
+
+
 def first_covered(candidates: list[DataFrame], value: str, least_pct: float = 5.0) -> DataFrame:
     """The first candidate with enough cells that are known and positive, from one row each; else the last."""
     for df in candidates[:-1]:
@@ -133,9 +194,53 @@ def _parts(blob: bytes) -> list[list[list[tuple[float, float]]]]:
     return out
 
 
+def _blob(srs: int, rings: list) -> bytes:
+    """A polygon as a GeoPackage geometry: header, box, well-known binary; rings are closed."""
+    xs, ys = [p["x"] for r in rings for p in r], [p["y"] for r in rings for p in r]
+    head = b"GP\x00\x03" + struct.pack("<i4d", srs, min(xs), max(xs), min(ys), max(ys))
+    body = [struct.pack("<BII", 1, 3, len(rings))]
+    for ring in rings:
+        closed = [*ring, ring[0]]
+        body.append(struct.pack("<I", len(closed)) + b"".join(struct.pack("<2d", p["x"], p["y"]) for p in closed))
+    return head + b"".join(body)
+
+
+def geopackages(df: DataFrame, fid: str, layer: str, srs: int, features: int = 10_000) -> DataFrame:
+    """name, content: shapes (``fid``, ring, perhaps holes) as GeoPackage files of about so many features, dealt by a hash of the id.
+
+    The files are rows of a table (tasks of a cluster have no common folder to write files in); ``features_of`` reads
+    them, and so does any GeoPackage reader once the content is saved. Shapes without corners are left out.
+    """
+    n = max(1, -(-df.count() // features))
+    rows = df.where(F.size("ring") > 0).select(F.col(fid).cast("long").alias("fid"), "ring", (F.col("holes") if "holes" in df.columns else F.filter(F.array("ring"), lambda _: F.lit(False))).alias("holes"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        db = sqlite3.connect(":memory:")
+        db.execute("PRAGMA application_id = 0x47504B47")
+        db.execute("CREATE TABLE gpkg_spatial_ref_sys (srs_name TEXT NOT NULL, srs_id INTEGER PRIMARY KEY, organization TEXT NOT NULL, organization_coordsys_id INTEGER NOT NULL, definition TEXT NOT NULL)")
+        db.execute("INSERT INTO gpkg_spatial_ref_sys VALUES (?, ?, 'EPSG', ?, 'undefined')", (f"EPSG:{srs}", srs, srs))
+        db.execute("CREATE TABLE gpkg_contents (table_name TEXT PRIMARY KEY, data_type TEXT NOT NULL, identifier TEXT, srs_id INTEGER)")
+        db.execute("INSERT INTO gpkg_contents VALUES (?, 'features', ?, ?)", (layer, layer, srs))
+        db.execute("CREATE TABLE gpkg_geometry_columns (table_name TEXT, column_name TEXT, geometry_type_name TEXT, srs_id INTEGER, z TINYINT, m TINYINT)")
+        db.execute("INSERT INTO gpkg_geometry_columns VALUES (?, 'geom', 'POLYGON', ?, 0, 0)", (layer, srs))
+        name = '"' + layer.replace('"', '""') + '"'
+        db.execute(f"CREATE TABLE {name} (fid INTEGER PRIMARY KEY, geom BLOB)")
+        told = ((int(i), _blob(srs, [r, *h])) for i, r, h in sorted(zip(pdf["fid"], pdf["ring"], pdf["holes"]), key=lambda x: x[0]))
+        db.executemany(f"INSERT OR IGNORE INTO {name} VALUES (?, ?)", told)
+        db.commit()
+        return pd.DataFrame({"name": [f"{layer}-{key[0]:06d}.gpkg"], "content": [bytes(db.serialize())]})
+
+    return rows.groupBy(F.pmod(F.xxhash64("fid"), F.lit(n)).cast("int").alias("file")).applyInPandas(run, "name string, content binary")
+
+
 def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
+    """The polygons of the GeoPackage files of a path; see ``features_of``."""
+    return features_of(spark.read.format("binaryFile").load(path).select("content"), layer)
+
+
+def features_of(files: DataFrame, layer: str | None = None) -> DataFrame:
     """layer, fid, srs_id, part (from 0), ring, holes (array of rings) of every polygon of a GeoPackage's layer (the first if
-    none is named); a multipolygon has one row for each part."""
+    none is named); a multipolygon has one row for each part. ``files`` has the content of a file in each row."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -151,5 +256,4 @@ def read_geopackage(spark: SparkSession, path: str, layer: str | None = None) ->
                 parts = [(fid, k, points(rings[0]), [points(x) for x in rings[1:]]) for fid, blob in rows for k, rings in enumerate(_parts(blob))]
                 yield pd.DataFrame({"layer": name, "fid": [x[0] for x in parts], "srs_id": srs, "part": [x[1] for x in parts], "ring": [x[2] for x in parts], "holes": [x[3] for x in parts]})
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInPandas(run, "layer string, fid long, srs_id int, part int, ring array<struct<x: double, y: double>>, holes array<array<struct<x: double, y: double>>>")
+    return files.select("content").mapInPandas(run, "layer string, fid long, srs_id int, part int, ring array<struct<x: double, y: double>>, holes array<array<struct<x: double, y: double>>>")
