@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import blocks
+
 
 def focal_3x3(df: DataFrame, row: str, col: str, value: str, keys: list[str] | None = None) -> DataFrame:
     """Adds a..i, the 3 x 3 neighbourhood read along rows (e is the cell); null where a neighbour is missing."""
@@ -108,15 +110,11 @@ def merge_tiles(df: DataFrame, cell: list[str], order: str, value: str) -> DataF
 
 
 def crop_or_pad(df: DataFrame, keys: list[str], row: str, col: str, value: str, size: tuple[int, int], target: int) -> DataFrame:
-    """The middle of a raster, with zeros around it where it is smaller than the target."""
-    spark = df.sparkSession
-    dr, dc = math.floor((size[0] - target) / 2), math.floor((size[1] - target) / 2)
-    moved = df.select(*keys, (F.col(row) - dr).alias(row), (F.col(col) - dc).alias(col), value).where(F.col(row).between(0, target - 1) & F.col(col).between(0, target - 1))
-    if dr >= 0 and dc >= 0:
-        return moved
-    frame = spark.range(target * target).select(F.expr(f"CAST(id DIV {target} AS INT)").alias(row), (F.col("id") % target).cast("int").alias(col))
-    full = df.select(*keys).distinct().join(F.broadcast(frame), F.lit(True))
-    return full.join(moved, [*keys, row, col], "left").na.fill({value: 0.0})
+    """The middle of each raster of ``size`` cells as keys, row, col, value, with zeros around it where it is smaller than the target, and where a cell is missing."""
+    side = max(size)
+    whole = blocks.to_blocks(df.where(F.col(row).between(0, size[0] - 1) & F.col(col).between(0, size[1] - 1)), row, col, value, side, keys)
+    made = whole.select(*keys, F.posexplode(blocks.crop_or_pad("data", *size, target, side)).alias("_at", value))
+    return made.select(*keys, F.expr(f"CAST(_at DIV {target} AS INT)").alias(row), (F.col("_at") % target).alias(col), value)
 
 
 def flip(df: DataFrame, row: str, col: str, height: int, width: int, down: Column, across: Column) -> DataFrame:
@@ -136,23 +134,18 @@ def same_grid(a: dict, b: dict, tolerance: float = 1e-9) -> bool:
     return all(abs(a[k] - b[k]) <= tolerance for k in ("epsg", "xmin", "ymax", "res", "nrow", "ncol"))
 
 
-def extract_windows(df: DataFrame, row: str, col: str, value: str, patches: DataFrame, step: int, window: int, size: int) -> DataFrame:
+def extract_windows(df: DataFrame, row: str, col: str, value: str, patches: DataFrame, step: int, window: int, size: int, block: int = blocks.BLOCK) -> DataFrame:
     """patch_id, i, j, value: square windows of ``window`` cells around the patches' middles, resampled to ``size``.
 
-    ``patches`` has patch_id, py, px: the patch's row and column in a grid of ``step`` cells (small beside the raster's
-    cells). A cell goes to the patches whose windows hold it by arithmetic and an equi-join; what lies outside of the
-    raster is null.
+    ``patches`` has patch_id, py, px: the patch's row and column in a grid of ``step`` cells. The raster becomes blocks, of which
+    the windows are sliced; what lies outside of the raster is null.
     """
-    spark = df.sparkSession
     margin = (window - step) // 2  # how far a window reaches beyond its patch
-    reach = math.ceil(max(margin, 0) / step)
-    near = lambda c: F.explode(F.sequence(F.floor(F.col(c) / step).cast("int") - reach, F.floor(F.col(c) / step).cast("int") + reach))
-    cells = df.select(row, col, value, near(row).alias("py")).select("*", near(col).alias("px"))
-    cells = cells.select("py", "px", (F.col(row) - F.col("py") * step + margin).cast("int").alias("i"), (F.col(col) - F.col("px") * step + margin).cast("int").alias("j"), value).where(F.col("i").between(0, window - 1) & F.col("j").between(0, window - 1))
-    inside = cells.join(patches.select("patch_id", "py", "px"), ["py", "px"]).select("patch_id", "i", "j", value)
-    made = resample(inside, ["patch_id"], "i", "j", value, (window, window), (size, size)) if window != size else inside
-    frame = spark.range(size * size).select(F.expr(f"CAST(id DIV {size} AS INT)").alias("i"), (F.col("id") % size).cast("int").alias("j"))
-    return patches.select("patch_id").join(F.broadcast(frame), F.lit(True)).join(made, ["patch_id", "i", "j"], "left")
+    places = patches.select("patch_id", (F.col("py") * step - margin).alias("r0"), (F.col("px") * step - margin).alias("c0"), F.lit(window).alias("height"), F.lit(window).alias("width"))
+    cut = blocks.cut(blocks.to_blocks(df, row, col, value, block), places, block)
+    data = blocks.resampled("data", window, size) if window != size else F.col("data")
+    told = cut.select("patch_id", F.posexplode(data).alias("_at", value))
+    return told.select("patch_id", F.expr(f"CAST(_at DIV {size} AS INT)").alias("i"), (F.col("_at") % size).alias("j"), value)
 
 
 def as_patches(df: DataFrame, keys: list[str], row: str, col: str, value: str) -> DataFrame:

@@ -74,18 +74,20 @@ def predict_multimodal(patches: DataFrame, make: Callable[[], Scorer], batch: in
     return predict_patches(rows.select("patch_id", F.flatten(F.transform("m", lambda x: x["data"])).alias("data")), make, batch)
 
 
-def predict_cells(patches: DataFrame, make: Callable[[], Scorer], width: int) -> DataFrame:
-    """patch_id, r, c, code, p: the class map of every patch and the largest softmax of each cell."""
+def predict_cells(patches: DataFrame, make: Callable[[], Scorer], width: int, batch: int = 256) -> DataFrame:
+    """patch_id, r, c, code, p: the class map of every patch and the largest softmax of each cell; the model is asked once for ``batch`` patches."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for pdf in frames:
-            for i, data in zip(pdf["patch_id"], pdf["data"]):
-                scores = model.predict(np.asarray(data)[:, None])  # each cell is a sample of its own
+            for start in range(0, len(pdf), batch):
+                part = pdf.iloc[start : start + batch]
+                sizes = part["data"].map(len).to_numpy()
+                scores = model.predict(np.concatenate(part["data"].to_numpy())[:, None])  # each cell is a sample of its own
                 p = np.exp(scores - scores.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
-                at = np.arange(len(p))
-                yield pd.DataFrame({"patch_id": i, "r": (at // width).astype(np.int32), "c": (at % width).astype(np.int32), "code": p.argmax(1).astype(np.int32), "p": p.max(1)})
+                at = np.arange(len(p)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                yield pd.DataFrame({"patch_id": np.repeat(part["patch_id"].to_numpy(), sizes), "r": (at // width).astype(np.int32), "c": (at % width).astype(np.int32), "code": p.argmax(1).astype(np.int32), "p": p.max(1)})
 
     return patches.select("patch_id", "data").mapInPandas(run, "patch_id long, r int, c int, code int, p double")
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import blocks as K
 from ..operators import raster as R
+from ..sources import storage
 from .catalog import query
 from .fixtures import fixture, with_fixtures
 
@@ -112,7 +114,10 @@ def mosaic_merge(spark, d):
 
 @query(_PX + "SELECT patch_id, i::INTEGER AS r, j::INTEGER AS c, coalesce(v, 0) AS v FROM (SELECT DISTINCT patch_id FROM fx_px) p, range(11) a(i), range(11) b(j) LEFT JOIN fx_px x ON x.patch_id = p.patch_id AND x.r = i - 2 AND x.c = j - 2".replace("SELECT patch_id, i", "SELECT p.patch_id, i"))
 def center_crop_pad(spark, d):
-    return R.crop_or_pad(fixture(spark, d, "fx_px").select("patch_id", "r", "c", "v"), ["patch_id"], "r", "c", "v", (8, 8), 11)
+    """Small patches in the middle of larger ones, as arrays."""
+    patches = K.to_blocks(fixture(spark, d, "fx_px"), "r", "c", "v", 8, ["patch_id"])
+    made = patches.select("patch_id", F.posexplode(K.crop_or_pad("data", 8, 8, 11)).alias("at", "v"))
+    return made.select("patch_id", F.expr("CAST(at DIV 11 AS INT)").alias("r"), (F.col("at") % 11).alias("c"), "v")
 
 
 @query(_PX + "SELECT patch_id, CASE WHEN patch_id % 2 = 0 THEN 7-r ELSE r END AS r, CASE WHEN patch_id % 3 = 0 THEN 7-c ELSE c END AS c, v FROM fx_px")
@@ -132,33 +137,45 @@ def join_crop_extent(spark, d):
     return R.crop_extent(_mosaic(spark, d), "gr", "gc", (3.0, 150.0, 13.0, 156.2), (0.0, 160.0), 1.0)
 
 
-_P = "p AS (SELECT (iy*5+ix)::INTEGER AS patch_id, iy, ix FROM range(5) a(iy), range(5) b(ix))"
+#: A patch for every 16 x 16 cells of the mosaic, 13 a row; those at its sides lie partly beyond it.
+_P = "p AS (SELECT DISTINCT (gr // 16 * 13 + gc // 16)::INTEGER AS patch_id, (gr // 16)::INTEGER AS iy, (gc // 16)::INTEGER AS ix FROM m)"
+BLOCK = 64
 
 
-def _patches(spark):
-    return spark.range(25).select(F.col("id").cast("int").alias("patch_id"), F.expr("CAST(id DIV 5 AS INT)").alias("py"), (F.col("id") % 5).cast("int").alias("px"))
+def _patches(blocks, margin, window):
+    """Windows around the patches of a raster's blocks."""
+    at = lambda b: F.explode(F.sequence(F.col(b) * (BLOCK // 16), F.col(b) * (BLOCK // 16) + BLOCK // 16 - 1))
+    inside = lambda y, x: F.exists(F.sequence(F.lit(0), F.lit(255)), lambda k: F.get("data", (F.floor(k / 16).cast("int") + y * 16) * BLOCK + k % 16 + x * 16).isNotNull())
+    grid = blocks.select("data", "br", "bc", at("br").alias("iy")).select("data", "br", "bc", "iy", at("bc").alias("ix"))
+    full = grid.where(inside(F.col("iy") - F.col("br") * (BLOCK // 16), F.col("ix") - F.col("bc") * (BLOCK // 16)))
+    return full.select((F.col("iy") * 13 + F.col("ix")).alias("patch_id"), (F.col("iy") * 16 - margin).alias("r0"), (F.col("ix") * 16 - margin).alias("c0"), F.lit(window).alias("height"), F.lit(window).alias("width"))
+
+
+def _long(df, size):
+    return df.select(*[c for c in df.columns if c != "data"], F.posexplode("data").alias("at", "v")).withColumns({"i": F.expr(f"CAST(at DIV {size} AS INT)"), "j": F.col("at") % size}).drop("at")
 
 
 def _window_sql(step, window, size, name):
     margin = (window - step) // 2
-    return f"SELECT p.patch_id, '{name}' AS modality, y.t AS i, x.t AS j, round(sum(v*x.w*y.w)/sum(x.w*y.w), 6) AS v FROM p JOIN ax{size} y ON true JOIN ax{size} x ON true LEFT JOIN m ON gr = iy*{step}-{margin}+y.i AND gc = ix*{step}-{margin}+x.i GROUP BY ALL"
+    return f"SELECT p.patch_id, '{name}' AS modality, y.t AS i, x.t AS j, round(sum(v*x.w*y.w)/sum(CASE WHEN v IS NOT NULL THEN x.w*y.w END), 6) AS v FROM p JOIN ax{size} y ON true JOIN ax{size} x ON true LEFT JOIN m ON gr = iy*{step}-{margin}+y.i AND gc = ix*{step}-{margin}+x.i GROUP BY ALL"
 
 
 _AX8, _AX6 = _bilinear(16, 8, False).replace("ax AS", "ax8 AS"), _bilinear(24, 6, False).replace("ax AS", "ax6 AS")
 
 
-@query(with_fixtures("fx_px", also=f"{_MOSAIC}, {_P}, {_AX8}, {_AX6}") + f"SELECT patch_id, modality, i, j, CASE WHEN v IS NOT NULL THEN v END AS v FROM ({_window_sql(16, 16, 8, 'aerial').replace('sum(v*x.w*y.w)/sum(x.w*y.w)', 'sum(v*x.w*y.w)/sum(CASE WHEN v IS NOT NULL THEN x.w*y.w END)')} UNION ALL {_window_sql(16, 24, 6, 's2').replace('sum(v*x.w*y.w)/sum(x.w*y.w)', 'sum(v*x.w*y.w)/sum(CASE WHEN v IS NOT NULL THEN x.w*y.w END)')})")
+@query(with_fixtures("fx_px", also=f"{_MOSAIC}, {_P}, {_AX8}, {_AX6}") + f"SELECT * FROM ({_window_sql(16, 16, 8, 'aerial')} UNION ALL {_window_sql(16, 24, 6, 's2')})")
 def extract_patches(spark, d):
-    """Two modalities with windows of their own around the same patches, one wider than the patch."""
+    """Two modalities with windows of their own around all patches of a raster, one wider than the patch."""
+    blocks = storage.written(K.to_blocks(_mosaic(spark, d), "gr", "gc", "v", BLOCK), "blocks")
     out = []
     for name, window, size in (("aerial", 16, 8), ("s2", 24, 6)):
-        w = R.extract_windows(_mosaic(spark, d), "gr", "gc", "v", _patches(spark), 16, window, size)
-        out.append(w.select("patch_id", F.lit(name).alias("modality"), "i", "j", F.round("v", 6).alias("v")))
-    return out[0].unionByName(out[1])
+        cut = K.cut(blocks, _patches(blocks, (window - 16) // 2, window), BLOCK)
+        out.append(_long(cut.select("patch_id", F.lit(name).alias("modality"), K.resampled("data", window, size).alias("data")), size).withColumn("v", F.round("v", 6)))
+    return out[0].unionByName(out[1]).select("patch_id", "modality", "i", "j", "v")
 
 
-@query(with_fixtures("fx_px", also=f"{_MOSAIC}, {_P}") + "SELECT p.patch_id, i::INTEGER AS i, j::INTEGER AS j, v FROM p, range(16) a(i), range(16) b(j) LEFT JOIN m ON gr = (iy+8)*16+i AND gc = ix*16+j")
+@query(with_fixtures("fx_px", also=f"{_MOSAIC}, {_P}") + "SELECT p.patch_id, i::INTEGER AS i, j::INTEGER AS j, v FROM p, range(16) a(i), range(16) b(j) LEFT JOIN m ON gr = iy*16+i AND gc = ix*16+j")
 def extract_patches_single(spark, d):
-    """Patches that partly lie beyond the raster: those cells are null."""
-    low = _patches(spark).withColumn("py", F.col("py") + 8)
-    return R.extract_windows(_mosaic(spark, d), "gr", "gc", "v", low, 16, 16, 16)
+    """All patches of a raster; those that partly lie beyond it have nulls there."""
+    blocks = storage.written(K.to_blocks(_mosaic(spark, d), "gr", "gc", "v", BLOCK), "blocks")
+    return _long(K.cut(blocks, _patches(blocks, 0, 16), BLOCK).select("patch_id", "data"), 16).select("patch_id", "i", "j", "v")

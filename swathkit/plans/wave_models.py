@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..operators import blocks as K
 from ..operators import grids as G
 from ..operators import scoring as S
 from .catalog import query
@@ -103,12 +104,35 @@ def blend_hann(spark, d):
     return S.blend(cells, ["r", "gc"], "k", "p", "w").select("r", "gc", "k", F.round("score", 6).alias("score"))
 
 
-@query(with_fixtures("fx_px", also=f"{_CELL_SQL}, {_BLEND}") + "SELECT r, gc, ([1, 5, 4])[k+1]::INTEGER AS code FROM (SELECT *, row_number() OVER (PARTITION BY r, gc ORDER BY score DESC, k) AS n FROM bb) WHERE n = 1")
+class ContrastHead:
+    """Scores of cells from how they differ from their window's mean."""
+
+    def predict(self, patches):
+        apart = patches - patches.mean(1, keepdims=True)
+        return np.stack([apart, -0.5 * apart + 0.02, np.full_like(apart, 0.01)], 1)
+
+
+_FLAIR = """m AS (SELECT ((patch_id // 25)*8 + r)::INTEGER AS r, ((patch_id % 25)*8 + c)::INTEGER AS c, v FROM fx_px), side AS (SELECT max(r) + 1 AS h, max(c) + 1 AS w FROM m),
+win AS (SELECT * FROM (SELECT DISTINCT unnest(list_append(range(0, h - 15, 8), h - 16)) AS y0 FROM side), (SELECT DISTINCT unnest(list_append(range(0, w - 15, 8), w - 16)) AS x0 FROM side)),
+px AS (SELECT r, c, r - y0 AS i, c - x0 AS j, v - avg(v) OVER (PARTITION BY y0, x0) AS v FROM win JOIN m ON r BETWEEN y0 AND y0 + 15 AND c BETWEEN x0 AND x0 + 15),
+s AS (SELECT *, [v, -0.5::DOUBLE * v + 0.02::DOUBLE, 0.01::DOUBLE] AS s, greatest((0.5::DOUBLE-0.5::DOUBLE*cos(2*pi()*i/15))*(0.5::DOUBLE-0.5::DOUBLE*cos(2*pi()*j/15)), 1e-6) AS wt FROM px),
+p AS (SELECT r, c, wt, k::INTEGER AS k, exp(s[k + 1]) / (exp(s[1]) + exp(s[2]) + exp(s[3])) AS p FROM s, range(3) t(k)),
+mean AS (SELECT r, c, k, sum(p * wt) / sum(wt) AS score FROM p GROUP BY ALL)"""
+
+
+@query(with_fixtures("fx_px", also=_FLAIR) + "SELECT r, c, ([1, 5, 4])[k + 1]::INTEGER AS code, round(score, 6) AS score FROM mean QUALIFY row_number() OVER (PARTITION BY r, c ORDER BY score DESC, k) = 1")
 def infer_flair(spark, d):
-    """Windows, scores, blending and land-cover codes in one plan."""
+    """A whole raster in overlapping windows, blended block by block: windows are cut out of blocks, scored in batches, and their codes read."""
     from ..operators.classes import landcover_code
 
-    return blend_hann(spark, d).select("r", "gc", landcover_code("k").alias("code"))
+    cells = fixture(spark, d, "fx_px").select(F.expr("CAST((patch_id DIV 25)*8 + r AS INT)").alias("r"), F.expr("CAST((patch_id % 25)*8 + c AS INT)").alias("c"), "v")
+    height, width = cells.agg(F.max("r") + 1, F.max("c") + 1).first()
+    blocks = K.to_blocks(cells, "r", "c", "v", 64)
+    places = G.window_positions(spark, width, height, 16, 8).select(F.col("y0").alias("r0"), F.col("x0").alias("c0"), F.lit(16).alias("height"), F.lit(16).alias("width"))
+    found = K.blend_windows(K.cut(blocks, places, 64), ContrastHead, 16, 64)
+    told = found.select("br", "bc", F.arrays_zip("code", "score").alias("data"))
+    long = K.to_cells(told, 64, "r", "c", "x").where("x.code >= 0")
+    return long.select("r", "c", landcover_code("x.code").alias("code"), F.round("x.score", 6).alias("score"))
 
 
 _EPOCHS = "e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INTEGER AS epoch, value FROM events), f AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM e), g AS (SELECT *, best IS NULL OR value > best AS improved FROM f), h AS (SELECT *, epoch - max(CASE WHEN improved THEN epoch END) OVER (PARTITION BY user_id ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS waited FROM g)"
