@@ -55,6 +55,52 @@ def degree_tiles(spark: SparkSession, box: tuple[float, float, float, float], st
     return axis(x0, x1, "x").join(F.broadcast(axis(y0, y1, "y")), F.lit(True))
 
 
+def grid_over(areas: DataFrame, step: float, size: float | None = None) -> DataFrame:
+    """``areas`` (with a box xmin, ymin, xmax, ymax) with iy, ix, place and the box x0, y0, x1, y1 of each square cell from the lower left corner.
+
+    A cell that only touches the far side counts. ``place`` numbers an area's cells from 1, x fastest; it comes from iy and ix
+    alone, so nothing is sorted or shuffled. An area with a null side has no cells.
+    """
+    n = lambda low, high: (F.floor((F.col(high) - F.col(low)) / step + 1e-10) + 1).cast("int")
+    sized = areas.where("xmin <= xmax AND ymin <= ymax").withColumns({"_nx": n("xmin", "xmax"), "_ny": n("ymin", "ymax")})
+    cells = sized.withColumn("iy", F.explode(F.sequence(F.lit(0), F.col("_ny") - 1))).withColumn("ix", F.explode(F.sequence(F.lit(0), F.col("_nx") - 1)))
+    x, y, size = F.col("xmin") + F.col("ix") * F.lit(float(step)), F.col("ymin") + F.col("iy") * F.lit(float(step)), size or step
+    return cells.withColumns({"place": F.col("iy") * F.col("_nx") + F.col("ix") + 1, "x0": x, "y0": y, "x1": x + size, "y1": y + size}).drop("_nx", "_ny")
+
+
+def request_tiles_over(areas: DataFrame, res: float, most_px: int = 4096) -> DataFrame:
+    """``areas`` with idx, x0, y0, x1, y1, width, height of tiles of at most so many pixels a side, clipped at the far sides; slivers under
+    two pixels are left out. idx counts an area's tiles from 1, x slowest."""
+    step = most_px * res
+    kept = lambda low, high: F.floor((F.col(high) - F.col(low)) / step + 1e-10) + F.when((F.col(high) - F.col(low)) - F.floor((F.col(high) - F.col(low)) / step + 1e-10) * step >= 2 * res, 1).otherwise(0)
+    tiles = grid_over(areas, step).withColumns({"x1": F.least("x1", "xmax"), "y1": F.least("y1", "ymax")})
+    tiles = tiles.where((F.col("x1") - F.col("x0") >= 2 * res) & (F.col("y1") - F.col("y0") >= 2 * res))
+    px = lambda low, high: F.round((F.col(high) - F.col(low)) / res).cast("int")
+    return tiles.withColumns({"idx": (F.col("ix") * kept("ymin", "ymax") + F.col("iy") + 1).cast("int"), "width": px("x0", "x1"), "height": px("y0", "y1")}).drop("place", "ix", "iy")
+
+
+def degree_tiles_over(areas: DataFrame, step: float = 0.5) -> DataFrame:
+    """``areas`` with x0, y0, x1, y1 of boxes between breaks every ``step`` degrees, the last break being the far side."""
+    tiles = grid_over(areas, step).withColumns({"x1": F.least("x1", "xmax"), "y1": F.least("y1", "ymax")})
+    return tiles.where((F.col("x0") < F.col("xmax")) & (F.col("y0") < F.col("ymax"))).drop("place", "ix", "iy")
+
+
+def window_positions_over(images: DataFrame, patch: int, overlap: int) -> DataFrame:
+    """``images`` (with width and height) with x0, y0 of all windows: every ``patch - overlap`` cells, the last one flush with the side; an
+    image smaller than a window has one, at 0."""
+    last = lambda n: F.greatest(F.col(n) - patch, F.lit(0))
+    starts = lambda n: F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0), last(n), F.lit(patch - overlap)), F.array(last(n)))))
+    return images.withColumn("x0", starts("width")).withColumn("y0", starts("height"))
+
+
+def patch_of_entry(entry: Column, extension: str) -> Column:
+    """The patch an archive's entry is of: its name without a leading split and the extension (a regular expression); null unless it has
+    three parts and that extension."""
+    parts = F.split(entry, "/")
+    name = F.get(parts, F.lit(2))
+    return F.when((F.size(parts) == 3) & name.rlike(rf"\.{extension}$"), F.regexp_replace(F.regexp_replace(name, rf"\.{extension}$", ""), "^(TRAIN|VAL|TEST)-", ""))
+
+
 def window_starts(size: int, patch: int, stride: int) -> list[int]:
     """Starts of windows along an axis, the last one flush with its end; an axis shorter than a window has one, at 0."""
     if size <= patch:

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import blocks
+from . import bands, blocks
 
 
 def focal_3x3(df: DataFrame, row: str, col: str, value: str, keys: list[str] | None = None) -> DataFrame:
@@ -109,6 +109,13 @@ def merge_tiles(df: DataFrame, cell: list[str], order: str, value: str) -> DataF
     return df.where(F.col(value).isNotNull()).groupBy(*cell).agg(F.min_by(value, order).alias(value))
 
 
+def aligned(df: DataFrame, keys: list[str], row: str, col: str, value: str, own: dict, ref: dict) -> DataFrame:
+    """keys, row, col, value of rasters on the grid of a reference of the same extent: as they are if the grids agree, else resampled."""
+    if same_grid(own, ref):
+        return df.select(*keys, row, col, value)
+    return resample(df, keys, row, col, value, (own["nrow"], own["ncol"]), (ref["nrow"], ref["ncol"]))
+
+
 def crop_or_pad(df: DataFrame, keys: list[str], row: str, col: str, value: str, size: tuple[int, int], target: int) -> DataFrame:
     """The middle of each raster of ``size`` cells as keys, row, col, value, with zeros around it where it is smaller than the target, and where a cell is missing."""
     side = max(size)
@@ -129,6 +136,40 @@ def crop_extent(df: DataFrame, row: str, col: str, box: tuple[float, float, floa
     return df.where(F.col(row).between(lo_r, hi_r) & F.col(col).between(lo_c, hi_c))
 
 
+def elevation_pair(terrain: DataFrame, surface: DataFrame | None, cell: list[str], value: str, least_pct: float = 10.0, fallback: bool = True) -> DataFrame:
+    """cell, DSM, DTM, dsm_source: terrain with a surface model of enough coverage, else (``fallback``) with itself, else nothing.
+
+    Coverage is the share of the surface's cells that are finite and not 0; no surface has none. A terrain model without a cell is an
+    error. The decision takes one row to the driver.
+    """
+    if terrain.isEmpty():
+        raise ValueError("no terrain model")
+    dtm = terrain.select(*cell, F.col(value).alias("DTM"))
+    fine = bands.finite(value) & (F.col(value) != 0)
+    n, known = surface.agg(F.count(F.lit(1)), F.count_if(fine)).first() if surface is not None else (0, 0)
+    if n and 100.0 * known / n >= least_pct:
+        return dtm.join(surface.select(*cell, F.col(value).alias("DSM")), cell).select(*cell, "DSM", "DTM", F.lit("surface").alias("dsm_source"))
+    pair = dtm.select(*cell, F.col("DTM").alias("DSM"), "DTM", F.lit("terrain_fallback").alias("dsm_source"))
+    return pair if fallback else pair.limit(0)
+
+
+def stack_bands(long: DataFrame, keys: list[str], row: str, col: str, value: str, band: str, wanted: list[str], sizes: dict[str, int], target: int) -> DataFrame:
+    """keys, row, col and a column for each wanted band that there is: bands of ``sizes`` cells a side on one template of ``target``, bilinear.
+
+    Bands without a row are left out, as are those that aren't wanted; cells that no band covers have no row.
+    """
+    there = [r[band] for r in long.where(F.col(band).isin(wanted)).select(band).distinct().collect()]  # names of bands
+    out = None
+    for name in [b for b in wanted if b in there]:
+        own = long.where(F.col(band) == name).select(*keys, row, col, value)
+        own = own if sizes[name] == target else resample(own, keys, row, col, value, (sizes[name], sizes[name]), (target, target))
+        own = own.withColumn(band, F.lit(name))
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no band")
+    return out.groupBy(*keys, row, col).pivot(band, [b for b in wanted if b in there]).agg(F.first(value))
+
+
 def same_grid(a: dict, b: dict, tolerance: float = 1e-9) -> bool:
     """Whether two rasters' descriptions (epsg, xmin, ymax, res, nrow, ncol) name one grid: then no resampling is needed."""
     return all(abs(a[k] - b[k]) <= tolerance for k in ("epsg", "xmin", "ymax", "res", "nrow", "ncol"))

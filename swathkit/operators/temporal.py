@@ -19,9 +19,13 @@ def filter_orbit(scenes: DataFrame, orbit: str = "both") -> DataFrame:
 
 def date_ranges(spark: SparkSession, years: list[int], season: str | tuple[int, int]) -> DataFrame:
     """annee, start_date, end_date (as text) of a season of each year; the last month counts to its last day."""
+    return season_ranges(spark.createDataFrame([(v,) for v in years], "annee int"), season)
+
+
+def season_ranges(years: DataFrame, season: str | tuple[int, int]) -> DataFrame:
+    """``years`` (with annee) with start_date and end_date (as text) of a season; the last month counts to its last day."""
     first, last = SEASONS[season] if isinstance(season, str) else season
-    y = spark.createDataFrame([(v,) for v in years], "annee int")
-    return y.select("annee", F.make_date("annee", F.lit(first), F.lit(1)).cast("string").alias("start_date"), F.last_day(F.make_date("annee", F.lit(last), F.lit(1))).cast("string").alias("end_date"))
+    return years.withColumns({"start_date": F.make_date("annee", F.lit(first), F.lit(1)).cast("string"), "end_date": F.last_day(F.make_date("annee", F.lit(last), F.lit(1))).cast("string")})
 
 
 def best_scenes(scenes: DataFrame, group: list[str], n: int = 1) -> DataFrame:

@@ -87,12 +87,13 @@ def resample_bilinear_t(spark, d):
     return _rounded(R.resample(fixture(spark, d, "fx_px"), ["patch_id"], "r", "c", "v", (8, 8), (16, 16), "replicate"), "patch_id", "r", "c")
 
 
-@query(_PX + "SELECT patch_id, r, c, v FROM fx_px")
+@query(with_fixtures("fx_px", also=_bilinear(8, 10, False)) + "SELECT 'same' AS grid, patch_id, r, c, round(v, 6) AS v FROM fx_px UNION ALL SELECT 'finer', * FROM (" + _BI + ")")
 def align_grid(spark, d):
-    """Grids that agree are left as they are."""
-    grid = {"epsg": 2154, "xmin": 0.0, "ymax": 8.0, "res": 1.0, "nrow": 8, "ncol": 8}
+    """Rasters on the grid of a reference: one that is on it is left as it is, one that isn't is resampled."""
     px = fixture(spark, d, "fx_px").select("patch_id", "r", "c", "v")
-    return px if R.same_grid(grid, dict(grid)) else R.resample(px, ["patch_id"], "r", "c", "v", (8, 8), (8, 8))
+    own = {"epsg": 2154, "xmin": 0.0, "ymax": 8.0, "res": 1.0, "nrow": 8, "ncol": 8}
+    out = [R.aligned(px, ["patch_id"], "r", "c", "v", own, ref).select(F.lit(k).alias("grid"), "patch_id", "r", "c", F.round("v", 6).alias("v")) for k, ref in (("same", dict(own)), ("finer", own | {"res": 0.8, "nrow": 10, "ncol": 10}))]
+    return out[0].union(out[1])
 
 
 @query(with_fixtures("fx_px", also=_bilinear(8, 20, False)) + _BI)

@@ -13,70 +13,104 @@ _CELLS = with_fixtures("fx_cells")
 _PX = with_fixtures("fx_px")
 _SAMPLE = with_fixtures("fx_sample")
 _DOMAIN = with_fixtures("fx_domain")
-BOX = (652000.0, 6812000.0, 652204.8, 6812200.0)
+_POLY = with_fixtures("fx_poly")
 
 
-def _grid_sql(box, step, size, cut):
-    x0, y0, x1, y1 = box
-    nx, ny = G.axis_steps(x0, x1, step), G.axis_steps(y0, y1, step)
-    cells = f"SELECT iy::INTEGER AS iy, ix::INTEGER AS ix, {x0}::DOUBLE + ix*{step}::DOUBLE AS xmin, {y0}::DOUBLE + iy*{step}::DOUBLE AS ymin, {x0}::DOUBLE + ix*{step}::DOUBLE + {size}::DOUBLE AS xmax, {y0}::DOUBLE + iy*{step}::DOUBLE + {size}::DOUBLE AS ymax FROM range({nx}) a(ix), range({ny}) b(iy)"
-    where = f" WHERE xmin <= {x1}::DOUBLE AND xmax >= {x0}::DOUBLE AND ymin <= {y1}::DOUBLE AND ymax >= {y0}::DOUBLE" if cut else ""
-    return f"SELECT row_number() OVER (ORDER BY iy, ix)::INTEGER AS patch_id, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax FROM ({cells}){where}"
+def _areas(spark, d, scale, x=0.0, y=0.0):
+    """Boxes of areas of interest, in metres or degrees."""
+    sides = [(F.col(c) * scale + shift).alias(c) for c, shift in (("xmin", x), ("ymin", y), ("xmax", x), ("ymax", y))]
+    return fixture(spark, d, "fx_poly").select("poly_id", *sides)
+
+
+def _areas_sql(scale, x=0.0, y=0.0):
+    sides = ", ".join(f"{c} * {scale}::DOUBLE + {shift}::DOUBLE AS {c}" for c, shift in (("xmin", x), ("ymin", y), ("xmax", x), ("ymax", y)))
+    return f"aoi AS (SELECT poly_id, {sides} FROM fx_poly)"
+
+
+def _cells_sql(step, size):
+    n = lambda a, b: f"floor(({b} - {a}) / {step}::DOUBLE + 1e-10)::INTEGER + 1"
+    return f"n AS (SELECT *, {n('xmin', 'xmax')} AS nx, {n('ymin', 'ymax')} AS ny FROM aoi), across AS (SELECT *, unnest(range(nx)) AS ix FROM n), cell AS (SELECT *, unnest(range(ny)) AS iy FROM across), placed AS (SELECT *, xmin + ix * {step}::DOUBLE AS x0, ymin + iy * {step}::DOUBLE AS y0, xmin + ix * {step}::DOUBLE + {size}::DOUBLE AS x1, ymin + iy * {step}::DOUBLE + {size}::DOUBLE AS y1 FROM cell)"
+
+
+_BOXED = ", ".join(f"round({c}, 6) AS {c}" for c in ("x0", "y0", "x1", "y1"))
+_METRES, _FAR = _areas_sql(40.0, 652000.0, 6812000.0), _areas_sql(200.0)
 
 
 def _rounded(df, *names):
-    return df.select("patch_id", *[F.round(n, 6).alias(n) for n in ("xmin", "ymin", "xmax", "ymax")], *names)
+    return df.select("poly_id", *names, *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-@query(_grid_sql(BOX, 51.2, 51.2, True))
+@query(with_fixtures("fx_poly", also=f"{_METRES}, {_cells_sql(51.2, 51.2)}") + f"SELECT poly_id, (iy * nx + ix + 1)::INTEGER AS place, {_BOXED} FROM placed")
 def grid_patches(spark, d):
-    return _rounded(G.renumber(G.touching(G.grid(spark, BOX, 51.2), BOX), ["iy", "ix"]))
+    """Patches over every area."""
+    return _rounded(G.grid_over(_areas(spark, d, 40.0, 652000.0, 6812000.0), 51.2), "place")
 
 
-@query(_grid_sql(BOX, 41.2, 51.2, False))
+@query(with_fixtures("fx_poly", also=f"{_METRES}, {_cells_sql(41.2, 51.2)}") + f"SELECT poly_id, (iy * nx + ix + 1)::INTEGER AS place, {_BOXED} FROM placed")
 def grid_overlap(spark, d):
-    return _rounded(G.renumber(G.grid(spark, BOX, 41.2, 51.2), ["iy", "ix"]))
+    """Patches that overlap by 10 m over every area."""
+    return _rounded(G.grid_over(_areas(spark, d, 40.0, 652000.0, 6812000.0), 41.2, 51.2), "place")
+
+
+_PLAN = f"{_FAR}, {_cells_sql(819.2, 819.2)}, tile AS (SELECT poly_id, ix, iy, x0, y0, least(x1, xmax) AS x1, least(y1, ymax) AS y1 FROM placed), kept AS (SELECT *, row_number() OVER (PARTITION BY poly_id ORDER BY ix, iy)::INTEGER AS idx, round((x1 - x0) / 0.2::DOUBLE)::INTEGER AS width, round((y1 - y0) / 0.2::DOUBLE)::INTEGER AS height FROM tile WHERE x1 - x0 >= 0.4::DOUBLE AND y1 - y0 >= 0.4::DOUBLE)"
 
 
-@query("WITH t AS (SELECT ix, iy, 0 + ix*819.2::DOUBLE AS xmin, 0 + iy*819.2::DOUBLE AS ymin, least(ix*819.2::DOUBLE + 819.2::DOUBLE, 1638.6::DOUBLE) AS xmax, least(iy*819.2::DOUBLE + 819.2::DOUBLE, 1000.0::DOUBLE) AS ymax FROM range(3) a(ix), range(2) b(iy)) SELECT row_number() OVER (ORDER BY ix, iy)::INTEGER AS idx, round(xmin, 6) AS xmin, round(ymin, 6) AS ymin, round(xmax, 6) AS xmax, round(ymax, 6) AS ymax, round((xmax-xmin)/0.2::DOUBLE)::INTEGER AS width, round((ymax-ymin)/0.2::DOUBLE)::INTEGER AS height FROM t WHERE xmax-xmin >= 0.4::DOUBLE AND ymax-ymin >= 0.4::DOUBLE")
+@query(with_fixtures("fx_poly", also=_PLAN) + f"SELECT poly_id, idx, width, height, {_BOXED} FROM kept")
 def tile_plan(spark, d):
-    return G.request_tiles(spark, (0.0, 0.0, 1638.6, 1000.0), 0.2).select("idx", *[F.round(n, 6).alias(n) for n in ("xmin", "ymin", "xmax", "ymax")], "width", "height")
+    """Requests of at most 4,096 pixels a side over every area."""
+    return _rounded(G.request_tiles_over(_areas(spark, d, 200.0), 0.2), "idx", "width", "height")
 
 
-@query("SELECT x/2.0::DOUBLE AS xmin, least(x/2.0::DOUBLE+0.5::DOUBLE, 1.2::DOUBLE) AS xmax, 45+y/2.0::DOUBLE AS ymin, least(45+y/2.0::DOUBLE+0.5::DOUBLE, 46.0::DOUBLE) AS ymax FROM range(3) a(x), range(2) b(y)")
+@query(with_fixtures("fx_poly", also=f"{_areas_sql(0.1, -1.0, 43.0)}, {_cells_sql(0.5, 0.5)}, tile AS (SELECT poly_id, x0, y0, least(x1, xmax) AS x1, least(y1, ymax) AS y1 FROM placed WHERE x0 < xmax AND y0 < ymax)") + f"SELECT poly_id, {_BOXED} FROM tile")
 def tile_degrees(spark, d):
-    return G.degree_tiles(spark, (0.0, 45.0, 1.2, 46.0)).select("xmin", "xmax", "ymin", "ymax")
+    """Tiles of half a degree over every area."""
+    return _rounded(G.degree_tiles_over(_areas(spark, d, 0.1, -1.0, 43.0)))
 
 
-_POS = "SELECT DISTINCT x0::INTEGER AS x0, y0::INTEGER AS y0 FROM (SELECT unnest(range(0, 1500-512+1, 384) || [1500-512]) AS x0) a, (SELECT unnest(CASE WHEN 400 <= 512 THEN [0] END) AS y0) b"
+_IMAGES = "image AS (SELECT poly_id, (300 + (xmax - xmin) * 150)::INTEGER AS width, (300 + (ymax - ymin) * 150)::INTEGER AS height FROM fx_poly)"
+_POS = with_fixtures("fx_poly", also=f"{_IMAGES}, wide AS (SELECT *, unnest(list_distinct(range(0, greatest(width - 512, 0) + 1, 384) || [greatest(width - 512, 0)])) AS x0 FROM image), pos AS (SELECT poly_id, x0::INTEGER AS x0, unnest(list_distinct(range(0, greatest(height - 512, 0) + 1, 384) || [greatest(height - 512, 0)]))::INTEGER AS y0 FROM wide)")
 
 
-@query(_POS)
+def _images(spark, d):
+    """Images of various sizes, some smaller than a window."""
+    side = lambda a, b: (300 + (F.col(b) - F.col(a)) * 150).cast("int")
+    return fixture(spark, d, "fx_poly").select("poly_id", side("xmin", "xmax").alias("width"), side("ymin", "ymax").alias("height"))
+
+
+@query(_POS + "SELECT poly_id, x0, y0 FROM pos")
 def patch_positions(spark, d):
-    return G.window_positions(spark, 1500, 400, 512, 128)
+    return G.window_positions_over(_images(spark, d), 512, 128).select("poly_id", "x0", "y0")
 
 
-@query(_POS)
+@query(_POS + "SELECT poly_id, count(*) AS n, max(x0 + 512)::INTEGER AS reach_x, max(y0 + 512)::INTEGER AS reach_y FROM pos GROUP BY poly_id")
 def patch_positions_py(spark, d):
-    """The windows of the blender: those of the tiler, also for an image smaller than a window."""
-    return G.window_positions(spark, 1500, 400, 512, 128)
+    """How many windows the blender has for each image and how far they reach; an image smaller than a window has one, too."""
+    p = G.window_positions_over(_images(spark, d), 512, 128)
+    return p.groupBy("poly_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("x0") + 512).alias("reach_x"), F.max(F.col("y0") + 512).alias("reach_y"))
 
 
-@query("SELECT x0, count(*) AS n FROM (" + _POS + ") GROUP BY x0")
+@query(_POS + "SELECT x0, y0, count(*) AS n FROM pos GROUP BY ALL")
 def dedup_positions(spark, d):
-    p = G.window_positions(spark, 1500, 400, 512, 128)
-    return p.union(p).distinct().groupBy("x0").agg(F.count(F.lit(1)).alias("n"))
+    """The different window positions of all images, and how many images have each."""
+    p = G.window_positions_over(_images(spark, d), 512, 128).select("poly_id", "x0", "y0")
+    return p.union(p).distinct().groupBy("x0", "y0").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT i::INTEGER AS i, j::INTEGER AS j, round(greatest((0.5::DOUBLE-0.5::DOUBLE*cos(2*pi()*i/15))*(0.5::DOUBLE-0.5::DOUBLE*cos(2*pi()*j/15)), 1e-6), 9) AS weight FROM range(16) a(i), range(16) b(j)")
+@query(with_fixtures("fx_px", also="h AS (SELECT i::INTEGER AS r, j::INTEGER AS c, greatest((0.5::DOUBLE-0.5::DOUBLE*cos(2*pi()*i/7))*(0.5::DOUBLE-0.5::DOUBLE*cos(2*pi()*j/7)), 1e-6) AS w FROM range(8) a(i), range(8) b(j))") + "SELECT patch_id, r, c, round(v * w, 9) AS v FROM fx_px JOIN h USING (r, c)")
 def hann_window(spark, d):
-    return G.hann(spark, 16).select("i", "j", F.round("weight", 9).alias("weight"))
+    """Every patch under a window that falls off to its sides."""
+    w = G.hann(spark, 8).select(F.col("i").alias("r"), F.col("j").alias("c"), "weight")
+    return fixture(spark, d, "fx_px").join(F.broadcast(w), ["r", "c"]).select("patch_id", "r", "c", F.round(F.col("v") * F.col("weight"), 9).alias("v"))
+
+
+_KIND = "CASE WHEN s_suppkey % 3 = 0 THEN 'dem' WHEN s_suppkey % 7 = 0 THEN 'spot' ELSE 'aerial' END"
 
 
-@query(f"WITH s AS ({dim_sql('modality_specs')}) SELECT m AS modality, coalesce(image_size, 256) AS px FROM (VALUES ('aerial'), ('s2'), ('spot')) t(m) LEFT JOIN s ON m = modality")
+@query(with_fixtures("fx_domain", also=f"s AS ({dim_sql('modality_specs')})") + f"SELECT s_suppkey, modality, coalesce(image_size, 256) AS px FROM (SELECT s_suppkey, {_KIND} AS modality FROM fx_domain) LEFT JOIN s USING (modality)")
 def patch_size_of(spark, d):
-    asked = spark.createDataFrame([("aerial",), ("s2",), ("spot",)], "modality string")
-    return asked.join(F.broadcast(dim(spark, "modality_specs")), "modality", "left").select("modality", F.coalesce("image_size", F.lit(256)).alias("px"))
+    """The image size of each archive's modality; 256 for one that isn't known."""
+    asked = fixture(spark, d, "fx_domain").select("s_suppkey", F.expr(_KIND).alias("modality"))
+    return asked.join(F.broadcast(dim(spark, "modality_specs")), "modality", "left").select("s_suppkey", "modality", F.coalesce("image_size", F.lit(256)).alias("px"))
 
 
 @query(_PX + "SELECT patch_id AS old_id, row_number() OVER (ORDER BY patch_id // 25, patch_id % 25)::INTEGER AS patch_id FROM (SELECT DISTINCT patch_id FROM fx_px WHERE v > 0.3::DOUBLE)")
@@ -118,11 +152,13 @@ def flag_forest_patch(spark, d):
     return G.forest_share(fixture(spark, d, "fx_cells"), "l_orderkey", "seg", True).select("l_orderkey", (F.col("share") > 0.05).alias("forest"))
 
 
-@query("SELECT unnest(['dem', 's2']) AS modality, unnest([1, 2])::INTEGER AS place")
+@query("SELECT o_orderkey, m AS modality, place::INTEGER AS place FROM (SELECT o_orderkey, unnest(m) AS m, unnest(range(1, len(m) + 1)) AS place FROM (SELECT o_orderkey, [x FOR x IN CASE o_orderkey % 3 WHEN 0 THEN ['dem', 'lidar', 's2'] WHEN 1 THEN ['aerial', 'dem'] ELSE ['lidar', 's1'] END IF list_contains(['s2', 'aerial', 'dem'], x)] AS m FROM orders))")
 def filter_modality(spark, d):
-    """Modalities asked for that are known, in the order asked for."""
+    """For each run, the modalities asked for that are known, in the order asked for; a run may be left with none."""
     known = F.array(*[F.lit(x) for x in ("s2", "aerial", "dem")])
-    return spark.range(1).select(F.posexplode(F.array_intersect(F.array(F.lit("dem"), F.lit("lidar"), F.lit("s2")), known)).alias("p", "modality")).select("modality", (F.col("p") + 1).alias("place"))
+    asked = F.expr("CASE o_orderkey % 3 WHEN 0 THEN array('dem', 'lidar', 's2') WHEN 1 THEN array('aerial', 'dem') ELSE array('lidar', 's1') END")
+    runs = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.posexplode(F.array_intersect(asked, known)).alias("p", "modality"))
+    return runs.select("o_orderkey", "modality", (F.col("p") + 1).alias("place"))
 
 
 @query(_DOMAIN + "SELECT s_suppkey, regexp_extract(path, '^data/(.+)_AERIAL_RGBI\\.zip$', 1) AS domain FROM fx_domain WHERE regexp_matches(path, '_AERIAL_RGBI\\.zip$')")
@@ -139,20 +175,26 @@ def parse_domain(spark, d):
     return p.join(F.broadcast(spark.createDataFrame(_DEPS, "dep string, departement string")), "dep", "left").na.fill({"departement": "?"})
 
 
-@query("SELECT entry, CASE WHEN len(string_split(entry, '/')) = 3 THEN regexp_replace(regexp_replace(string_split(entry, '/')[3], '^(TRAIN|VAL|TEST)-', ''), '\\.tiff?$', '') END AS patch_id FROM (VALUES ('imagery/train/TRAIN-A_1.tiff'), ('imagery/val/VAL-B.tif'), ('lidar/test/C'), ('imagery/X.tiff')) t(entry)")
+_ENTRY = "CASE p_partkey % 5 WHEN 0 THEN concat('imagery/train/TRAIN-', p_name, '_', p_partkey, '.tiff') WHEN 1 THEN concat('imagery/val/VAL-', p_partkey, '.tif') WHEN 2 THEN concat('lidar/test/', p_partkey, '.laz') WHEN 3 THEN concat('imagery/', p_partkey, '.tiff') ELSE concat('imagery/test/TEST-TRAIN-', p_partkey, '.tiff') END"
+
+
+@query(f"SELECT p_partkey, CASE WHEN len(string_split(entry, '/')) = 3 AND regexp_matches(entry, '\\.tiff?$') THEN regexp_replace(regexp_replace(string_split(entry, '/')[3], '\\.tiff?$', ''), '^(TRAIN|VAL|TEST)-', '') END AS patch_id FROM (SELECT p_partkey, {_ENTRY} AS entry FROM part)")
 def parse_patch_id(spark, d):
-    e = spark.createDataFrame([("imagery/train/TRAIN-A_1.tiff",), ("imagery/val/VAL-B.tif",), ("lidar/test/C",), ("imagery/X.tiff",)], "entry string")
-    parts = F.split("entry", "/")
-    return e.select("entry", F.when(F.size(parts) == 3, F.regexp_replace(F.regexp_replace(F.get(parts, F.lit(2)), "^(TRAIN|VAL|TEST)-", ""), r"\.tiff?$", "")).alias("patch_id"))
+    """The patches of archive entries by name; entries of another depth or kind are of none."""
+    e = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.expr(_ENTRY).alias("entry"))
+    return e.select("p_partkey", G.patch_of_entry(F.col("entry"), "tiff?").alias("patch_id"))
+
+
+_LAYER = "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'ortho' ELSE 'irc' END AS kind, CASE WHEN s_suppkey % 3 <> 0 THEN 2018 + CAST(s_suppkey % 5 AS INT) END AS annee FROM "
 
 
-@query("SELECT kind, annee, CASE WHEN annee IS NULL THEN CASE kind WHEN 'ortho' THEN 'ORTHO.LATEST' ELSE 'IRC.LATEST' END ELSE CASE kind WHEN 'ortho' THEN 'ORTHOIMAGERY.ORTHOPHOTOS' ELSE 'ORTHOIMAGERY.ORTHOPHOTOS.IRC.' END || annee END AS layer FROM (VALUES ('ortho', 2021), ('irc', 2022), ('ortho', NULL), ('irc', NULL)) t(kind, annee)")
+@query(f"SELECT s_suppkey, CASE WHEN annee IS NULL THEN CASE kind WHEN 'ortho' THEN 'ORTHO.LATEST' ELSE 'IRC.LATEST' END ELSE CASE kind WHEN 'ortho' THEN 'ORTHOIMAGERY.ORTHOPHOTOS' ELSE 'ORTHOIMAGERY.ORTHOPHOTOS.IRC.' END || annee END AS layer FROM ({_LAYER} supplier)")
 def layer_name(spark, d):
     """Names of the layers of a vintage; without one, names of the latest layers, which are parameters."""
     from ..sources.services import layer_name as name
 
-    asked = spark.createDataFrame([("ortho", 2021), ("irc", 2022), ("ortho", None), ("irc", None)], "kind string, annee int")
-    return asked.withColumn("layer", name(F.col("kind"), F.col("annee"), "ORTHO.LATEST", "IRC.LATEST"))
+    asked = spark.sql(_LAYER + "{supplier}", supplier=spark.read.parquet(f"{d}/supplier.parquet"))
+    return asked.select("s_suppkey", name(F.col("kind"), F.col("annee"), "ORTHO.LATEST", "IRC.LATEST").alias("layer"))
 
 
 @query(_SAMPLE + "SELECT patch_id, CASE WHEN patch_id % 10 = 0 THEN 'test' WHEN patch_id % 10 = 1 THEN 'validation' ELSE 'train' END AS split FROM fx_sample")

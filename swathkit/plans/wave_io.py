@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import parse_qsl
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.dims import DIMS, dim, dim_sql
@@ -17,6 +20,8 @@ from ..sources import services, storage
 from .catalog import query
 from .fixtures import fixture, with_fixtures
 from .wave_classes import _TFV_SQL
+from .wave_geometry import _bilinear
+from .wave_grids import _PLAN, _areas, _areas_sql
 from .wave_vectors import _EDGE, area_of_interest, clipped_sql
 
 _PX = with_fixtures("fx_px")
@@ -76,29 +81,56 @@ def scan_aoi(spark, d):
     return V.extent_and_area(V.to_working_projection(storage.features_of(files, "aoi"), "srs_id"))
 
 
-@query("SELECT 1::INTEGER AS idx, 'https://maps.example.org/wms?SERVICE=WMS&VERSION=1.3.0&REQUEST=GetMap&LAYERS=ortho&STYLES=&CRS=EPSG%3A2154&FORMAT=image%2Fgeotiff&BBOX=652000.000,6812000.000,652200.000,6812100.000&WIDTH=1000&HEIGHT=500' AS url")
+_REQUESTS = with_fixtures("fx_poly", also=_PLAN)
+
+
+@query(_REQUESTS + "SELECT poly_id, idx, 'https://maps.example.org/wms?SERVICE=WMS&VERSION=1.3.0&REQUEST=GetMap&LAYERS=ortho&STYLES=&CRS=EPSG%3A2154&FORMAT=image%2Fgeotiff&BBOX=' || printf('%.3f,%.3f,%.3f,%.3f', x0, y0, x1, y1) || '&WIDTH=' || width || '&HEIGHT=' || height AS url FROM kept")
 def scan_wms_tile(spark, d):
-    return services.map_requests(G.request_tiles(spark, (652000.0, 6812000.0, 652200.0, 6812100.0), 0.2), ENDPOINT, "ortho").select("idx", "url")
+    """The request of every tile of every area."""
+    tiles = G.request_tiles_over(_areas(spark, d, 200.0), 0.2).select("poly_id", "idx", "width", "height", F.col("x0").alias("xmin"), F.col("y0").alias("ymin"), F.col("x1").alias("xmax"), F.col("y1").alias("ymax"))
+    return services.map_requests(tiles, ENDPOINT, "ortho").select("poly_id", "idx", "url")
 
 
-@query("SELECT i::INTEGER AS idx, 3 AS attempts, true AS fetched FROM range(1, 5) t(i)")
-def scan_wms_tiled(spark, d):
-    """All tiles of an area, each fetched at the third attempt from a service that fails twice."""
-    tiles = services.map_requests(G.request_tiles(spark, (0.0, 0.0, 1600.0, 1000.0), 0.2), ENDPOINT, "ortho")
-    seen: dict[str, int] = {}
+class Ramp:
+    """Stands in for a map service, as there is no network: it fails twice for each request, then answers with x + 1000 y at each pixel's centre."""
+
+    def __init__(self):
+        self.seen: dict[str, int] = {}
+
+    def __call__(self, url: str) -> bytes | None:
+        self.seen[url] = self.seen.get(url, 0) + 1
+        if self.seen[url] < 3:
+            return None
+        asked = dict(parse_qsl(url.partition("?")[2]))
+        x0, y0, x1, y1 = map(float, asked["BBOX"].split(","))
+        width, height = int(asked["WIDTH"]), int(asked["HEIGHT"])
+        x, y = x0 + (np.arange(width) + 0.5) * (x1 - x0) / width, y1 - (np.arange(height) + 0.5) * (y1 - y0) / height
+        return np.array([height, width], np.int32).tobytes() + (x[None, :] + 1000 * y[:, None]).tobytes()
+
+    @staticmethod
+    def decode(content: bytes) -> np.ndarray:
+        return np.frombuffer(content, np.float64, offset=8).reshape(np.frombuffer(content, np.int32, 2))
 
-    def get(url: str) -> bytes | None:
-        seen[url] = seen.get(url, 0) + 1
-        return url.encode() if seen[url] == 3 else None
 
-    return services.fetch(tiles, get, wait=lambda s: None).select("idx", F.col("attempts").cast("int").alias("attempts"), F.col("content").isNotNull().alias("fetched"))
+@query(with_fixtures("fx_poly", also=_areas_sql(200.0)) + "SELECT poly_id, (ceil((xmax - xmin) / 400) * ceil((ymax - ymin) / 400))::BIGINT AS n_tiles, 3 AS attempts, ((xmax - xmin) / 100 * ((ymax - ymin) / 100))::BIGINT AS n_cells, round((xmin + xmax) / 2 + 500 * (ymin + ymax), 3) AS v_mean FROM aoi")
+def scan_wms_tiled(spark, d):
+    """Every area fetched in tiles, each answered at the third attempt, and put together as one raster."""
+    tiles = G.request_tiles_over(_areas(spark, d, 200.0), 100.0, 4)
+    asked = tiles.select("poly_id", "idx", "width", "height", F.col("x0").alias("xmin"), F.col("y0").alias("ymin"), F.col("x1").alias("xmax"), F.col("y1").alias("ymax"))
+    answers = services.fetch(services.map_requests(asked, ENDPOINT, "ortho"), Ramp(), wait=lambda s: None, keep=["poly_id", "idx"])
+    answers = storage.written(answers, "tiles").join(tiles.select("poly_id", "idx", "x0", "y1", "xmin", "ymax"), ["poly_id", "idx"])
+    cells = R.merge_tiles(services.tile_cells(answers, Ramp.decode, ["poly_id"], 100.0), ["poly_id", "r", "c"], "idx", "v")
+    seen = answers.groupBy("poly_id").agg(F.count(F.lit(1)).alias("n_tiles"), F.max("attempts").alias("attempts"))
+    return cells.groupBy("poly_id").agg(F.count(F.lit(1)).alias("n_cells"), F.round(F.avg("v"), 3).alias("v_mean")).join(seen, "poly_id").select("poly_id", "n_tiles", "attempts", "n_cells", "v_mean")
 
 
-@query(_M + "SELECT r, c, v FROM m WHERE r < 8")
+@query(_M + "SELECT 'poor' AS vintage, r, c, v FROM m UNION ALL SELECT 'rich', r, c, v + 1 FROM m")
 def scan_ortho(spark, d):
-    """A vintage without enough coverage gives way to the latest imagery."""
-    m = _mosaic(spark, d).where("r < 8")
-    return storage.first_covered([m.withColumn("v", F.lit(0.0)), m], "v")
+    """A vintage without enough coverage gives way to the latest imagery; one with enough is taken."""
+    m = _mosaic(spark, d)
+    poor = storage.first_covered([m.withColumn("v", F.lit(0.0)), m], "v").withColumn("vintage", F.lit("poor"))
+    rich = storage.first_covered([m.withColumn("v", F.col("v") + 1), m], "v").withColumn("vintage", F.lit("rich"))
+    return poor.unionByName(rich).select("vintage", "r", "c", "v")
 
 
 @query(_M + "SELECT r // 2 AS r, c // 2 AS c, round(avg(v), 6) AS v FROM m GROUP BY ALL")
@@ -117,15 +149,14 @@ def scan_dem(spark, d):
     return B.select_channels(n, ["r", "c"], ["SLOPE", "TWI"])
 
 
-@query(_M + "SELECT r, c, v AS \"DSM\", v AS \"DTM\", 'terrain_fallback' AS dsm_source FROM m")
+@query(_M + "SELECT 'rich' AS kind, r, c, v + 1 AS \"DSM\", v AS \"DTM\", 'surface' AS dsm_source FROM m UNION ALL SELECT k, r, c, v, v, 'terrain_fallback' FROM m, (VALUES ('poor'), ('none')) t(k)")
 def scan_dem2(spark, d):
-    """A surface model with too little coverage gives way to the terrain model, and says so."""
+    """A surface model of enough coverage, one of too little, which gives way to the terrain model, the same where that isn't allowed, and none."""
     dtm = _mosaic(spark, d)
-    dsm = dtm.withColumn("v", F.when(F.col("r") < 4, F.col("v") + 1))
-    n, known = dsm.agg(F.count(F.lit(1)), F.count_if(B.finite("v") & (F.col("v") != 0))).first()
-    low = 100.0 * known / max(1, n) < 10.0
-    both = dtm.select("r", "c", F.col("v").alias("DTM")).join((dtm if low else dsm).select("r", "c", F.col("v").alias("DSM")), ["r", "c"])
-    return both.select("r", "c", "DSM", "DTM", F.lit("terrain_fallback" if low else "surface").alias("dsm_source"))
+    rich, poor = dtm.withColumn("v", F.col("v") + 1), dtm.withColumn("v", F.when(F.col("r") < 4, F.col("v") + 1))
+    cases = {"rich": (rich, True), "poor": (poor, True), "refused": (poor, False), "none": (None, True)}
+    made = [R.elevation_pair(dtm, dsm, ["r", "c"], "v", 10.0, allowed).select(F.lit(k).alias("kind"), "*") for k, (dsm, allowed) in cases.items()]
+    return made[0].union(made[1]).union(made[2]).union(made[3])
 
 
 #: In each square of a full lattice the diagonal runs from lower right to upper left: of the four corners, which lie on one circle, the lower left one is raised.
@@ -145,15 +176,17 @@ def scan_las(spark, d):
     return both.select("cx", "cy", F.round(F.col("dsm") + 1e-7, 4).alias("dsm"), F.round(F.col("dtm") + 1e-7, 4).alias("dtm"))
 
 
-@query(with_fixtures("fx_poly") + "SELECT tfv AS code, xmin AS x, ymin AS y, 4 AS corners FROM fx_poly")
+@query(with_fixtures("fx_ring") + "SELECT tfv AS code, ring[1].x AS x, ring[1].y AS y, len(ring)::INTEGER AS corners, len(holes)::INTEGER AS holes FROM fx_ring")
 def scan_wfs(spark, d):
-    """Features of vector responses, one response for each polygon, and a broken one."""
-    p = fixture(spark, d, "fx_poly")
-    pt = lambda x, y: F.array(F.col(x), F.col(y))
-    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(F.array(pt("xmin", "ymin"), pt("xmax", "ymin"), pt("xmax", "ymax"), pt("xmin", "ymax"))).alias("coordinates"))
-    bodies = p.select(F.to_json(F.struct(F.array(F.struct(F.struct("tfv").alias("properties"), geometry.alias("geometry"))).alias("features"))).alias("body"))
-    got = services.features(bodies.union(spark.createDataFrame([("<html>",)], "body string")))
-    return got.select(F.col("properties")["tfv"].alias("code"), F.get("ring", F.lit(0))["x"].alias("x"), F.get("ring", F.lit(0))["y"].alias("y"), F.size("ring").alias("corners"))
+    """Features of vector responses of ten shapes each, with holes; a broken response gives none."""
+    p = fixture(spark, d, "fx_ring")
+    points = lambda ring: F.transform(ring, lambda q: F.array(q["x"], q["y"]))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.concat(F.array(points("ring")), F.transform("holes", points)).alias("coordinates"))
+    feature = F.struct(F.struct("tfv").alias("properties"), geometry.alias("geometry"))
+    bodies = p.groupBy(F.expr("poly_id DIV 10").alias("page")).agg(F.to_json(F.struct(F.collect_list(feature).alias("features"))).alias("body")).select("body")
+    got = services.features(bodies.union(p.where("poly_id % 100 = 0").select(F.concat(F.lit("<html>no such layer, nor any other that we know of: "), "poly_id"))))
+    first = F.get("ring", F.lit(0))
+    return got.select(F.col("properties")["tfv"].alias("code"), first["x"].alias("x"), first["y"].alias("y"), F.size("ring").alias("corners"), F.size("holes").alias("holes"))
 
 
 _TILES = (([(10.0, 10.0), (160.0, 10.0), (160.0, 110.0), (10.0, 110.0)], []),)
@@ -186,17 +219,30 @@ def scan_stac_s1(spark, d):
     return T.filter_orbit(_items(spark, d), "descending").select("id", F.col("date").cast("string").alias("date"), "orbit")
 
 
-@query(_PX + "SELECT patch_id, r, c, v AS b04, -v AS b08 FROM fx_px")
+_HALF = "half AS (SELECT patch_id, (r // 2)::INTEGER AS hr, (c // 2)::INTEGER AS hc, -avg(v) AS h FROM fx_px GROUP BY ALL), fine AS (SELECT patch_id, y.t AS r, x.t AS c, sum(h*x.w*y.w)/sum(x.w*y.w) AS h FROM half JOIN ax y ON hr = y.i JOIN ax x ON hc = x.i GROUP BY ALL)"
+
+
+@query(with_fixtures("fx_px", also=f"{_bilinear(4, 8, False)}, {_HALF}") + "SELECT patch_id, r, c, round(v, 6) AS b04, round(h, 6) AS b08 FROM fx_px JOIN fine USING (patch_id, r, c)")
 def scan_s2_scene(spark, d):
-    """Bands in rows, one missing, stacked side by side."""
+    """Bands of two resolutions on one template, side by side; a band that failed is left out."""
     px = fixture(spark, d, "fx_px").select("patch_id", "r", "c", "v")
-    long = px.withColumn("band", F.lit("b04")).union(px.select("patch_id", "r", "c", -F.col("v"), F.lit("b08")))
-    return long.groupBy("patch_id", "r", "c").pivot("band", ["b04", "b08"]).agg(F.first("v"))
+    coarse = R.block_mean(px, ["patch_id"], "r", "c", "v", 2).select("patch_id", "r", "c", -F.col("v"))
+    long = px.withColumn("band", F.lit("b04")).union(coarse.withColumn("band", F.lit("b08")))
+    stacked = R.stack_bands(long, ["patch_id"], "r", "c", "v", "band", ["b04", "b08", "b11"], {"b04": 8, "b08": 4, "b11": 4}, 8)
+    return stacked.select("patch_id", "r", "c", *[F.round(b, 6).alias(b) for b in stacked.columns[3:]])
+
 
+_RADAR = "up AS (SELECT * FROM fx_px WHERE patch_id % 2 = 0), fine AS (SELECT patch_id, y.t AS r, x.t AS c, sum(v*x.w*y.w)/sum(x.w*y.w) AS vv, sum((v*v + 0.25::DOUBLE)*x.w*y.w)/sum(x.w*y.w) AS vh FROM up JOIN ax y ON r = y.i JOIN ax x ON c = x.i GROUP BY ALL)"
 
-@query(_PX + "SELECT patch_id, r, c, CASE WHEN v > 0 THEN round(10*log10(v), 6) END AS vv FROM fx_px")
+
+@query(with_fixtures("fx_px", also=f"{_bilinear(8, 12, False)}, {_RADAR}") + "SELECT patch_id, r, c, CASE WHEN vv > 1e-9 THEN round(10*log10(vv), 6) END AS vv, round(10*log10(vh), 6) AS vh FROM fine")
 def scan_s1_orbit(spark, d):
-    return fixture(spark, d, "fx_px").select("patch_id", "r", "c", F.round(B.decibels("v"), 6).alias("vv"))
+    """Both polarisations of the scenes of one orbit on a template, in decibels; what isn't positive has none."""
+    px = fixture(spark, d, "fx_px").select("patch_id", "r", "c", "v", F.when(F.col("patch_id") % 2 == 0, "ASCENDING").otherwise("descending").alias("orbit"))
+    own = T.filter_orbit(px, "ascending").drop("orbit")
+    long = own.withColumn("band", F.lit("vv")).union(own.select("patch_id", "r", "c", F.col("v") * F.col("v") + 0.25, F.lit("vh")))
+    stacked = R.stack_bands(long, ["patch_id"], "r", "c", "v", "band", ["vv", "vh"], {"vv": 8, "vh": 8}, 12)
+    return stacked.select("patch_id", "r", "c", F.when(F.col("vv") > 1e-9, F.round(B.decibels("vv"), 6)).alias("vv"), F.round(B.decibels("vh"), 6).alias("vh"))
 
 
 _ASKED = "asked AS (SELECT DISTINCT tile_id, CASE WHEN tile_id % 10 <> 0 THEN DATE '2023-01-15' + ((tile_id * 53) % 700)::INTEGER END AS day FROM fx_catalog)"
@@ -231,25 +277,18 @@ def scan_hf(spark, d):
     return storage.count_by_modality(fixture(spark, d, "fx_domain"), dim(spark, "dim_modality_suffix"))
 
 
-@query("SELECT 'imagery/train/TRAIN-' || i || '.tiff' AS entry, i::VARCHAR AS patch_id, 'content ' || i AS content FROM range(6) t(i)")
+_SHELF = "CASE d.doc_id % 5 WHEN 0 THEN 'val/VAL-' WHEN 1 THEN 'test/TEST-' ELSE 'train/TRAIN-' END"
+
+
+@query(f"SELECT d.doc_id::VARCHAR AS patch_id, 'imagery/' || {_SHELF} || d.doc_id || '.tiff' AS entry, toxic AS label, octet_length(encode(coalesce(text, ''))) AS n_bytes FROM documents d JOIN labels USING (doc_id)")
 def scan_zip_samples(spark, d):
-    """Entries of an archive with known ids; unknown ones are counted elsewhere, not kept."""
-    import io
-    import zipfile
-
-    buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w") as z:
-        for i in range(6):
-            z.writestr(f"imagery/train/TRAIN-{i}.tiff", f"content {i}")
-        z.writestr("imagery/train/TRAIN-unknown.tiff", "x")
-    path = storage.scratch(spark, "zips")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/a.zip").getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/a.zip"))
-    out.write(bytearray(buffer.getvalue()))
-    out.close()
-    entries = storage.zip_entries(spark, path).withColumn("patch_id", F.regexp_extract("entry", r"([^/-]+)\.tiff$", 1))
-    known = spark.range(6).select(F.col("id").cast("string").alias("patch_id"))
-    return entries.join(known, "patch_id").select("entry", "patch_id", F.col("content").cast("string").alias("content"))
+    """Entries of archives with the labels of the patches that they are of; patches without a label are left out."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").alias("d")
+    rows = docs.select(F.expr("doc_id DIV 1000").alias("archive"), F.concat(F.lit("imagery/"), F.expr(_SHELF), "doc_id", F.lit(".tiff")).alias("entry"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    files = storage.written(storage.archives(rows, "archive", "entry", "content"), "archives")
+    entries = storage.entries_of(files).withColumn("patch_id", G.patch_of_entry(F.col("entry"), "tiff"))
+    known = storage.read_index(spark.read.parquet(f"{d}/labels.parquet"), "doc_id", "toxic")
+    return entries.join(known, "patch_id").select("patch_id", "entry", "label", F.octet_length("content").cast("long").alias("n_bytes"))
 
 
 @query(_SAMPLE + "SELECT patch_id::VARCHAR AS patch_id, label, split FROM fx_sample")

@@ -153,15 +153,22 @@ def join_prediction(spark, d):
     return grid.join(pred, "patch_id", "left").na.fill({"known": False})
 
 
-@query("SELECT 'model.seg.' AS prefix, 3::BIGINT AS n")
+_NAMES = "SELECT s_suppkey, concat(CASE s_suppkey % 4 WHEN 0 THEN 'model.' WHEN 3 THEN 'module.' ELSE 'model.seg.' END, 'layer.', s_suppkey) AS name FROM "
+
+
+@query(f"WITH n AS ({_NAMES} supplier), w AS (SELECT 'layer.' || s_suppkey AS name FROM supplier WHERE s_acctbal > 0), p AS (SELECT * FROM (VALUES (0, ''), (1, 'model.'), (2, 'module.'), (3, 'model.seg.')) t(place, prefix)) SELECT prefix, count(*) AS n FROM n JOIN p ON starts_with(n.name, prefix) JOIN w ON w.name = substr(n.name, length(prefix) + 1) GROUP BY place, prefix ORDER BY n DESC, place LIMIT 1")
 def model_match_prefix(spark, d):
-    names = spark.createDataFrame([("model.seg.a",), ("model.seg.b",), ("model.seg.c",), ("model.x",), ("other",)], "name string")
-    return S.best_prefix(names, spark.createDataFrame([("a",), ("b",), ("c",), ("x",)], "name string"), ["", "model.", "model.seg."])
+    """The prefix under which most of a checkpoint's names are those of the model."""
+    suppliers = spark.read.parquet(f"{d}/supplier.parquet")
+    names = spark.sql(_NAMES + "{supplier}", supplier=suppliers).select("name")
+    wanted = suppliers.where("s_acctbal > 0").select(F.concat(F.lit("layer."), "s_suppkey").alias("name"))
+    return S.best_prefix(names, wanted, ["", "model.", "module.", "model.seg."])
 
 
-@query("SELECT unnest(['m1', 'm2']) AS model, unnest(['w.ckpt', 'b.pth']) AS file")
-def model_fetch(spark, d):
-    files = spark.createDataFrame([("m1", "w.safetensors"), ("m1", "w.ckpt"), ("m1", "a.bin"), ("m2", "b.pth"), ("m2", "c.pth"), ("m3", "readme.md")], "model string, file string")
-    return S.best_file(files)
+_FILES = "SELECT concat('model-', s_nationkey) AS model, concat('weights-', s_suppkey, CASE s_suppkey % 7 WHEN 0 THEN '.safetensors' WHEN 1 THEN '.bin' WHEN 2 THEN '.pt' WHEN 3 THEN '.pth' WHEN 4 THEN '.ckpt' ELSE '.md' END) AS file FROM "
 
 
+@query(f"SELECT model, file FROM (SELECT model, file, list_position(['ckpt', 'pth', 'pt', 'bin', 'safetensors'], string_split(file, '.')[-1]) AS place FROM ({_FILES} supplier)) WHERE place > 0 QUALIFY row_number() OVER (PARTITION BY model ORDER BY place, file) = 1")
+def model_fetch(spark, d):
+    """Of the files of every model, the weights of the best format; models without weights have none."""
+    return S.best_file(spark.sql(_FILES + "{supplier}", supplier=spark.read.parquet(f"{d}/supplier.parquet")))

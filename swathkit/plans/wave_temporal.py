@@ -22,9 +22,11 @@ def scene_filter_orbit(spark, d):
     return T.filter_orbit(fixture(spark, d, "fx_scene"), "ASCENDING").select("scene_id", "tile_id", "orbit")
 
 
-@query("SELECT annee::INTEGER AS annee, annee || '-06-01' AS start_date, annee || '-09-30' AS end_date FROM (VALUES (2020), (2021), (2024)) t(annee) UNION ALL SELECT annee::INTEGER, annee || '-01-01', last_day(make_date(annee, 2, 1))::VARCHAR FROM (VALUES (2023), (2024)) t(annee)")
+@query("WITH y AS (SELECT DISTINCT year(o_orderdate)::INTEGER AS annee FROM orders) SELECT annee, annee || '-06-01' AS start_date, annee || '-09-30' AS end_date FROM y UNION ALL SELECT annee, annee || '-01-01', last_day(make_date(annee, 2, 1))::VARCHAR FROM y")
 def date_ranges(spark, d):
-    return T.date_ranges(spark, [2020, 2021, 2024], "ete").union(T.date_ranges(spark, [2023, 2024], (1, 2)))
+    """Two seasons of every year that occurs."""
+    years = spark.read.parquet(f"{d}/orders.parquet").select(F.year("o_orderdate").alias("annee")).distinct()
+    return T.season_ranges(years, "ete").union(T.season_ranges(years, (1, 2)))
 
 
 @query(with_fixtures("fx_scene", also=_TOP) + "SELECT tile_id, annee, scene_id, cloud, place FROM top WHERE place <= 3")
@@ -56,10 +58,14 @@ def join_scene_asset(spark, d):
     return s.where("cloud <= 5").select("scene_id").join(assets, "scene_id").select("scene_id", F.col("assets")["B04"]["href"].alias("href"))
 
 
-@query("SELECT spec, unnest(years)::INTEGER AS annee FROM (VALUES ('2021:2024', [2021,2022,2023,2024]), ('2022,2023', [2022,2023]), (' 2019 ', [2019])) t(spec, years)")
+_SPEC = "CASE s_suppkey % 3 WHEN 0 THEN concat(2015 + s_suppkey % 4, ':', 2019 + s_suppkey % 5) WHEN 1 THEN concat(2020 + s_suppkey % 4, ',', 2016 + s_suppkey % 3) ELSE concat(' ', 2018 + s_suppkey % 6, ' ') END"
+
+
+@query("SELECT s_suppkey, unnest(CASE s_suppkey % 3 WHEN 0 THEN range(2015 + s_suppkey % 4, 2020 + s_suppkey % 5) WHEN 1 THEN [2020 + s_suppkey % 4, 2016 + s_suppkey % 3] ELSE [2018 + s_suppkey % 6] END)::INTEGER AS annee FROM supplier")
 def parse_years(spark, d):
-    specs = spark.createDataFrame([("2021:2024",), ("2022,2023",), (" 2019 ",)], "spec string")
-    return specs.select("spec", F.explode(T.parse_years(F.col("spec"))).alias("annee"))
+    """The years of written ranges and lists."""
+    specs = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", F.expr(_SPEC).alias("spec"))
+    return specs.select("s_suppkey", F.explode(T.parse_years(F.col("spec"))).alias("annee"))
 
 
 @query(_S + "SELECT tile_id, count(value) AS n, round(avg(value) + 3e-8, 6) AS v_mean, round(stddev_pop(value) + 3e-8, 6) AS v_std FROM fx_scene GROUP BY tile_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from urllib.parse import urlencode
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,10 @@ def map_requests(tiles: DataFrame, endpoint: str, layer: str, crs: str = "EPSG:2
     return tiles.withColumn("url", F.concat(F.lit(f"{endpoint}?{fixed}&BBOX="), box, F.lit("&WIDTH="), F.col("width").cast("string"), F.lit("&HEIGHT="), F.col("height").cast("string")))
 
 
-def fetch(requests: DataFrame, get: Callable[[str], bytes | None], retries: int = 3, wait: Callable[[float], None] | None = None) -> DataFrame:
-    """idx, url, content, attempts: each request tried up to ``retries`` times, with waits of 2, 4, ... seconds between; null content if all fail."""
+def fetch(requests: DataFrame, get: Callable[[str], bytes | None], retries: int = 3, wait: Callable[[float], None] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (idx, if not given), url, content, attempts: each request tried up to ``retries`` times, with waits of 2, 4, ... seconds between; null content if all fail."""
+    keep = keep or ["idx"]
+    kinds = dict(requests.dtypes)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import time
@@ -43,9 +46,29 @@ def fetch(requests: DataFrame, get: Callable[[str], bytes | None], retries: int
                     if content is None and n < retries:
                         pause(2.0**n)
                 out.append((content, n))
-            yield pd.DataFrame({"idx": pdf["idx"], "url": pdf["url"], "content": [c for c, _ in out], "attempts": [n for _, n in out]})
+            yield pd.DataFrame({**{c: pdf[c] for c in keep}, "url": pdf["url"], "content": [c for c, _ in out], "attempts": [n for _, n in out]})
 
-    return requests.select("idx", "url").mapInPandas(run, "idx int, url string, content binary, attempts int")
+    return requests.select(*keep, "url").mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "url string, content binary, attempts int"]))
+
+
+def tile_cells(fetched: DataFrame, decode: Callable[[bytes], np.ndarray], keys: list[str], res: float) -> DataFrame:
+    """keys, idx, r, c, v: the cells of fetched tiles, numbered from each area's upper left corner; tiles that weren't answered have none.
+
+    ``fetched`` has keys, idx, content, the tile's x0 and y1 and its area's xmin and ymax. ``decode`` makes an array (rows,
+    columns) of an answer, its first row on top.
+    """
+    kinds = dict(fetched.dtypes)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.itertuples(index=False):
+                v = decode(row.content)
+                r, c = np.indices(v.shape)
+                own = {"idx": row.idx, "r": r.ravel() + round((row.ymax - row.y1) / res), "c": c.ravel() + round((row.x0 - row.xmin) / res), "v": v.ravel()}
+                yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, **own})
+
+    asked = fetched.where("content IS NOT NULL").select(*keys, "idx", "content", "x0", "y1", "xmin", "ymax")
+    return asked.mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "idx int, r int, c int, v double"]))
 
 
 def catalog_items(raw: DataFrame, column: str = "item") -> DataFrame:

@@ -64,12 +64,30 @@ def count_by_modality(files: DataFrame, suffixes: DataFrame) -> DataFrame:
     return files.join(F.broadcast(suffixes), F.contains(F.col("path"), F.col("suffix"))).groupBy("modality").agg(F.count(F.lit(1)).alias("n"))
 
 
+def archives(df: DataFrame, archive: str, entry: str, content: str) -> DataFrame:
+    """archive, content: the rows of each archive as a ZIP file, in the order of their names. An archive is made in one task and memory, so it should hold megabytes, not gigabytes."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in sorted(zip(pdf[entry], pdf[content])):
+                z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), data)
+        return pd.DataFrame({"archive": [key[0]], "content": [out.getvalue()]})
+
+    return df.select(F.col(archive).cast("string").alias(archive), entry, content).groupBy(archive).applyInPandas(run, "archive string, content binary")
+
+
 def zip_entries(spark: SparkSession, path: str) -> DataFrame:
     """archive, entry, content of every file in the archives of a path; broken archives give none."""
+    return entries_of(spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select(F.col("path").alias("archive"), "content"))
+
+
+def entries_of(files: DataFrame) -> DataFrame:
+    """archive, entry, content of every file in archives given as rows (archive, content); broken archives give none."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for name, content in zip(pdf["path"], pdf["content"]):
+            for name, content in zip(pdf["archive"], pdf["content"]):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
                         for x in z.infolist():
@@ -78,8 +96,7 @@ def zip_entries(spark: SparkSession, path: str) -> DataFrame:
                 except zipfile.BadZipFile:
                     continue
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content")
-    return files.mapInPandas(run, "archive string, entry string, content binary")
+    return files.select("archive", "content").mapInPandas(run, "archive string, entry string, content binary")
 
 
 def normalized_split(split):
@@ -94,6 +111,11 @@ def read_labels(spark: SparkSession, path: str, kind: str = "parquet") -> DataFr
     return df.select("patch_id", "label", normalized_split(F.col("split")).alias("split"))
 
 
+def read_index(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """patch_id (text) and label of a table of labels, one row for each id: the highest label, of several."""
+    return labels.groupBy(F.col(id_col).cast("string").alias("patch_id")).agg(F.max(label_col).alias("label"))
+
+
 def merge_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """The rows of both, those of ``new`` where both have a key."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"))
