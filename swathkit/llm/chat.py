@@ -123,6 +123,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     levels = call_levels(calls)
     linked = calls.withColumn("called", F.lit(True)).hint("shuffle_hash").join(results.hint("shuffle_hash"), ["conv_id", "call_id"], "full_outer").join(levels, ["conv_id", "call_id"], "left")
     linked = linked.select("conv_id", "call_id", F.when(F.col("called").isNull(), "orphan").when(F.col("answered").isNull(), "unanswered").otherwise("linked").alias("status"), (F.col("depth") * 2).cast("int").alias("level"), "name", "arguments", "content")
+    common.by_bytes(calls.sparkSession)
     conv_type = calls.schema["conv_id"].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +142,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
 
 def calls_of_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A conversation read as tool use: each user turn calls ``reply``; the assistant's next turn is its result, and the
-    call two turns on depends on it."""
+    call two turns on depends on it. Turns without a conversation or number take no part; of repeated turns each is a call or
+    result (``link`` takes the first); a null text is an argument or a result that is null."""
     ident = lambda turn: F.concat(F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     turns = conversations.where("conv_id IS NOT NULL AND turn IS NOT NULL")
     calls = turns.where("role = 'user'").select("conv_id", ident(F.col("turn")).alias("call_id"), F.col("turn").alias("seq"), F.lit("reply").alias("name"), F.to_json(F.struct("text", "turn")).alias("arguments"), F.array(ident(F.col("turn") - 2)).alias("depends_on"))

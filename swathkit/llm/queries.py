@@ -13,18 +13,22 @@ BPE_VOCABULARY = "byte_bpe_50k.json"
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, size, text_crc32, law (bytes), shard, slot, grown_shard."""
     return sharding.assign_shards(table(spark, sf_dir, "documents"), n_shards=40)
 
 
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the five nearest found of every fiftieth vector."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_VOCABULARY))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     return decontam.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
@@ -51,10 +55,12 @@ def op7_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document: doc_id, held_out, score, predicted."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 

@@ -146,6 +146,7 @@ def derive(responses: DataFrame) -> DataFrame:
     other columns are ignored; an empty table gives none.
     """
     known = F.col("payload_digest") if "payload_digest" in responses.columns else F.lit(None)
+    common.by_bytes(responses.sparkSession)
     rows = responses.select("source_id", "record_id", "target_uri", "warc_date", "http_headers", "payload", known.cast("string").alias("payload_digest"))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,3 +70,15 @@ def test_cut_over_several_blocks(spark):
     got = sorted(tuple(r) for r in many.collect())
     assert got == sorted(tuple(r) for r in one.collect())
     assert all("a0" not in (t or "") and "c13" not in (t or "") for _, t in got) and got[-1] == (11, "left alone") and got[3] == (9, None)
+
+
+def test_an_item_larger_than_a_block(spark):
+    rng = random.Random(8)
+    huge = " ".join(f"w{rng.randrange(10**9)}" for _ in range(400))
+    items = [("huge", huge), ("a", " ".join(f"a{k}" for k in range(12))), ("b", " ".join(f"b{k}" for k in range(12)))]
+    words = huge.split()
+    docs = [(1, "x " + " ".join(words[200:215]) + " y"), (2, " ".join(words[10:19])), (3, f"so {items[1][1]} and {items[2][1]}"), (3, "clean")]
+    docs_df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontam.find_benchmark(docs_df, spark.createDataFrame(items, "item_id string, text string"), block_bytes=100)
+    got = sorted((r["doc_id"], [(s["start"], s["end"]) for s in r["hit_spans"]], r["hit_items"]) for r in found.collect())
+    assert got == [(1, [(1, 16)], ["huge"]), (2, [], []), (3, [], []), (3, [(1, 13), (14, 26)], ["a", "b"])]

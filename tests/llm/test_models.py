@@ -90,3 +90,14 @@ def test_spans_and_edges(spark):
     assert toxicity.score(docs.limit(0), labels.limit(0)).count() == 0
     one = labels.where("toxic = 0")
     assert toxicity.score(docs, one).where("predicted = 1").count() == 0
+
+
+def test_sample_of_repeated_ids(spark):
+    rows = [(1, "zz long text of one")] * 2000 + [(1, "b"), (1, "a"), (2, None), (3, "three"), (3, "three"), (None, "none"), (4, "unlabelled")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (5, 1)], "doc_id long, toxic int")
+    for _ in range(2):
+        texts, toxic = toxicity.labelled_sample(docs, labels, ~toxicity.is_held_out(10**6))
+        assert sorted(zip(texts, toxic)) == [("", 0), ("a", 1), ("three", 0)]
+    small, _ = toxicity.labelled_sample(docs, labels, ~toxicity.is_held_out(10**6), sample_bytes=1)
+    assert sum(map(len, small)) <= 1
