@@ -10,7 +10,7 @@ from ..functions.dims import BROADLEAF, CONIFER, LANDCOVER_LUT, NON_FOREST, TFV_
 
 def join_class(df: DataFrame, classes: DataFrame, code: str = "code") -> DataFrame:
     """Attributes of a class table (fixed, under 30 rows); codes that it lacks keep their row, with nulls."""
-    return df.join(F.broadcast(classes), code, "left")
+    return df.join(classes, code, "left")
 
 
 def forest_type_class(code: Column | str) -> Column:
@@ -67,6 +67,6 @@ def spectral_class(red: Column, green: Column, blue: Column, nir: Column) -> Col
 def dominant_label(df: DataFrame, sample: str, weight: str, groups: DataFrame, key: str, cls: str = "code", default: int = 0) -> DataFrame:
     """Per sample, the class with the largest summed weight (ties: the lowest); items without a class count for nothing, and
     a sample of only such items gets the default."""
-    sums = df.join(F.broadcast(groups), key).groupBy(sample, cls).agg(F.sum(weight).alias("w"))
+    sums = df.join(groups, key).groupBy(sample, cls).agg(F.sum(weight).alias("w"))
     best = sums.groupBy(sample).agg(F.max(F.struct("w", (-F.col(cls)).alias("k"))).alias("best")).select(sample, (-F.col("best.k")).alias(cls))
     return df.select(sample).distinct().join(best, sample, "left").na.fill({cls: default})

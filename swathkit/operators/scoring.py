@@ -70,7 +70,7 @@ def predict_multimodal(patches: DataFrame, make: Callable[[], Scorer], batch: in
     """As ``predict_patches`` for rows of (patch_id, modality, data): modalities that not every patch has are left out, the rest concatenated by name."""
     total = patches.select("patch_id").distinct().count()
     kept = patches.groupBy("modality").agg(F.countDistinct("patch_id").alias("n")).where(F.col("n") == total).select("modality")
-    rows = patches.join(F.broadcast(kept), "modality", "left_semi").groupBy("patch_id").agg(F.array_sort(F.collect_list(F.struct("modality", "data"))).alias("m"))
+    rows = patches.join(kept, "modality", "left_semi").groupBy("patch_id").agg(F.array_sort(F.collect_list(F.struct("modality", "data"))).alias("m"))
     return predict_patches(rows.select("patch_id", F.flatten(F.transform("m", lambda x: x["data"])).alias("data")), make, batch)
 
 

@@ -17,7 +17,7 @@ def landcover(df: DataFrame, code: str, classes: DataFrame, cell_area: float = 0
     """code, n_pixels, proportion (%), surface_ha and the class's attributes; null cells count for nothing."""
     n = df.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("code")).agg(F.count(F.lit(1)).alias("n_pixels"))
     shares = n.select("code", "n_pixels", F.round(F.col("n_pixels") * 100.0 / F.sum("n_pixels").over(_all()), 2).alias("proportion"), F.round(F.col("n_pixels") * F.lit(cell_area) / 10000, 4).alias("surface_ha"))
-    return shares.join(F.broadcast(classes), "code", "left")
+    return shares.join(classes, "code", "left")
 
 
 def zonal(df: DataFrame, code: str, value: str, digits: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ from ..operators import classes as C
 from .catalog import query
 from .fixtures import fixture, with_fixtures
 
-for _name in [n for n in DIMS if n != "dim_genera"]:
+for _name in DIMS:
     query(dim_sql(_name), name=_name)(lambda spark, d, name=_name: dim(spark, name))
 
 _CELLS = with_fixtures("fx_cells")
