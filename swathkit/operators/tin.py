@@ -49,7 +49,7 @@ def patch_heights(points: DataFrame, patch: str, frame: tuple[float, float, floa
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x0, y0, x1, y1 = frame or (pdf["x"].min(), pdf["y"].min(), pdf["x"].max(), pdf["y"].max())
         if footprint and not (footprint[0] <= x1 - x0 <= footprint[1] and footprint[0] <= y1 - y0 <= footprint[1]):
-            return pd.DataFrame({patch: [], "row": [], "col": [], "dsm": [], "dtm": []})
+            return pd.DataFrame([], columns=[patch, "row", "col", "dsm", "dtm"])
         row, col = (k.ravel() for k in np.mgrid[0:n, 0:n])
         gx, gy = x0 + (col + 0.5) * ((x1 - x0) / n), y1 - (row + 0.5) * ((y1 - y0) / n)
         out = {}

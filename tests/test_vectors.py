@@ -170,8 +170,8 @@ def test_a_crowded_tile_is_split(spark):
 def test_shapes_that_meet(spark):
     mine = shapes(spark, [(1, *RING), (2, DENTED, [])])
     other = [
-        (1, [(7, 7), (9, 7), (9, 9)], []),  # in the hole of 1, in the dent's outside of 2
-        (2, [(5, 7), (9, 7), (9, 9)], []),  # in the hole, touching its edge; and in the dent of 2
+        (1, [(7, 7), (9, 7), (9, 8.5)], []),  # in the hole of 1, in the dent of 2
+        (2, [(5, 7), (9, 7), (9, 8.5)], []),  # in the hole, touching its edge; and in the dent of 2
         (3, [(20, 20), (25, 20), (25, 25)], []),  # a corner touches a corner of 1
         (4, [(-5, -5), (40, -5), (40, 40), (-5, 40)], []),  # around both
         (5, [(1, 1), (2, 1), (2, 2)], []),  # within both
