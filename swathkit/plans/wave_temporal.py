@@ -82,4 +82,4 @@ def stream_monthly_composite(spark, d):
     from ..streaming import arrivals
 
     found = arrivals.monthly(spark, f"{d}/events.parquet")
-    return found.select("tile_id", "month", "n", F.round(F.col("mean") + 3e-8, 6).alias("value"))
+    return found.select("tile_id", "month", "n", F.round(F.col("value") + 3e-8, 6).alias("value"))

@@ -50,14 +50,14 @@ def composites(days: DataFrame) -> DataFrame:
 
 
 def monthly(spark: SparkSession, path: str) -> DataFrame:
-    """tile_id, month, n, mean, m2 of the arrivals in a Parquet path up to its present end, closed days and open ones."""
+    """tile_id, month, n, value (the mean), m2 of the arrivals in a Parquet path up to its present end, closed days and open ones."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
     events = source.parquet(path) if _is_folder(spark, path) else source.option("pathGlobFilter", name).parquet(folder)
     table, checkpoint = storage.scratch(spark, "days"), storage.scratch(spark, "arrivals")
     run(events.select(F.col("user_id").alias("tile_id"), "ts", "value"), table, checkpoint)
-    return composites(closed_days(spark, table).unionByName(open_days(spark, checkpoint)))
+    return composites(closed_days(spark, table).unionByName(open_days(spark, checkpoint))).withColumnRenamed("mean", "value")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
