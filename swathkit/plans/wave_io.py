@@ -101,6 +101,7 @@ class Ramp:
         self.seen[url] = self.seen.get(url, 0) + 1
         if self.seen[url] < 3:
             return None
+        del self.seen[url]
         asked = dict(parse_qsl(url.partition("?")[2]))
         x0, y0, x1, y1 = map(float, asked["BBOX"].split(","))
         width, height = int(asked["WIDTH"]), int(asked["HEIGHT"])

@@ -61,11 +61,15 @@ def tile_cells(fetched: DataFrame, decode: Callable[[bytes], np.ndarray], keys:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                v = decode(row.content)
-                r, c = np.indices(v.shape)
-                own = {"idx": row.idx, "r": r.ravel() + round((row.ymax - row.y1) / res), "c": c.ravel() + round((row.x0 - row.xmin) / res), "v": v.ravel()}
-                yield pd.DataFrame({**{k: getattr(row, k) for k in keys}, **own})
+            for at in range(0, len(pdf), 256):  # tiles at once
+                part, found = pdf.iloc[at : at + 256], []
+                for content, x0, y1, xmin, ymax in zip(part["content"], part["x0"], part["y1"], part["xmin"], part["ymax"]):
+                    v = decode(content)
+                    r, c = np.indices(v.shape)
+                    found.append((r.ravel() + round((ymax - y1) / res), c.ravel() + round((x0 - xmin) / res), v.ravel()))
+                sizes = [len(v) for _, _, v in found]
+                told = {k: np.repeat(part[k].to_numpy(), sizes) for k in [*keys, "idx"]}
+                yield pd.DataFrame(told | {k: np.concatenate(x) for k, x in zip("rcv", zip(*found))})
 
     asked = fetched.where("content IS NOT NULL").select(*keys, "idx", "content", "x0", "y1", "xmin", "ymax")
     return asked.mapInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "idx int, r int, c int, v double"]))
