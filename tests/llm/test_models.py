@@ -26,6 +26,38 @@ def test_language_model_on_the_table(spark, data):
     assert out and sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_scores_equal_a_slow_softmax(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(40)] + [f"rare{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(words, int(rng.integers(1, 30)), p=[0.02] * 40 + [0.2 / 60] * 60))) for k in range(150)] + [(900, "never seen words here"), (901, ""), (902, None)]
+    made = {}
+    keep = lambda name, f: monkeypatch.setattr(lm, name, lambda *a, **b: made.setdefault(name, []).append(f(*a, **b)) or made[name][-1])
+    keep("train_round", lm.train_round)
+    keep("learn_counts", lm.learn_counts)
+    got = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    model, (vocabulary, _) = made["train_round"][-1], made["learn_counts"][0]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    count = Counter(t for i, x in rows if not held(i) for t in lm.tokens(x))
+    a, b, q, bias = (model[k].astype(np.float64) for k in "ABQb")
+    symbol = lambda t: int(vocabulary.look_up([t])[1][0])
+    low = lm.SYMBOLS - lm.BUCKETS
+    mass = Counter()
+    for t, c in count.items():
+        if symbol(t) >= low:
+            mass[symbol(t)] += c + 1
+    for i, text in rows[::7] + rows[-3:]:
+        u = v = 0
+        want = 0.0
+        for t in lm.tokens(text):
+            w = symbol(t)
+            logits = a[v] @ q.T + b[u] @ q.T + bias[:, 0]
+            want += (logits[w] - np.log(np.exp(logits - logits.max()).sum()) - logits.max()) / math.log(10)
+            if w >= low:
+                want += math.log10(count[t] + 1) - math.log10(mass[w] + 1)
+            u, v = v, w
+        assert math.isclose(got[i], want, rel_tol=1e-4, abs_tol=1e-3), (i, got[i], want)
+
+
 def test_language_model_is_normalised():
     rng = np.random.default_rng(1)
     share = rng.random(lm.SYMBOLS)
