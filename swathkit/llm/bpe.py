@@ -8,8 +8,8 @@ of a label lead to one state, so the automaton is kept as a target for each labe
 the one arc that its copy lost: that is enough to tell the arcs of any state, and a table of the answers given so far
 makes the lookup of a transition one step.
 
-A pre-split word is encoded by following the arcs whose labels spell it: every prefix of a word has exactly one
-correct tokenization, so one arc at most enters each position. Decoding emits the labels of the arcs.
+A pre-split word is encoded by following the arcs whose labels spell it, longest first: every prefix of a word has exactly one
+correct tokenization, so one path at most leads to each position. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -118,37 +118,45 @@ class TokenAutomaton:
         return True
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The labels of the only path that spells ``word``."""
-        n = len(word)
-        step, spelt, target, table = self.next.get, self.spelt, self.target, self.table
+        """The labels of the only path that spells ``word``.
+
+        Of the arcs that leave a position the longest is tried first. A position is reached by one path at most, so going
+        back where none leads on visits no position twice.
+        """
         label = self.whole.get(word)
         if label is not None:
             return [label]
-        entry: list[int] = [-1] * (n + 1)  # the label that enters a position
-        start: list[int] = [0] * (n + 1)
-        for i in range(n):
-            state = target[entry[i]] if i else 0
-            node = 0
-            for j in range(i, n):
+        step, spelt, target, table, n = self.next.get, self.spelt, self.target, self.table, len(word)
+        path: list[int] = []
+        left: list[tuple[int, list[tuple[int, int]]]] = []  # the state of each position on the path, and the shorter arcs not yet tried
+        at = state = 0
+        while at < n:
+            node, arcs = 0, []
+            for j in range(at, n):
                 node = step(node << 8 | word[j])
                 if node is None:
                     break
                 label = spelt[node]
-                if label >= 0 and entry[j + 1] < 0:
-                    key = state << 20 | label
-                    ok = table.get(key)
-                    if ok is None:
-                        if len(table) >= TABLE_CACHE:
-                            table.clear()
-                        ok = table[key] = self.arc(state, label)
-                    if ok:
-                        entry[j + 1] = label
-                        start[j + 1] = i
-        ids, i = [], n
-        while i:
-            ids.append(entry[i])
-            i = start[i]
-        return ids[::-1]
+                if label >= 0:
+                    arcs.append((j + 1, label))
+            while True:
+                if not arcs:
+                    path.pop()
+                    state, arcs = left.pop()
+                    continue
+                at, label = arcs.pop()
+                key = state << 20 | label
+                ok = table.get(key)
+                if ok is None:
+                    if len(table) >= TABLE_CACHE:
+                        table.clear()
+                    ok = table[key] = self.arc(state, label)
+                if ok:
+                    break
+            left.append((state, arcs))
+            path.append(label)
+            state = target[label]
+        return path
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.labels.__getitem__, ids))
