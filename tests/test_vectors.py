@@ -167,6 +167,18 @@ def test_a_crowded_tile_is_split(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+@pytest.mark.parametrize("chunk", [3, 1024])
+def test_equal_boxes_are_compared_once_and_told_for_each(spark, chunk):
+    rng = np.random.default_rng(12)
+    boxes = [(float(x), float(y), float(x + s), float(y + s)) for x, y, s in zip(rng.integers(0, 20, 25), rng.integers(0, 20, 25), rng.choice([0, 1, 4, 9], 25))]
+    rows = [(k, *boxes[k % 25]) for k in range(200)] + [(7, *boxes[0]), (None, *boxes[1]), (300, None, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id int, xmin double, ymin double, xmax double, ymax double")
+    full = [r for r in rows if None not in r]
+    want = sorted((a[0], b[0]) for a in full for b in full if a[0] < b[0] and a[1] < b[3] and b[1] < a[3] and a[2] < b[4] and b[2] < a[4])
+    got = overlay.overlapping_pairs(df, "id", "other", 4.0, chunk)
+    assert sorted((r["id"], r["other"]) for r in got.collect()) == want and len(want) > 1000
+
+
 def test_shapes_that_meet(spark):
     mine = shapes(spark, [(1, *RING), (2, DENTED, [])])
     other = [
