@@ -202,6 +202,19 @@ def test_points_in_shapes(spark):
     assert got == {(k, i) for k, (x, y) in enumerate(spots) for i, rings in ((1, [RING[0], *RING[1]]), (2, [DENTED])) if odd(rings, x, y)}
 
 
+@pytest.mark.parametrize("heavy", [20, 50_000])
+def test_points_counted_in_shapes(spark, heavy):
+    rng = np.random.default_rng(8)
+    spots = [*rng.uniform(-1, 22, (400, 2)).tolist(), *[[float(x), float(y)] for x in range(12) for y in range(12)]]
+    points = spark.createDataFrame([*spots, [None, 1.0], [float("nan"), 2.0]], "x double, y double")
+    rows = [(k, *([RING, (DENTED, []), (star(rng, 9, 9, 30, 11), [])][k % 3] if k < 30 else (star(rng, *rng.uniform(0, 20, 2), 4, 7), []))) for k in range(60)] + [(99, [(90, 90), (91, 90), (91, 91)], [])]
+    got = {r["id"]: r["n"] for r in overlay.count_points(points, shapes(spark, rows), "id", 4.0, heavy).collect()}
+    want = {k: sum(odd([ring, *holes], x, y) for x, y in spots) for k, ring, holes in rows}
+    assert got == {k: n for k, n in want.items() if n} and len(got) > 50
+    pairs = overlay.join_points(points, shapes(spark, rows), 4.0).groupBy("id").count().collect()
+    assert got == {r["id"]: r["count"] for r in pairs}
+
+
 # Clipping
 
 
