@@ -215,6 +215,12 @@ def test_points_counted_in_shapes(spark, heavy):
     assert got == {r["id"]: r["count"] for r in pairs}
 
 
+def test_different_shapes(spark):
+    rows = [(k, *([RING, (DENTED, []), (RING[0], [])][k % 3])) for k in range(10)]
+    got = overlay.different_shapes(shapes(spark, rows).withColumn("holes", F.when(F.col("id") != 2, F.col("holes"))), "rows").collect()
+    assert sorted((len(r["ring"]), len(r["holes"]), r["rows"]) for r in got) == sorted([(len(RING[0]), len(RING[1]), 4), (len(DENTED), 0, 3), (len(RING[0]), 0, 3)])
+
+
 # Clipping
 
 
