@@ -107,13 +107,14 @@ def hann(n: int, least: float = 1e-6) -> np.ndarray:
     return np.maximum(np.outer(curve, curve), least)
 
 
-def blend_windows(windows: DataFrame, make: Callable[[], Scorer], patch: int, size: int, batch: int = 16) -> DataFrame:
+def blend_windows(windows: DataFrame, make: Callable[[], Scorer], patch: int, size: int, batch: int = 16, missing: float | None = None) -> DataFrame:
     """br, bc, code, score (arrays along rows): the class of each cell of the blocks that windows lie on.
 
     ``windows`` has r0, c0 and data of ``patch`` x ``patch`` cells (null counts as 0). The model is asked once for each
     ``batch`` of windows and gives scores (windows, classes, cells); their softmax is weighted by Hann curves, summed up over
     all windows of a cell, and the best class wins (ties: the lowest). Cells under no window have code -1 and score 0. A
-    block meets the windows that overlap it, of which there are as many as the step between windows allows.
+    block meets the windows that overlap it, of which there are as many as the step between windows allows. With ``missing``, that
+    stands in for null when the model is asked, and null cells have code -1 and score 0, too.
     """
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,9 +122,12 @@ def blend_windows(windows: DataFrame, make: Callable[[], Scorer], patch: int, si
         for pdf in frames:
             for at in range(0, len(pdf), batch):
                 part = pdf.iloc[at : at + batch]
-                p = model.predict(np.nan_to_num(np.stack([np.asarray(x, dtype=np.float64) for x in part["data"]])))
+                asked = np.stack([np.asarray(x, dtype=np.float64) for x in part["data"]])
+                p = model.predict(np.nan_to_num(asked, nan=0.0 if missing is None else missing))
                 p = np.exp(p - p.max(1, keepdims=True))
                 p /= p.sum(1, keepdims=True)
+                if missing is not None:
+                    p = np.where(np.isnan(asked)[:, None, :], 0.0, p)
                 p = p.reshape(len(part), p.shape[1], patch, patch) * weight
                 rows = []
                 for own, r0, c0 in zip(p, part["r0"], part["c0"]):
@@ -145,6 +149,8 @@ def blend_windows(windows: DataFrame, make: Callable[[], Scorer], patch: int, si
             here = np.s_[i0 - br * size : i1 - br * size, j0 - bc * size : j1 - bc * size]
             total[:, here[0], here[1]] += own
             seen[here] += weight[i0 - r0 : i1 - r0, j0 - c0 : j1 - c0]
+        if missing is not None:
+            seen = np.where(total.sum(0) > 0, seen, 0.0)  # the shares of a known cell add up to its weights
         mean = total / np.maximum(seen, 1e-8)
         code = np.where(seen > 0, mean.argmax(0), -1)
         return pd.DataFrame({"br": [br], "bc": [bc], "code": [code.ravel().astype(np.int32)], "score": [mean.max(0).ravel()]})

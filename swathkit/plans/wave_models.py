@@ -105,10 +105,11 @@ def blend_hann(spark, d):
 
 
 class ContrastHead:
-    """Scores of cells from how they differ from their window's mean."""
+    """Scores of cells from how they differ from the mean of their window's known cells."""
 
     def predict(self, patches):
-        apart = patches - patches.mean(1, keepdims=True)
+        known = ~np.isnan(patches)
+        apart = patches - np.where(known, patches, 0.0).sum(1, keepdims=True) / np.maximum(known.sum(1, keepdims=True), 1)
         return np.stack([apart, -0.5 * apart + 0.02, np.full_like(apart, 0.01)], 1)
 
 
@@ -129,7 +130,7 @@ def infer_flair(spark, d):
     height, width = cells.agg(F.max("r") + 1, F.max("c") + 1).first()
     blocks = K.to_blocks(cells, "r", "c", "v", 64)
     places = G.window_positions(spark, width, height, 16, 8).select(F.col("y0").alias("r0"), F.col("x0").alias("c0"), F.lit(16).alias("height"), F.lit(16).alias("width"))
-    found = K.blend_windows(K.cut(blocks, places, 64), ContrastHead, 16, 64)
+    found = K.blend_windows(K.cut(blocks, places, 64), ContrastHead, 16, 64, missing=np.nan)
     told = found.select("br", "bc", F.arrays_zip("code", "score").alias("data"))
     long = K.to_cells(told, 64, "r", "c", "x").where("x.code >= 0")
     return long.select("r", "c", landcover_code("x.code").alias("code"), F.round("x.score", 6).alias("score"))

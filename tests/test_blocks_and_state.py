@@ -290,3 +290,27 @@ def test_map_tiles_are_put_together_without_a_join(spark, data):
     """The tiles' places go along with the requests: the optimizer guessed the size of a table of tiles from that of the areas, and would broadcast it."""
     got = QUERIES["scan_wms_tiled"](spark, data)
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString() and got.count() > 0
+
+
+class Apart:
+    def predict(self, x):
+        apart = x - np.nanmean(x, 1, keepdims=True)
+        return np.stack([apart, -apart], 1)
+
+
+def test_missing_cells_count_for_nothing(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12, 12)) + 5
+    known = np.ones((12, 12), bool)
+    known[10:, 5:] = False  # a last row of patches that isn't full
+    made = blocks.to_blocks(cells_of(spark, x).where("NOT (r >= 10 AND c >= 5)"), "r", "c", "v", 8)
+    windows = spark.createDataFrame([(r, c, 8, 8) for r in (0, 4) for c in (0, 4)], "r0 int, c0 int, height int, width int")
+    found = blocks.blend_windows(blocks.cut(made, windows, 8), Apart, 8, 8, missing=np.nan)
+    total, weight = np.zeros((2, 12, 12)), blocks.hann(8)
+    for r in (0, 4):
+        for c in (0, 4):
+            own = np.where(known, x, np.nan)[r : r + 8, c : c + 8]
+            s = np.stack([own - np.nanmean(own), np.nanmean(own) - own])
+            total[:, r : r + 8, c : c + 8] += np.exp(s) / np.exp(s).sum(0) * weight
+    got = blocks.to_cells(found.select("br", "bc", "code"), 8, "r", "c", "v", "code").where("v >= 0").collect()
+    assert {(r["r"], r["c"]): r["v"] for r in got} == {(i, j): int(total[:, i, j].argmax()) for i, j in zip(*map(list, np.nonzero(known)))}
