@@ -59,6 +59,12 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFr
     return files.select("path", F.col("modificationTime").alias("modified"), "length")
 
 
+def list_tables(spark: SparkSession, path: str, suffix: str = ".parquet") -> DataFrame:
+    """path of all tables below a folder: a file of that suffix, or a folder of it, however many files it holds."""
+    files = list_files(spark, path, "*" + suffix).select(F.substring_index(F.col("path"), path.rstrip("/") + "/", -1).alias("_rest"))
+    return files.select(F.concat(F.lit(path.rstrip("/") + "/"), F.regexp_replace("_rest", f"({re.escape(suffix)})/.*$", "$1")).alias("path")).distinct()
+
+
 def count_by_modality(files: DataFrame, suffixes: DataFrame) -> DataFrame:
     """modality, n of files whose path holds the modality's suffix; modalities without a file are left out."""
     return files.join(F.broadcast(suffixes), F.contains(F.col("path"), F.col("suffix"))).groupBy("modality").agg(F.count(F.lit(1)).alias("n"))

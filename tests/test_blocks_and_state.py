@@ -314,3 +314,11 @@ def test_missing_cells_count_for_nothing(spark):
             total[:, r : r + 8, c : c + 8] += np.exp(s) / np.exp(s).sum(0) * weight
     got = blocks.to_cells(found.select("br", "bc", "code"), 8, "r", "c", "v", "code").where("v >= 0").collect()
     assert {(r["r"], r["c"]): r["v"] for r in got} == {(i, j): int(total[:, i, j].argmax()) for i, j in zip(*map(list, np.nonzero(known)))}
+
+
+def test_a_table_in_many_files_counts_once(spark, tmp_path):
+    df = spark.range(30)
+    df.repartition(3).write.parquet(f"{tmp_path}/tables.parquet/embeddings.parquet")
+    df.toPandas().to_parquet(f"{tmp_path}/tables.parquet/documents.parquet")
+    got = storage.list_tables(spark, f"{tmp_path}/tables.parquet").collect()
+    assert sorted(r["path"].rsplit("/", 2)[1:] for r in got) == [["tables.parquet", "documents.parquet"], ["tables.parquet", "embeddings.parquet"]]
