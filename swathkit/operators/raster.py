@@ -170,6 +170,17 @@ def stack_bands(long: DataFrame, keys: list[str], row: str, col: str, value: str
     return out.groupBy(*keys, row, col).pivot(band, [b for b in wanted if b in there]).agg(F.first(value))
 
 
+def stack_patches(df: DataFrame, keys: list[str], row: str, col: str, bands: dict[str, int], target: int) -> DataFrame:
+    """keys, row, col and a column for each band: as ``stack_bands``, of patches that hold each band in one array along its rows.
+
+    ``bands`` names the array columns and their cells a side. A row is resampled by itself, so nothing is shuffled or grouped and
+    a task holds one patch; a cell that no known cell of a band covers is null in it.
+    """
+    on = [(F.col(b) if n == target else blocks.resampled(b, n, target)).alias(b) for b, n in bands.items()]
+    told = df.select(*keys, *on).select(*keys, F.posexplode(F.arrays_zip(*bands)).alias("_at", "_cell"))
+    return told.select(*keys, F.expr(f"CAST(_at DIV {target} AS INT)").alias(row), (F.col("_at") % target).alias(col), *[F.col("_cell")[b].alias(b) for b in bands])
+
+
 def same_grid(a: dict, b: dict, tolerance: float = 1e-9) -> bool:
     """Whether two rasters' descriptions (epsg, xmin, ymax, res, nrow, ncol) name one grid: then no resampling is needed."""
     return all(abs(a[k] - b[k]) <= tolerance for k in ("epsg", "xmin", "ymax", "res", "nrow", "ncol"))

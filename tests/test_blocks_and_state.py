@@ -322,3 +322,15 @@ def test_a_table_in_many_files_counts_once(spark, tmp_path):
     df.toPandas().to_parquet(f"{tmp_path}/tables.parquet/documents.parquet")
     got = storage.list_tables(spark, f"{tmp_path}/tables.parquet").collect()
     assert sorted(r["path"].rsplit("/", 2)[1:] for r in got) == [["tables.parquet", "documents.parquet"], ["tables.parquet", "embeddings.parquet"]]
+
+
+def test_patches_are_stacked_row_by_row(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.normal(size=16).tolist(), rng.normal(size=4).tolist()) for k in range(5)]
+    patches = spark.createDataFrame(rows, "k int, b1 array<double>, b2 array<double>")
+    got = raster.stack_patches(patches, ["k"], "r", "c", {"b1": 4, "b2": 2}, 6)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    long = [(k, i // n, i % n, v[i], b) for k, *bands in rows for b, n, v in zip(("b1", "b2"), (4, 2), bands) for i in range(n * n)]
+    want = raster.stack_bands(spark.createDataFrame(long, "k int, r int, c int, v double, band string"), ["k"], "r", "c", "v", "band", ["b1", "b2"], {"b1": 4, "b2": 2}, 6)
+    table = lambda df: {(r["k"], r["r"], r["c"]): (round(r["b1"], 9), round(r["b2"], 9)) for r in df.collect()}
+    assert table(got) == table(want) and len(table(got)) == 180
