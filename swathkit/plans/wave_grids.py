@@ -92,8 +92,7 @@ def patch_positions_py(spark, d):
 @query(_POS + "SELECT x0, y0, count(*) AS n FROM pos GROUP BY ALL")
 def dedup_positions(spark, d):
     """The different window positions of all images, and how many images have each."""
-    p = G.window_positions_over(_images(spark, d), 512, 128).select("poly_id", "x0", "y0")
-    return p.union(p).distinct().groupBy("x0", "y0").agg(F.count(F.lit(1)).alias("n"))
+    return G.counted_positions(_images(spark, d), 512, 128)
 
 
 @query(with_fixtures("fx_px", also="h AS (SELECT i::INTEGER AS r, j::INTEGER AS c, greatest((0.5::DOUBLE-0.5::DOUBLE*cos(2*pi()*i/7))*(0.5::DOUBLE-0.5::DOUBLE*cos(2*pi()*j/7)), 1e-6) AS w FROM range(8) a(i), range(8) b(j))") + "SELECT patch_id, r, c, round(v * w, 9) AS v FROM fx_px JOIN h USING (r, c)")

@@ -334,3 +334,11 @@ def test_patches_are_stacked_row_by_row(spark):
     want = raster.stack_bands(spark.createDataFrame(long, "k int, r int, c int, v double, band string"), ["k"], "r", "c", "v", "band", ["b1", "b2"], {"b1": 4, "b2": 2}, 6)
     table = lambda df: {(r["k"], r["r"], r["c"]): (round(r["b1"], 9), round(r["b2"], 9)) for r in df.collect()}
     assert table(got) == table(want) and len(table(got)) == 180
+
+
+def test_positions_are_counted_by_sizes(spark):
+    rows = [(k, 100 + 37 * (k % 3), 90 + 50 * (k % 2)) for k in range(40)] + [(1, 137, 140)]
+    images = spark.createDataFrame(rows, "k int, width int, height int")
+    got = grids.counted_positions(images, 64, 16)
+    want = grids.window_positions_over(images, 64, 16).groupBy("x0", "y0").count()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
