@@ -12,9 +12,11 @@ triangulation depends on the points alone, not on their order or tile.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,10 @@ LEAST_POINTS = 4
 
 def _column(points: pd.DataFrame, gx: np.ndarray, gy: np.ndarray, reach: float, fill: bool) -> np.ndarray:
     """Heights at some places: from the triangle around each, else (``fill``) from the nearest point; nan where neither is within reach."""
-    x, y, z = (points[c].to_numpy(np.float64) for c in "xyz")
+    return _heights(*(points[c].to_numpy(np.float64) for c in "xyz"), gx, gy, reach, fill)
+
+
+def _heights(x: np.ndarray, y: np.ndarray, z: np.ndarray, gx: np.ndarray, gy: np.ndarray, reach: float, fill: bool) -> np.ndarray:
     order = np.lexsort((z, y, x))  # one order of sums, whatever that of the rows
     x, y, z = x[order], y[order], z[order]
     fresh = np.flatnonzero(np.concatenate([[True], (np.diff(x) != 0) | (np.diff(y) != 0)])) if len(x) else np.zeros(0, int)
@@ -33,10 +38,6 @@ def _column(points: pd.DataFrame, gx: np.ndarray, gy: np.ndarray, reach: float,
     return D.interpolate(x[fresh], y[fresh], mean, gx, gy, reach, fill)
 
 
-def _kind(points: pd.DataFrame, wanted: pd.Series, least: int) -> pd.DataFrame:
-    return points[wanted] if int(wanted.sum()) >= least else points
-
-
 def patch_heights(points: DataFrame, patch: str, frame: tuple[float, float, float, float] | None, n: int, footprint: tuple[float, float] | None = None) -> DataFrame:
     """patch, row, col, dsm, dtm of an ``n`` x ``n`` grid over each patch; row 0 is the top.
 
@@ -46,23 +47,36 @@ def patch_heights(points: DataFrame, patch: str, frame: tuple[float, float, floa
     ``footprint``, patches whose width or height is out of that range are left out. Points at one place count as one at their
     mean height; points with a null or infinite coordinate are left out; a patch without points has no rows.
     """
-    fine = points.where(_usable("x", "y", "z")).select(patch, "x", "y", "z", "cls", "return_number")
-    kind = dict(fine.dtypes)[patch]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x0, y0, x1, y1 = frame or (pdf["x"].min(), pdf["y"].min(), pdf["x"].max(), pdf["y"].max())
-        if footprint and not (footprint[0] <= x1 - x0 <= footprint[1] and footprint[0] <= y1 - y0 <= footprint[1]):
-            return pd.DataFrame([], columns=[patch, "row", "col", "dsm", "dtm"])
-        row, col = (k.ravel() for k in np.mgrid[0:n, 0:n])
-        gx, gy = x0 + (col + 0.5) * ((x1 - x0) / n), y1 - (row + 0.5) * ((y1 - y0) / n)
-        out = {}
-        for name, wanted in (("dsm", pdf["return_number"] == 1), ("dtm", pdf["cls"] == 2)):
-            chosen = _kind(pdf, wanted, LEAST_POINTS)
-            out[name] = _column(chosen, gx, gy, math.inf, True) if len(chosen) >= LEAST_POINTS else np.full(n * n, np.nan)
-        heights = {k: [None if math.isnan(h) else h for h in v] for k, v in out.items()}
-        return pd.DataFrame({patch: pdf[patch].iloc[0], "row": row, "col": col, **heights})
-
-    return fine.groupBy(patch).applyInPandas(run, f"{patch} {kind}, row int, col int, dsm double, dtm double")
+    real = [F.collect_list(F.col(c).cast("double")).alias(c) for c in "xyz"]
+    chosen = [F.collect_list(F.coalesce(k, F.lit(False)).cast("int")).alias(n) for n, k in (("dsm", F.col("return_number") == 1), ("dtm", F.col("cls") == 2))]
+    kind = dict(points.dtypes)[patch]
+    row, col = (k.ravel() for k in np.mgrid[0:n, 0:n])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # many patches at once, their points in flat arrays
+            if not len(batch):
+                continue
+            starts = np.concatenate([[0], np.cumsum(batch.column("x").value_lengths().to_numpy())])
+            flat = {c: batch.column(c).flatten().to_numpy() for c in ("x", "y", "z", "dsm", "dtm")}
+            kept, out = [], {"dsm": [], "dtm": []}
+            for k in range(len(batch)):
+                here = slice(starts[k], starts[k + 1])
+                x, y, z = (flat[c][here] for c in "xyz")
+                x0, y0, x1, y1 = frame or (x.min(), y.min(), x.max(), y.max())
+                if footprint and not (footprint[0] <= x1 - x0 <= footprint[1] and footprint[0] <= y1 - y0 <= footprint[1]):
+                    continue
+                gx, gy = x0 + (col + 0.5) * ((x1 - x0) / n), y1 - (row + 0.5) * ((y1 - y0) / n)
+                kept.append(k)
+                for name, found in out.items():
+                    own = np.flatnonzero(flat[name][here])
+                    at = own if len(own) >= LEAST_POINTS else slice(None)
+                    found.append(_heights(x[at], y[at], z[at], gx, gy, math.inf, True) if len(x[at]) >= LEAST_POINTS else np.full(n * n, np.nan))
+            heights = {name: np.concatenate([np.empty(0), *found]) for name, found in out.items()}
+            places = {"row": np.tile(row, len(kept)).astype(np.int32), "col": np.tile(col, len(kept)).astype(np.int32)}
+            ids = batch.column(patch).take(pa.array(np.repeat(np.array(kept, np.int64), n * n)))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(v) for v in places.values()), *(pa.array(v, mask=np.isnan(v)) for v in heights.values())], names=[patch, *places, *heights])
+
+    return points.where(_usable("x", "y", "z")).groupBy(patch).agg(*real, *chosen).mapInArrow(run, f"{patch} {kind}, row int, col int, dsm double, dtm double")
 
 
 def area_heights(points: DataFrame, cell: float, tile: float, reach: float, fill: bool = False) -> DataFrame:

@@ -131,6 +131,22 @@ def test_scanlines_grow_with_the_outline(spark):
     assert "Join" not in plan and "Python" not in plan
 
 
+def test_patches_go_to_python_many_at_once(spark):
+    """One call for a batch of patches, not one for each; an unknown class or return is of no kind."""
+    rng = np.random.default_rng(4)
+    rows = [(k % 40, *map(float, rng.uniform(0, 20, 3)), None if k % 11 == 0 else 2 + k // 40 % 2, None if k % 13 == 0 else 1 + k // 40 % 3) for k in range(1200)]
+    got = tin.patch_heights(spark.createDataFrame(rows, "patch long, x double, y double, z double, cls int, return_number int"), "patch", (0.0, 0.0, 20.0, 20.0), 3)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    gx, gy = np.tile((np.arange(3) + 0.5) * (20 / 3), 3), 20 - np.repeat((np.arange(3) + 0.5) * (20 / 3), 3)
+    table = {(r["patch"], r["row"], r["col"]): (r["dsm"], r["dtm"]) for r in got.collect()}
+    assert len(table) == 360
+    for patch in range(40):
+        for j, kind in enumerate((lambda r: r[5] == 1, lambda r: r[4] == 2)):
+            own = np.array(sorted(r[1:4] for r in rows if r[0] == patch and kind(r)))
+            want = _delaunay.interpolate(own[:, 0], own[:, 1], own[:, 2], gx, gy, math.inf, True)
+            assert all(math.isclose(table[patch, i // 3, i % 3][j], want[i]) for i in range(9))
+
+
 # Pairs
 
 
