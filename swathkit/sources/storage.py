@@ -53,9 +53,11 @@ def read_raster(spark: SparkSession, path: str, box: tuple[int, int, int, int] |
     return df.where(F.col("trow").between(r0 // tile, r1 // tile) & F.col(row).between(r0, r1) & F.col(col).between(c0, c1)).drop("trow")
 
 
-def list_files(spark: SparkSession, path: str, pattern: str = "*.tif") -> DataFrame:
-    """path, modified, length of all files below a folder; contents are not read."""
+def list_files(spark: SparkSession, path: str, pattern: str = "*.tif", below: bool = True) -> DataFrame:
+    """path, modified, length of all files below a folder, or only of those directly in it; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    if not below:  # Spark may write the scheme of a path in another way, so it is left out
+        files = files.where(F.endswith(F.regexp_replace("path", "/[^/]*$", ""), F.lit(re.sub(r"^[\w+.-]+:(//[^/]*)?(?=/)", "", path).rstrip("/"))))
     return files.select("path", F.col("modificationTime").alias("modified"), "length")
 
 
@@ -65,9 +67,9 @@ def list_tables(spark: SparkSession, path: str, suffix: str = ".parquet") -> Dat
     return files.select(F.concat(F.lit(path.rstrip("/") + "/"), F.regexp_replace("_rest", f"({re.escape(suffix)})/.*$", "$1")).alias("path")).distinct()
 
 
-def count_by_modality(files: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """modality, n of files whose path holds the modality's suffix; modalities without a file are left out."""
-    return files.join(F.broadcast(suffixes), F.contains(F.col("path"), F.col("suffix"))).groupBy("modality").agg(F.count(F.lit(1)).alias("n"))
+def count_by_modality(files: DataFrame, suffixes: DataFrame, at_end: bool = False) -> DataFrame:
+    """modality, n of files whose path holds the modality's suffix, or ends with it; modalities without a file are left out."""
+    return files.join(F.broadcast(suffixes), (F.endswith if at_end else F.contains)(F.col("path"), F.col("suffix"))).groupBy("modality").agg(F.count(F.lit(1)).alias("n"))
 
 
 def archives(df: DataFrame, archive: str, entry: str, content: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from swathkit.operators import blocks, grids, raster, scoring, temporal, zonal
-from swathkit.plans.catalog import QUERIES
+from swathkit.plans.catalog import ORACLE_SQL, QUERIES
 from swathkit.sources import services, storage
 from swathkit.streaming import arrivals
 
@@ -342,3 +342,14 @@ def test_positions_are_counted_by_sizes(spark):
     got = grids.counted_positions(images, 64, 16)
     want = grids.window_positions_over(images, 64, 16).groupBy("x0", "y0").count()
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_files_of_a_folder_are_counted_as_glob_does(spark, duck, tmp_path):
+    d, df = f"{tmp_path}/documents.parquet", spark.range(30)
+    df.repartition(3).write.parquet(f"{d}/embeddings.parquet")
+    for name in ("documents.parquet", "other.parquet", "embeddings.parquet.parquet", "more/documents.parquet", "more/k=1/embeddings.parquet"):
+        (tmp_path / "documents.parquet" / name).parent.mkdir(parents=True, exist_ok=True)
+        df.toPandas().to_parquet(f"{d}/{name}")
+    want = duck.execute(ORACLE_SQL["scan_dir"].replace("/root/testdata/sf0.01", d)).fetchall()
+    for path in (d, f"{d}/", f"file:{d}", f"file://{d}"):
+        assert sorted(tuple(r) for r in QUERIES["scan_dir"](spark, path).collect()) == sorted(want) == [("documents", 1)]
