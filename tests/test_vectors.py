@@ -1,6 +1,7 @@
 """Triangulated heights, scanlines, the quadtree join, shapes that meet, clipping: against brute force and on hard shapes."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -195,6 +196,19 @@ def test_equal_boxes_are_compared_once_and_told_for_each(spark, chunk):
     assert sorted((r["id"], r["other"]) for r in got.collect()) == want and len(want) > 1000
 
 
+def test_pairs_are_told_key_by_key(spark):
+    df = spark.createDataFrame([(k, 0.0, 0.0, 1.0 + k % 2, 1.0) for k in range(40)], "id int, xmin double, ymin double, xmax double, ymax double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        told = overlay.overlapping_pairs(df, "id", "other", 4.0)
+        plan = told._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    steps = dict(re.findall(r"\*\((\d+)\) Generate explode\((_keys|_o_keys)#", plan))
+    assert sorted(steps.values()) == ["_keys", "_o_keys"]  # in two steps: one alone holds the product of both
+    assert told.count() == 40 * 39 // 2
+
+
 def test_shapes_that_meet(spark):
     mine = shapes(spark, [(1, *RING), (2, DENTED, [])])
     other = [
